@@ -39,6 +39,19 @@ def compact(
     return common, within
 
 
+def segments(group: np.ndarray, value: np.ndarray, reach: int) -> np.ndarray:
+    """Group numbers after cutting every group at gaps longer than ``reach``."""
+    order = _pairs_order(group, value)
+    g, v = group[order], value[order]
+    cut = np.empty(len(v), dtype=np.int64)
+    cut[0] = 0
+    cut[1:] = (g[1:] != g[:-1]) | (v[1:] - v[:-1] > reach)
+    cut = np.cumsum(cut)
+    number = np.empty_like(cut)
+    number[order] = cut
+    return number
+
+
 def slices(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     """Start and end of each stretch of equal values."""
     cuts = np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1

@@ -1,7 +1,7 @@
 """Runs a numpy step over whole groups, many groups per call.
 
 Spark shuffles and sorts the rows by group; a task then streams Arrow batches and
-hands the step as many complete groups as fit ``TARGET_ROWS``. Callers bound the
+hands the step as many complete groups as weigh about ``TARGET``. Callers bound the
 size of a single group.
 """
 
@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TARGET_ROWS = 1 << 19
+TARGET = 1 << 19
+
+_ARROW = {"long": pa.int64(), "string": pa.string()}
 
 Columns = dict[str, np.ndarray]
 Step = Callable[[np.ndarray, Columns], Columns]
@@ -33,10 +35,11 @@ def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def _whole_groups(
-    batches: Iterator[pa.RecordBatch], keys: list[str], target: int
-) -> Iterator[pa.Table]:
+    batches: Iterator[pa.RecordBatch], keys: list[str], rows_at_least: int
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete groups, with the rows at which each group begins."""
     held: list[pa.RecordBatch] = []
-    rows, limit = 0, target
+    rows, limit = 0, rows_at_least
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -45,14 +48,44 @@ def _whole_groups(
         if rows < limit:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        cut = int(_changes(table, keys)[-1])
+        firsts = _changes(table, keys)
+        cut = int(firsts[-1])
         if cut:
-            yield table.slice(0, cut)
+            yield table.slice(0, cut), firsts[:-1]
             table = table.slice(cut)
         held, rows = table.to_batches(), table.num_rows
-        limit = max(target, 2 * rows)
+        limit = max(rows_at_least, 2 * rows)
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _changes(table, keys)
+
+
+def _lengths(table: pa.Table, lists: tuple[str, str] | None) -> tuple[np.ndarray, ...]:
+    if lists is None:
+        return (np.ones(table.num_rows, dtype=np.int64),)
+    return tuple(
+        table.column(c).combine_chunks().value_lengths().to_numpy().astype(np.int64) for c in lists
+    )
+
+
+def _pairs_of_lists(
+    table: pa.Table, lists: tuple[str, str], names: tuple[str, str]
+) -> tuple[np.ndarray, Columns]:
+    """All pairs of each row's two lists, and the row each pair comes from."""
+    left, right = (table.column(c).combine_chunks() for c in lists)
+    n_left, n_right = _lengths(table, lists)
+    counts = n_left * n_right
+    row = np.repeat(np.arange(table.num_rows), counts)
+    begin = np.cumsum(counts) - counts
+    turn = np.arange(len(row)) - begin[row]
+    width = n_right[row]
+    i, j = np.divmod(turn, width)
+    values_left, values_right = (a.flatten().to_numpy().astype(np.int64) for a in (left, right))
+    from_left, from_right = np.cumsum(n_left) - n_left, np.cumsum(n_right) - n_right
+    return row, {
+        names[0]: values_left[from_left[row] + i],
+        names[1]: values_right[from_right[row] + j],
+    }
 
 
 def map_groups(
@@ -60,32 +93,49 @@ def map_groups(
     keys: list[str],
     step: Step,
     columns: dict[str, str],
-    target: int = TARGET_ROWS,
+    lists: tuple[str, str] | None = None,
+    pairs: tuple[str, str] | None = None,
+    target: int = TARGET,
 ) -> DataFrame:
     """Applies ``step(group, columns) -> columns`` to whole groups of ``keys``.
 
     ``step`` gets a non-decreasing group number per row and the non-key columns
     as numpy arrays. It returns a ``group`` array and the arrays named in
-    ``columns`` (name to Spark type); the key columns are put back.
+    ``columns`` (name to Spark type); the key columns are put back. With ``lists``
+    a row stands for all pairs of its two lists; the step sees the pairs, named
+    ``pairs``, which never leave the task.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(
         [f"`{k}` {types[k]}" for k in keys] + [f"`{c}` {t}" for c, t in columns.items()]
     )
+    kinds = {c: _ARROW[t] for c, t in columns.items()}
     values = [c for c in df.columns if c not in keys]
     # The last key varies most where one query chromosome faces all others.
     ordered = df.repartition(*keys).sortWithinPartitions(*reversed(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, keys, target):
-            firsts = _changes(table, keys)
-            group = np.zeros(table.num_rows, dtype=np.int64)
-            group[firsts[1:]] = 1
-            group = np.cumsum(group)
-            out = step(group, {c: table.column(c).to_numpy() for c in values})
-            home = pa.array(firsts[out["group"]])
-            arrays = [table.column(k).combine_chunks().take(home) for k in keys]
-            arrays += [pa.array(out[c]) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *columns])
+        rows_at_least = target if lists is None else target >> 4
+        for whole, starts in _whole_groups(batches, keys, rows_at_least):
+            weight = np.multiply.reduce(_lengths(whole, lists))
+            before = np.concatenate(([0], np.cumsum(weight)))[starts]
+            turns = np.flatnonzero(np.diff(before // target, prepend=-1))
+            edges = [*starts[turns].tolist(), whole.num_rows]
+            for a, b in zip(edges[:-1], edges[1:]):
+                table = whole.slice(a, b - a)
+                firsts = starts[(starts >= a) & (starts < b)] - a
+                group = np.zeros(table.num_rows, dtype=np.int64)
+                group[firsts[1:]] = 1
+                group = np.cumsum(group)
+                if lists is None:
+                    given = {c: table.column(c).to_numpy() for c in values}
+                else:
+                    row, given = _pairs_of_lists(table, lists, pairs)
+                    group = group[row]
+                out = step(group, given)
+                home = pa.array(firsts[out["group"]])
+                arrays = [table.column(k).combine_chunks().take(home) for k in keys]
+                arrays += [pa.array(out[c], kind) for c, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *columns])
 
     return ordered.mapInArrow(run, schema)

@@ -7,8 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A family whose pairs exceed this many is spread over several join keys.
-PAIRS_PER_CELL = 1 << 22
+from pathweave.functions.groups import Step, map_groups
+from pathweave.functions.prefix import bucket_of
+from pathweave.session import materialise
+
+# Positions of one family on one chromosome travel as lists; a list covers this many
+# positions, so it stays short however often the family occurs.
+POSITIONS_PER_LIST = 1 << 10
+# A family whose lists make more pairs than this is spread over several join keys.
+PAIRS_PER_CELL = 1 << 18
 # At most this many families are spread, so the list of them stays a few MB. A
 # family that misses the list holds less than 1/65536 of all pairs.
 SPREAD_FAMILIES = 1 << 16
@@ -69,52 +76,84 @@ def _cells(count: Column) -> Column:
 
 
 def _own_cell(count: Column) -> Column:
-    return F.pmod(F.xxhash64("chromosome", "pos"), F.coalesce(count, F.lit(1))).cast("int")
+    return F.pmod(F.xxhash64("chromosome", "chunk"), F.coalesce(count, F.lit(1))).cast("int")
 
 
-def anchor_pairs(
-    positions: DataFrame, query=None, pairs_per_cell: int = PAIRS_PER_CELL
+def position_lists(positions: DataFrame) -> DataFrame:
+    """``(family, chromosome, chunk, positions)``, a list per stretch of a chromosome."""
+    return positions.groupBy(
+        "family",
+        "chromosome",
+        bucket_of(F.col("pos"), POSITIONS_PER_LIST).alias("chunk"),
+    ).agg(F.collect_list("pos").alias("positions"))
+
+
+def written_lists(positions: DataFrame) -> DataFrame:
+    """The position lists, written once: sizing, both join sides and salting read them."""
+    return materialise(position_lists(positions), "lists")
+
+
+def pair_lists(
+    lists: DataFrame, query=None, pairs_per_cell: int = PAIRS_PER_CELL
 ) -> DataFrame:
-    """``(ref_chr, rel_chr, ref_pos, rel_pos)`` of every shared family.
+    """``(ref_chr, rel_chr, ref_positions, rel_positions)`` of every shared family.
 
-    The equi-join is on the family. Families with very many pairs are laid out on
-    a grid of cells first: each reference row goes to one grid row, each relative
-    row to one grid column, so every pair meets in exactly one cell.
+    A row stands for all pairs of its two lists, so what is shuffled grows with the
+    positions and not with their pairs. The equi-join is on the family. Families
+    with very many lists are laid out on a grid of cells first: each reference row
+    goes to one grid row, each relative row to one grid column, so every two meet
+    in exactly one cell.
     """
-    ref = on_query(positions, query)
+    ref = on_query(lists, query)
     spread = F.broadcast(
-        _spread_families(ref, None if query is None else positions, pairs_per_cell)
+        _spread_families(ref, None if query is None else lists, pairs_per_cell)
     )
-    left = (
-        ref.join(spread, "family", "left")
-        .select(
-            "family",
-            F.col("chromosome").alias("ref_chr"),
-            F.col("pos").alias("ref_pos"),
-            _own_cell(F.col("ref_cells")).alias("cell_row"),
-            _cells(F.col("rel_cells")).alias("cell_column"),
-        )
+    left = ref.join(spread, "family", "left").select(
+        "family",
+        F.col("chromosome").alias("ref_chr"),
+        F.col("positions").alias("ref_positions"),
+        _own_cell(F.col("ref_cells")).alias("cell_row"),
+        _cells(F.col("rel_cells")).alias("cell_column"),
     )
-    right = (
-        positions.join(spread, "family", "left")
-        .select(
-            "family",
-            F.col("chromosome").alias("rel_chr"),
-            F.col("pos").alias("rel_pos"),
-            _own_cell(F.col("rel_cells")).alias("cell_column"),
-            _cells(F.col("ref_cells")).alias("cell_row"),
-        )
+    right = lists.join(spread, "family", "left").select(
+        "family",
+        F.col("chromosome").alias("rel_chr"),
+        F.col("positions").alias("rel_positions"),
+        _own_cell(F.col("rel_cells")).alias("cell_column"),
+        _cells(F.col("ref_cells")).alias("cell_row"),
     )
     return (
         left.join(right, ["family", "cell_row", "cell_column"])
         .filter(F.col("ref_chr") != F.col("rel_chr"))
-        .select(*PAIR, "ref_pos", "rel_pos")
+        .select(*PAIR, "ref_positions", "rel_positions")
+    )
+
+
+def anchor_pairs(lists: DataFrame, query=None) -> DataFrame:
+    """``(ref_chr, rel_chr, ref_pos, rel_pos)``, one row per anchor and family."""
+    return (
+        pair_lists(lists, query)
+        .select(*PAIR, F.explode("ref_positions").alias("ref_pos"), "rel_positions")
+        .select(*PAIR, "ref_pos", F.explode("rel_positions").alias("rel_pos"))
+        .select(*PAIR, F.col("ref_pos").cast("long"), F.col("rel_pos").cast("long"))
     )
 
 
 def anchors(positions: DataFrame, query=None) -> DataFrame:
     """Distinct anchors; two genes may share a chromosome and a number."""
-    return anchor_pairs(positions, query).distinct()
+    return anchor_pairs(written_lists(positions), query).distinct()
+
+
+def map_anchors(lists: DataFrame, query, step: Step, columns: dict[str, str]) -> DataFrame:
+    """Applies a step to the anchors of whole chromosome pairs."""
+    return map_groups(
+        pair_lists(lists, query),
+        PAIR,
+        step,
+        columns,
+        lists=("ref_positions", "rel_positions"),
+        pairs=("ref_pos", "rel_pos"),
+    )
 
 
 def relatives(positions: DataFrame, query=None) -> DataFrame:
@@ -126,38 +165,67 @@ def relatives(positions: DataFrame, query=None) -> DataFrame:
             .filter(F.col("rel_chr") != F.col("ref_chr"))
             .distinct()
         )
-    # One position per family and chromosome is enough to pair two chromosomes.
-    carriers = positions.groupBy("family", "chromosome").agg(F.min("pos").alias("pos"))
-    return anchor_pairs(carriers).select(*PAIR).distinct()
+    carriers = positions.groupBy("family", "chromosome").agg(
+        F.lit(0).alias("chunk"), F.array(F.lit(0)).alias("positions")
+    )
+    return pair_lists(carriers).select(*PAIR).distinct()
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bounds on the anchors of any chromosome pair.
+
+    ``anchors``: by Cauchy-Schwarz no pair has more anchors than the largest sum of
+    squared family copies on one chromosome. ``copies``: most copies of one family
+    on one chromosome. ``top``: largest position.
+    """
+
+    anchors: int
+    copies: int
+    top: int
+
+
+def measure(lists: DataFrame) -> Sizes:
+    copies = lists.groupBy("chromosome", "family").agg(
+        F.sum(F.size("positions")).alias("copies"), F.max(F.array_max("positions")).alias("top")
+    )
+    sizes = (
+        copies.groupBy("chromosome")
+        .agg(
+            F.sum(F.col("copies").cast("double") * F.col("copies")).alias("anchors"),
+            F.max("copies").alias("copies"),
+            F.max("top").alias("top"),
+        )
+        .agg(F.max("anchors"), F.max("copies"), F.max("top"))
+        .first()
+    )
+    return Sizes(*(0 if s is None else int(s) for s in sizes))
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """How chromosome pairs are cut: ``width`` positions per block, ``count`` blocks."""
+    """Grid of ``width`` by ``width`` positions over each pair; ``top`` as measured."""
 
     width: int
-    count: int
     top: int
 
-    @property
-    def whole_pairs(self) -> bool:
-        return self.count == 1
 
-
-def plan_blocks(
-    positions: DataFrame, least_width: int, limit: int = ANCHORS_PER_BLOCK
-) -> Blocks:
-    """Block width that keeps a block of any pair below about ``limit`` anchors.
+def plan_blocks(sizes: Sizes, least_width: int, limit: int = ANCHORS_PER_BLOCK) -> Blocks | None:
+    """Blocks that hold at most about ``limit`` anchors, or ``None`` for whole pairs.
 
     A block holds at most ``width`` positions times the copies of one family on
-    one chromosome, and at most ``width`` squared anchors. Ordinary chromosomes fit
-    into one block.
+    one chromosome, and at most ``width`` squared anchors.
     """
-    copies = positions.groupBy("chromosome", "family").agg(
-        F.count(F.lit(1)).alias("copies"), F.max("pos").alias("top")
-    )
-    most, top = copies.agg(F.max("copies"), F.max("top")).first()
-    if most is None:
-        return Blocks(max(1, least_width), 1, 0)
-    width = max(math.isqrt(limit), limit // most, least_width)
-    return Blocks(width, top // width + 1, top)
+    if sizes.anchors <= limit:
+        return None
+    width = max(math.isqrt(limit), limit // sizes.copies, least_width)
+    return Blocks(width, sizes.top)
+
+
+def plan_strips(sizes: Sizes, limit: int = ANCHORS_PER_BLOCK) -> int | None:
+    """Width of strips along one axis that hold at most about ``limit`` anchors.
+
+    ``None`` for whole pairs. A position has at most as many anchors with one
+    chromosome as that chromosome has copies of its family.
+    """
+    return None if sizes.anchors <= limit else max(1, limit // sizes.copies)

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from pathweave.functions.axes import compact, slices
+from pathweave.functions.axes import compact, segments, slices
 
 NONE = -1
-_ABSENT = -(1 << 60)
 _GATHER_CELLS = 1 << 22
 
 
@@ -20,8 +19,10 @@ class Box:
     """Anchors of one call, distinct, in (relative, group, reference) order."""
 
     def __init__(self, group, ref, rel, reach: int, known=None):
-        across, _ = compact(group, ref, reach)
-        _, level = compact(group, rel, reach)
+        # Segments do not touch each other, so all of them advance together.
+        segment = segments(segments(group, rel, reach), ref, reach)
+        across, _ = compact(segment, ref, reach)
+        _, level = compact(segment, rel, reach)
         width = int(across.max()) + reach + 2
         key = level * width + across
         order = np.argsort(key, kind="stable")
@@ -45,11 +46,18 @@ class Box:
         # Candidates by ascending (relative, reference): ties fall to the first.
         offsets = steps if reverse else -steps[::-1]
         gains = reach + 1 - np.minimum(steps[::-1][:, None], np.abs(offsets)[None, :])
-        ring = np.full((ring_size, self.width), _ABSENT, dtype=np.int64)
-        holder = np.zeros((ring_size, self.width), dtype=np.int64)
+        small = self.known is None and (reach + 1) * len(self.levels) < 1 << 30
+        kind, absent = (np.int32, -(1 << 30)) if small else (np.int64, -(1 << 60))
+        gains = gains.astype(kind)
+        width = self.width
+        ring = np.full(ring_size * width, absent, dtype=kind)
+        # Row i holds the ``reach`` cells from i on.
+        boxes = np.lib.stride_tricks.sliding_window_view(ring, reach)
+        shift = 1 if reverse else -reach
+        holder = np.zeros(ring_size * width, dtype=np.int64)
         filled: list[np.ndarray | None] = [None] * ring_size
         held_level = [NONE] * ring_size
-        score = np.zeros(len(self.ref), dtype=np.int64)
+        score = np.zeros(len(self.ref), dtype=kind)
         pointer = np.full(len(self.ref), NONE, dtype=np.int64)
         if self.known is not None:
             given = self.known != NONE
@@ -59,12 +67,12 @@ class Box:
             level = int(self.level[first])
             live = [d for d in range(reach, 0, -1) if held_level[(level - d) % ring_size] == level - d]
             if live:
-                slots = np.array([(level - d) % ring_size for d in live])
+                bases = np.array([(level - d) % ring_size * width + shift for d in live])
                 gain = gains[[reach - d for d in live]]
                 for a in range(first, last, block):
                     b = min(a + block, last)
-                    cells = self.across[a:b, None] + offsets[None, :]
-                    near = ring[slots[None, :, None], cells[:, None, :]] + gain[None, :, :]
+                    near = boxes[self.across[a:b, None] + bases]
+                    near += gain
                     near = near.reshape(b - a, -1)
                     pick = near.argmax(axis=1)
                     best = near[np.arange(b - a), pick]
@@ -75,13 +83,13 @@ class Box:
                     if len(hit):
                         row, off = np.divmod(pick[hit], reach)
                         score[a + hit] = best[hit]
-                        pointer[a + hit] = holder[slots[row], cells[hit, off]]
+                        pointer[a + hit] = holder[bases[row] + self.across[a + hit] + off]
             slot = level % ring_size
             if filled[slot] is not None:
-                ring[slot, filled[slot]] = _ABSENT
-            here = self.across[first:last]
-            ring[slot, here] = score[first:last]
-            holder[slot, here] = np.arange(first, last)
+                ring[filled[slot]] = absent
+            here = self.across[first:last] + slot * width
+            ring[here] = score[first:last]
+            holder[here] = np.arange(first, last)
             filled[slot], held_level[slot] = here, level
         return score, pointer
 

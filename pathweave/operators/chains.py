@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from pathweave.functions.checks import check_intermediate, check_matched
-from pathweave.functions.groups import map_groups
 from pathweave.operators import chain_blocks
 from pathweave.operators.anchors import (
     ANCHORS_PER_BLOCK,
     PAIR,
     anchor_pairs,
+    map_anchors,
+    measure,
     plan_blocks,
+    written_lists,
 )
 from pathweave.operators.chain_steps import chain_step, score_step
 
@@ -32,12 +34,6 @@ SCORE_COLUMNS = {
 }
 
 
-def _long_anchors(positions: DataFrame, query) -> DataFrame:
-    return anchor_pairs(positions, query).select(
-        *PAIR, F.col("ref_pos").cast("long"), F.col("rel_pos").cast("long")
-    )
-
-
 def chains(
     positions: DataFrame,
     intermediate: int,
@@ -53,10 +49,12 @@ def chains(
     """
     reach = check_intermediate(intermediate) + 1
     matched = check_matched(matched)
-    blocks = plan_blocks(positions, reach, block_anchors)
-    pairs = _long_anchors(positions, query)
-    if blocks.whole_pairs:
-        return map_groups(pairs, PAIR, chain_step(reach, matched, orientations), CHAIN_COLUMNS)
+    lists = written_lists(positions)
+    blocks = plan_blocks(measure(lists), reach, block_anchors)
+    if blocks is None:
+        step = chain_step(reach, matched, orientations)
+        return map_anchors(lists, query, step, CHAIN_COLUMNS)
+    pairs = anchor_pairs(lists, query)
     return chain_blocks.chains(pairs, blocks, reach, matched, orientations)
 
 
@@ -69,11 +67,13 @@ def chain_scores(
 ) -> DataFrame:
     """Score and predecessor of every anchor that has a predecessor."""
     reach = check_intermediate(intermediate) + 1
-    blocks = plan_blocks(positions, reach, block_anchors)
-    pairs = _long_anchors(positions, query)
-    if blocks.whole_pairs:
-        scored = map_groups(pairs, PAIR, score_step(reach, orientation == "-"), SCORE_COLUMNS)
+    lists = written_lists(positions)
+    blocks = plan_blocks(measure(lists), reach, block_anchors)
+    if blocks is None:
+        step = score_step(reach, orientation == "-")
+        scored = map_anchors(lists, query, step, SCORE_COLUMNS)
     else:
+        pairs = anchor_pairs(lists, query)
         scored = chain_blocks.scores(pairs, blocks, reach, orientation)
     return scored.filter("score > 0").select(*PAIR, *SCORE_COLUMNS)
 

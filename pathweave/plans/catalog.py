@@ -10,7 +10,6 @@ from pyspark.sql.types import ByteType, IntegerType, ShortType
 from pathweave.functions.checks import find_by_name, repeated_keys
 from pathweave.operators.anchors import (
     PAIR,
-    anchor_pairs,
     anchors,
     family_positions,
     path_positions,
@@ -42,8 +41,6 @@ from pathweave.plans.queries import (
     query_gene_rows,
     query_genes,
     query_intervals,
-    synteny_blocks,
-    written_paths,
 )
 from pathweave.session import materialise, table_path
 from pathweave.sources.documents import (
@@ -65,7 +62,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SPARSE = {"intermediate": 10, "matched": 4}
 DENSE = {"intermediate": 5, "matched": 10}
 DIAGONAL = {"intermediate": 2, "matched": 2}
-SUPPORT = 6
+SUPPORT = 8
 LINE_QUERY = "Supplier.000000001"
 EVENT_QUERY = "u1"
 
@@ -105,7 +102,7 @@ def _line_genes(spark: SparkSession, folder: str, dense: bool = False) -> DataFr
 
 
 def _line_positions(spark: SparkSession, folder: str, dense: bool = False) -> DataFrame:
-    return materialise(family_positions(_line_genes(spark, folder, dense)), "positions")
+    return family_positions(_line_genes(spark, folder, dense))
 
 
 def _line_query(spark: SparkSession, folder: str) -> int:
@@ -390,13 +387,12 @@ def chains_dense(spark, folder):
 
 @query(sql.passages(words=3, matched=10))
 def shared_passages(spark, folder):
-    positions = materialise(word_positions(spark, folder), "positions")
-    return chains(positions, 0, 10, orientations=("+",))
+    return chains(word_positions(spark, folder), 0, 10, orientations=("+",))
 
 
 @query()
 def shared_passages_gapped(spark, folder):
-    return chains(materialise(word_positions(spark, folder), "positions"), **DENSE)
+    return chains(word_positions(spark, folder), **DENSE)
 
 
 # Synteny
@@ -412,8 +408,7 @@ ON g.chromosome = e.c AND g.number = e.n"""
 )
 def genes_at_chain_ends(spark, folder):
     genes = materialise(_line_genes(spark, folder), "genes")
-    positions = materialise(family_positions(genes), "positions")
-    return interval_genes(chains(positions, **SPARSE), genes)
+    return interval_genes(chains(family_positions(genes), **SPARSE), genes)
 
 
 @query(
@@ -479,7 +474,7 @@ GROUP BY 1, 2"""
 )
 def run_coverage(spark, folder):
     """Every anchor lies in one run, so run lengths add up to the anchors."""
-    positions = path_positions(written_paths(event_annotation(spark, folder)))
+    positions = path_positions(event_paths(spark, folder))
     return (
         exact_runs(positions)
         .groupBy(*PAIR)
@@ -490,13 +485,13 @@ def run_coverage(spark, folder):
 @query()
 def long_runs(spark, folder):
     """Runs of at least two positions between suppliers."""
-    positions = path_positions(written_paths(line_annotation(spark, folder)))
+    positions = path_positions(line_paths(spark, folder))
     return exact_runs(positions).filter("ref_end > ref_start")
 
 
 def _diagonals(spark: SparkSession, folder: str) -> DataFrame:
     """Stretches of one diagonal, as given runs for the merge."""
-    pairs = anchor_pairs(_line_positions(spark, folder)).distinct()
+    pairs = anchors(_line_positions(spark, folder))
     along = Window.partitionBy(*PAIR, "diagonal").orderBy("ref_pos")
     return (
         pairs.withColumn("diagonal", F.col("ref_pos") - F.col("rel_pos"))
@@ -517,34 +512,36 @@ def run_merge(spark, folder):
     return merged_runs(materialise(_diagonals(spark, folder), "runs"), **DIAGONAL)
 
 
-_HULLS = f"WITH {sql.DIAGONALS}, hulls AS (SELECT rc AS c, lc AS l, rs AS s, re AS t FROM diagonals WHERE re > rs)"
+_HULLS = _BOTH + """, hulls AS (
+SELECT ref_chr AS c, rel_chr AS l, ref_start AS s, ref_end AS t FROM chains)
+"""
 _REGIONS = f"SELECT ref_chr, {_bigint(['region_id'])}, start, \"end\" FROM regions"
 
 
 def _hulls(spark: SparkSession, folder: str) -> DataFrame:
-    """Diagonals of two or more anchors, as given hulls for the support operators."""
-    return _diagonals(spark, folder).filter("ref_end > ref_start")
+    """Chains of both orientations, as given hulls for the support operators."""
+    return chains(_line_positions(spark, folder), **SPARSE)
 
 
-@query(_HULLS + sql.sweep(2) + _REGIONS)
+@query(_HULLS + sql.sweep(SUPPORT) + _REGIONS)
 def support_sweep(spark, folder):
-    return support_regions(_hulls(spark, folder), 2)
+    return support_regions(_hulls(spark, folder), SUPPORT)
 
 
-@query(_HULLS + sql.coverage(2) + _REGIONS)
+@query(_HULLS + sql.coverage(SUPPORT) + _REGIONS)
 def support_coverage(spark, folder):
-    return support_regions(_hulls(spark, folder), 2, "coverage")
+    return support_regions(_hulls(spark, folder), SUPPORT, "coverage")
 
 
 @query(
     _HULLS
-    + sql.coverage(2)
+    + sql.coverage(SUPPORT)
     + """SELECT ref_chr, CAST(region_id AS BIGINT) AS region_id, number AS pos, name AS gene
 FROM regions JOIN genes ON chromosome = ref_chr AND number BETWEEN start AND "end\""""
 )
 def genes_of_regions(spark, folder):
     annotation = line_annotation(spark, folder)
-    regions = support_regions(_hulls(spark, folder), 2, "coverage")
+    regions = support_regions(_hulls(spark, folder), SUPPORT, "coverage")
     return region_genes(regions, line_paths(spark, folder), annotation.feature)
 
 
@@ -585,10 +582,10 @@ def gene_list_json(spark, folder):
 
 @query(
     _HULLS
-    + sql.coverage(2)
+    + sql.coverage(SUPPORT)
     + """SELECT ref_chr, CAST(start // 65536 AS BIGINT) AS part,
 '[' || string_agg('[' || start || ',' || "end" || ']', ',' ORDER BY start) || ']' AS document
 FROM regions GROUP BY 1, 2"""
 )
 def region_json(spark, folder):
-    return region_documents(support_regions(_hulls(spark, folder), 2, "coverage"))
+    return region_documents(support_regions(_hulls(spark, folder), SUPPORT, "coverage"))

@@ -36,7 +36,7 @@ from pathweave.sources.graph_tables import GeneGraph
 
 
 def written_paths(annotation: Annotation) -> DataFrame:
-    """The chromosome paths, written once; every query over them reads this table."""
+    """The chromosome paths, written once for any number of queries over them."""
     return materialise(
         chromosome_paths(annotation.gene_order, annotation.gene_family_assignment), "paths"
     )
@@ -73,7 +73,8 @@ def query_intervals(
     """
     check_matched(matched), check_intermediate(intermediate), check_support(support)
     query = None if chromosome is None else find_by_name(annotation.feature, chromosome)
-    paths = written_paths(annotation) if paths is None else paths
+    if paths is None:
+        paths = chromosome_paths(annotation.gene_order, annotation.gene_family_assignment)
     return path_regions(paths, matched, intermediate, support, query, mode)
 
 
@@ -149,7 +150,7 @@ def table_synteny(
     """
     intermediate = check_intermediate(int_or_default(intermediate, DEFAULT_INTERMEDIATE))
     matched = check_matched(int_or_default(matched, DEFAULT_MATCHED))
-    positions = materialise(family_positions(genes, null_family), "positions")
+    positions = family_positions(genes, null_family)
     found = chains(positions, intermediate, matched, query, orientations)
     return synteny_blocks(found, genes, chromosomes, organisms, strict)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pathweave.functions.prefix import ordered_rank
+from pathweave.session import materialise
 from pathweave.sources.annotation import SCHEMAS, Annotation
 
 # Fixed values of the mapping.
@@ -81,7 +82,7 @@ def line_genes(spark: SparkSession, folder: str, dense: bool = False) -> DataFra
 
 def line_annotation(spark: SparkSession, folder: str, dense: bool = False) -> Annotation:
     """Suppliers as chromosomes, their nations as organisms."""
-    genes = line_genes(spark, folder, dense)
+    genes = materialise(line_genes(spark, folder, dense), "line-genes")
     suppliers = table(spark, folder, "supplier")
     chromosome = F.col("suppkey") + CHROMOSOME_BASE
     nation_of = suppliers.select(
@@ -133,8 +134,11 @@ def line_annotation(spark: SparkSession, folder: str, dense: bool = False) -> An
 def event_annotation(spark: SparkSession, folder: str) -> Annotation:
     """Users as chromosomes with their events in time order; few, dense families."""
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")
-    ranked = ordered_rank(
-        events, ["user_id"], ["ts", "event_id"], F.date_trunc("month", "ts"), "number"
+    events = materialise(
+        ordered_rank(
+            events, ["user_id"], ["ts", "event_id"], F.date_trunc("month", "ts"), "number"
+        ),
+        "event-genes",
     )
     chromosome = F.col("user_id") + CHROMOSOME_BASE
     nation = F.pmod("user_id", F.lit(NATIONS))
@@ -176,7 +180,7 @@ def event_annotation(spark: SparkSession, folder: str) -> Annotation:
             F.col("event_id").alias("gene_id"),
             F.col("event_type").alias("family_label"),
         ),
-        "gene_order": ranked.select(
+        "gene_order": events.select(
             F.col("event_id").alias("gene_order_id"),
             chromosome.alias("chromosome_id"),
             F.col("event_id").alias("gene_id"),

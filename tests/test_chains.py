@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from models import chain_model
 
+from pathweave.operators import anchors as anchor_module
 from pathweave.operators import chains as ch
 from pathweave.operators.anchors import anchors, family_positions, relatives
 from pathweave.operators.chain_steps import chain_step
@@ -89,9 +90,9 @@ def test_chains_of_paths(spark, seed):
     assert rows(one) == {c for c in model_chains(paths, 3, 4) if c[0] == 11}
 
 
-@pytest.mark.parametrize("seed,intermediate,limit", [(3, 1, 16), (4, 3, 25), (5, 0, 9)])
+@pytest.mark.parametrize("seed,intermediate,limit", [(3, 1, 64), (4, 3, 100)])
 def test_blocks_equal_whole_pairs(spark, seed, intermediate, limit):
-    paths = random_paths(seed, count=3, longest=30, letters="ABC.")
+    paths = random_paths(seed, count=3, longest=30, letters="AABC.")
     positions = positions_of(spark, paths)
     found = ch.chains(positions, intermediate, 3, block_anchors=limit)
     assert rows(found) == model_chains(paths, intermediate, 3)
@@ -108,15 +109,27 @@ def test_no_shared_family(spark):
     assert rows(relatives(positions)) == set()
 
 
-def test_hot_family_is_spread(spark):
+def test_hot_family_is_spread(spark, monkeypatch):
     paths = {1: "A" * 30 + "B", 2: "BA" * 20, 3: "CCC"}
     positions = positions_of(spark, paths)
-    from pathweave.operators.anchors import anchor_pairs
-
-    plain = anchor_pairs(positions)
-    spread = anchor_pairs(positions, pairs_per_cell=16)
-    assert rows(plain) == rows(spread)
-    assert plain.count() == spread.count() == 2 * (30 * 20 + 20)
+    monkeypatch.setattr(anchor_module, "POSITIONS_PER_LIST", 4)
+    lists = anchor_module.position_lists(positions)
+    plain = anchor_module.pair_lists(lists)
+    spread = anchor_module.pair_lists(lists, pairs_per_cell=9)
+    assert as_anchors(plain) == as_anchors(spread)
+    assert len(as_anchors(plain)) == 2 * (30 * 20 + 20)
+    assert rows(ch.chains(positions, 2, 3)) == model_chains(paths, 2, 3)
+
+
+def as_anchors(pairs):
+    found = [
+        (r.ref_chr, r.rel_chr, i, j)
+        for r in pairs.collect()
+        for i in r.ref_positions
+        for j in r.rel_positions
+    ]
+    assert len(found) == len(set(found))
+    return set(found)
 
 
 def test_null_family_and_repeated_numbers(spark):
