@@ -21,6 +21,8 @@ PAIRS_PER_CELL = 1 << 18
 SPREAD_FAMILIES = 1 << 16
 # Most anchors one task call may have to hold for one chromosome pair.
 ANCHORS_PER_BLOCK = 1 << 21
+# At most this many chromosomes are listed as possible sides of a giant pair.
+HEAVY_CHROMOSOMES = 1 << 16
 
 PAIR = ["ref_chr", "rel_chr"]
 
@@ -94,7 +96,10 @@ def written_lists(positions: DataFrame) -> DataFrame:
 
 
 def pair_lists(
-    lists: DataFrame, query=None, pairs_per_cell: int = PAIRS_PER_CELL
+    lists: DataFrame,
+    query=None,
+    pairs_per_cell: int = PAIRS_PER_CELL,
+    giant_above: float | None = None,
 ) -> DataFrame:
     """``(ref_chr, rel_chr, ref_positions, rel_positions)`` of every shared family.
 
@@ -102,38 +107,44 @@ def pair_lists(
     positions and not with their pairs. The equi-join is on the family. Families
     with very many lists are laid out on a grid of cells first: each reference row
     goes to one grid row, each relative row to one grid column, so every two meet
-    in exactly one cell.
+    in exactly one cell. With ``giant_above``, rows say whether the product of
+    their weights exceeds it.
     """
     ref = on_query(lists, query)
     spread = F.broadcast(
         _spread_families(ref, None if query is None else lists, pairs_per_cell)
     )
-    left = ref.join(spread, "family", "left").select(
-        "family",
-        F.col("chromosome").alias("ref_chr"),
-        F.col("positions").alias("ref_positions"),
-        _own_cell(F.col("ref_cells")).alias("cell_row"),
-        _cells(F.col("rel_cells")).alias("cell_column"),
-    )
-    right = lists.join(spread, "family", "left").select(
-        "family",
-        F.col("chromosome").alias("rel_chr"),
-        F.col("positions").alias("rel_positions"),
-        _own_cell(F.col("rel_cells")).alias("cell_column"),
-        _cells(F.col("ref_cells")).alias("cell_row"),
-    )
+    weighed = giant_above is not None
+
+    def side(rows: DataFrame, name: str, own: str, own_cells: str, other: str, other_cells: str):
+        return rows.join(spread, "family", "left").select(
+            "family",
+            F.col("chromosome").alias(f"{name}_chr"),
+            F.col("positions").alias(f"{name}_positions"),
+            *([F.col("weight").alias(f"{name}_weight")] if weighed else []),
+            _own_cell(F.col(own_cells)).alias(own),
+            _cells(F.col(other_cells)).alias(other),
+        )
+
+    left = side(ref, "ref", "cell_row", "ref_cells", "cell_column", "rel_cells")
+    right = side(lists, "rel", "cell_column", "rel_cells", "cell_row", "ref_cells")
+    giant = F.col("ref_weight") * F.col("rel_weight") > giant_above if weighed else None
     return (
         left.join(right, ["family", "cell_row", "cell_column"])
         .filter(F.col("ref_chr") != F.col("rel_chr"))
-        .select(*PAIR, "ref_positions", "rel_positions")
+        .select(
+            *PAIR,
+            "ref_positions",
+            "rel_positions",
+            *([giant.alias("giant")] if weighed else []),
+        )
     )
 
 
-def anchor_pairs(lists: DataFrame, query=None) -> DataFrame:
+def unfold(pairs: DataFrame) -> DataFrame:
     """``(ref_chr, rel_chr, ref_pos, rel_pos)``, one row per anchor and family."""
     return (
-        pair_lists(lists, query)
-        .select(*PAIR, F.explode("ref_positions").alias("ref_pos"), "rel_positions")
+        pairs.select(*PAIR, F.explode("ref_positions").alias("ref_pos"), "rel_positions")
         .select(*PAIR, "ref_pos", F.explode("rel_positions").alias("rel_pos"))
         .select(*PAIR, F.col("ref_pos").cast("long"), F.col("rel_pos").cast("long"))
     )
@@ -141,19 +152,7 @@ def anchor_pairs(lists: DataFrame, query=None) -> DataFrame:
 
 def anchors(positions: DataFrame, query=None) -> DataFrame:
     """Distinct anchors; two genes may share a chromosome and a number."""
-    return anchor_pairs(written_lists(positions), query).distinct()
-
-
-def map_anchors(lists: DataFrame, query, step: Step, columns: dict[str, str]) -> DataFrame:
-    """Applies a step to the anchors of whole chromosome pairs."""
-    return map_groups(
-        pair_lists(lists, query),
-        PAIR,
-        step,
-        columns,
-        lists=("ref_positions", "rel_positions"),
-        pairs=("ref_pos", "rel_pos"),
-    )
+    return unfold(pair_lists(written_lists(positions), query)).distinct()
 
 
 def relatives(positions: DataFrame, query=None) -> DataFrame:
@@ -172,60 +171,102 @@ def relatives(positions: DataFrame, query=None) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Sizes:
-    """Bounds on the anchors of any chromosome pair.
+class Layout:
+    """Which chromosome pairs fit into one task call, and how the others are cut.
 
-    ``anchors``: by Cauchy-Schwarz no pair has more anchors than the largest sum of
-    squared family copies on one chromosome. ``copies``: most copies of one family
-    on one chromosome. ``top``: largest position.
+    ``lists`` has a ``weight`` where some pairs are giant: a pair is giant when the
+    product of its two weights exceeds ``limit`` squared. ``copies`` is the most
+    copies of one family on one chromosome, ``top`` the largest position.
     """
 
-    anchors: int
+    lists: DataFrame
+    limit: int
     copies: int
     top: int
 
+    @property
+    def has_giants(self) -> bool:
+        return "weight" in self.lists.columns
 
-def measure(lists: DataFrame) -> Sizes:
-    copies = lists.groupBy("chromosome", "family").agg(
-        F.sum(F.size("positions")).alias("copies"), F.max(F.array_max("positions")).alias("top")
-    )
-    sizes = (
-        copies.groupBy("chromosome")
-        .agg(
-            F.sum(F.col("copies").cast("double") * F.col("copies")).alias("anchors"),
-            F.max("copies").alias("copies"),
-            F.max("top").alias("top"),
-        )
-        .agg(F.max("anchors"), F.max("copies"), F.max("top"))
-        .first()
-    )
-    return Sizes(*(0 if s is None else int(s) for s in sizes))
+    def block_width(self, least: int) -> int:
+        """A block of this width has at most about ``limit`` anchors.
 
+        It holds at most ``width`` positions times the copies of one family on one
+        chromosome, and at most ``width`` squared anchors.
+        """
+        return max(math.isqrt(self.limit), self.limit // self.copies, least)
 
-@dataclass(frozen=True)
-class Blocks:
-    """Grid of ``width`` by ``width`` positions over each pair; ``top`` as measured."""
+    def strip_width(self) -> int:
+        """Positions of one chromosome that have at most about ``limit`` anchors.
 
-    width: int
-    top: int
+        A position has as many anchors with another chromosome as that one has
+        copies of its family.
+        """
+        return max(1, self.limit // self.copies)
 
+    def ordinary_pairs(self, query=None) -> DataFrame:
+        pairs = pair_lists(self.lists, query, giant_above=self._giant_above())
+        return pairs.filter("NOT giant").drop("giant") if self.has_giants else pairs
 
-def plan_blocks(sizes: Sizes, least_width: int, limit: int = ANCHORS_PER_BLOCK) -> Blocks | None:
-    """Blocks that hold at most about ``limit`` anchors, or ``None`` for whole pairs.
+    def giant_anchors(self, query=None) -> DataFrame:
+        pairs = pair_lists(self.lists, query, giant_above=self._giant_above())
+        return unfold(pairs.filter("giant"))
 
-    A block holds at most ``width`` positions times the copies of one family on
-    one chromosome, and at most ``width`` squared anchors.
-    """
-    if sizes.anchors <= limit:
-        return None
-    width = max(math.isqrt(limit), limit // sizes.copies, least_width)
-    return Blocks(width, sizes.top)
+    def _giant_above(self) -> float | None:
+        return float(self.limit) ** 2 if self.has_giants else None
 
 
-def plan_strips(sizes: Sizes, limit: int = ANCHORS_PER_BLOCK) -> int | None:
-    """Width of strips along one axis that hold at most about ``limit`` anchors.
+def lay_out(positions: DataFrame, limit: int = ANCHORS_PER_BLOCK) -> Layout:
+    """Writes the position lists and finds the pairs that may exceed ``limit`` anchors.
 
-    ``None`` for whole pairs. A position has at most as many anchors with one
-    chromosome as that chromosome has copies of its family.
+    By Cauchy-Schwarz, the square of a pair's anchors is at most the product of the
+    sums of squared family copies of its two chromosomes. So only chromosomes with
+    a large sum are looked at. Should they be too many to list, every pair counts
+    as giant.
     """
-    return None if sizes.anchors <= limit else max(1, limit // sizes.copies)
+    lists = written_lists(positions)
+    squares = (
+        lists.groupBy("chromosome", "family")
+        .agg(
+            F.sum(F.size("positions")).alias("copies"),
+            F.max(F.array_max("positions")).alias("top"),
+        )
+        .groupBy("chromosome")
+        .agg(
+            F.sum(F.col("copies").cast("double") * F.col("copies")).alias("weight"),
+            F.max("copies").alias("copies"),
+            F.max("top").alias("top"),
+        )
+    )
+    weight, copies, top = squares.agg(F.max("weight"), F.max("copies"), F.max("top")).first()
+    if weight is None or weight <= limit:
+        return Layout(lists, limit, copies or 1, top or 0)
+    heavy = materialise(
+        squares.filter(F.col("weight") * weight > float(limit) ** 2)
+        .orderBy(F.desc("weight"))
+        .limit(HEAVY_CHROMOSOMES + 1)
+        .select("chromosome", "weight"),
+        "heavy",
+    )
+    largest = [r.weight for r in heavy.orderBy(F.desc("weight")).limit(2).collect()]
+    if len(largest) < 2 or largest[0] * largest[1] <= float(limit) ** 2:
+        return Layout(lists, limit, copies, top)
+    if heavy.count() > HEAVY_CHROMOSOMES:
+        weighed = lists.withColumn("weight", F.lit(float("inf")))
+    else:
+        weighed = lists.join(F.broadcast(heavy), "chromosome", "left").withColumn(
+            "weight", F.coalesce("weight", F.lit(0.0))
+        )
+    return Layout(weighed, limit, copies, top)
+
+
+def map_anchors(layout: Layout, query, step: Step, columns: dict[str, str]) -> DataFrame:
+    """Applies a step to the anchors of all pairs that fit into one call."""
+    return map_groups(
+        layout.ordinary_pairs(query),
+        PAIR,
+        step,
+        columns,
+        lists=("ref_positions", "rel_positions"),
+        pairs=("ref_pos", "rel_pos"),
+    )

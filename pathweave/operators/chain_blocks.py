@@ -8,13 +8,14 @@ chains then travel back the same way. Results equal those of whole pairs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pathweave.functions.groups import map_groups
-from pathweave.operators.anchors import PAIR, Blocks
+from pathweave.operators.anchors import PAIR
 from pathweave.operators.chain_steps import NONE, Box, end_order, score_step
 from pathweave.operators.waves import WaveTable, split_by_wave, used_waves
 
@@ -36,6 +37,14 @@ OWNED = {
 }
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """Grid of ``width`` by ``width`` positions; no position exceeds ``top``."""
+
+    width: int
+    top: int
+
+
 def _along(ref: Column, blocks: Blocks, reverse: bool) -> Column:
     """Reference axis in the direction chains rise."""
     return F.lit(blocks.top) - ref if reverse else ref

@@ -8,12 +8,8 @@ from pathweave.functions.checks import check_intermediate, check_matched
 from pathweave.operators import chain_blocks
 from pathweave.operators.anchors import (
     ANCHORS_PER_BLOCK,
-    PAIR,
-    anchor_pairs,
+    lay_out,
     map_anchors,
-    measure,
-    plan_blocks,
-    written_lists,
 )
 from pathweave.operators.chain_steps import chain_step, score_step
 
@@ -49,13 +45,16 @@ def chains(
     """
     reach = check_intermediate(intermediate) + 1
     matched = check_matched(matched)
-    lists = written_lists(positions)
-    blocks = plan_blocks(measure(lists), reach, block_anchors)
-    if blocks is None:
-        step = chain_step(reach, matched, orientations)
-        return map_anchors(lists, query, step, CHAIN_COLUMNS)
-    pairs = anchor_pairs(lists, query)
-    return chain_blocks.chains(pairs, blocks, reach, matched, orientations)
+    layout = lay_out(positions, block_anchors)
+    step = chain_step(reach, matched, orientations)
+    found = map_anchors(layout, query, step, CHAIN_COLUMNS)
+    if not layout.has_giants:
+        return found
+    blocks = chain_blocks.Blocks(layout.block_width(reach), layout.top)
+    giants = layout.giant_anchors(query)
+    return found.unionByName(
+        chain_blocks.chains(giants, blocks, reach, matched, orientations)
+    )
 
 
 def chain_scores(
@@ -67,13 +66,13 @@ def chain_scores(
 ) -> DataFrame:
     """Score and predecessor of every anchor that has a predecessor."""
     reach = check_intermediate(intermediate) + 1
-    lists = written_lists(positions)
-    blocks = plan_blocks(measure(lists), reach, block_anchors)
-    if blocks is None:
-        step = score_step(reach, orientation == "-")
-        scored = map_anchors(lists, query, step, SCORE_COLUMNS)
-    else:
-        pairs = anchor_pairs(lists, query)
-        scored = chain_blocks.scores(pairs, blocks, reach, orientation)
-    return scored.filter("score > 0").select(*PAIR, *SCORE_COLUMNS)
-
+    layout = lay_out(positions, block_anchors)
+    step = score_step(reach, orientation == "-")
+    scored = map_anchors(layout, query, step, SCORE_COLUMNS)
+    if layout.has_giants:
+        blocks = chain_blocks.Blocks(layout.block_width(reach), layout.top)
+        giants = layout.giant_anchors(query)
+        scored = scored.unionByName(
+            chain_blocks.scores(giants, blocks, reach, orientation).select(*scored.columns)
+        )
+    return scored.filter("score > 0")

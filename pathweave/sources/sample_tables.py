@@ -196,8 +196,14 @@ def word_positions(spark: SparkSession, folder: str, words: int = 3) -> DataFram
     split = table(spark, folder, "documents").select(
         F.col("doc_id").alias("chromosome"), F.split("text", " ", -1).alias("words")
     )
-    starts = F.sequence(F.lit(1), F.size("words") - (words - 1))
-    stretch = F.transform(starts, lambda i: F.concat_ws(" ", F.slice("words", i, words)))
-    return split.filter(F.size("words") >= words).select(
-        "chromosome", F.posexplode(stretch).alias("pos", "family")
+    count = F.size("words") - (words - 1)
+    columns = [f"w{i}" for i in range(words)]
+    stretches = split.filter(F.size("words") >= words).select(
+        "chromosome",
+        *[F.slice("words", i + 1, count).alias(c) for i, c in enumerate(columns)],
+    )
+    return stretches.select(
+        "chromosome", F.posexplode(F.arrays_zip(*columns)).alias("pos", "stretch")
+    ).select(
+        "chromosome", "pos", F.concat_ws(" ", *[f"stretch.{c}" for c in columns]).alias("family")
     )

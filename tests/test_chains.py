@@ -37,10 +37,10 @@ def rows(df):
     return set(got)
 
 
-def random_paths(seed, count=4, longest=40, letters="ABCDE."):
+def random_paths(seed, count=4, longest=40, letters="ABCDE.", shortest=1):
     rng = random.Random(seed)
     return {
-        10 + i: "".join(rng.choice(letters) for _ in range(rng.randint(1, longest)))
+        10 + i: "".join(rng.choice(letters) for _ in range(rng.randint(shortest, longest)))
         for i in range(count)
     }
 
@@ -90,10 +90,12 @@ def test_chains_of_paths(spark, seed):
     assert rows(one) == {c for c in model_chains(paths, 3, 4) if c[0] == 11}
 
 
-@pytest.mark.parametrize("seed,intermediate,limit", [(3, 1, 64), (4, 3, 100)])
+@pytest.mark.parametrize("seed,intermediate,limit", [(3, 1, 64), (4, 3, 80)])
 def test_blocks_equal_whole_pairs(spark, seed, intermediate, limit):
-    paths = random_paths(seed, count=3, longest=30, letters="AABC.")
+    paths = random_paths(seed, count=3, longest=30, letters="AABC.", shortest=20)
+    paths[99] = "AB"  # no pair with this one is giant
     positions = positions_of(spark, paths)
+    assert anchor_module.lay_out(positions, limit).has_giants
     found = ch.chains(positions, intermediate, 3, block_anchors=limit)
     assert rows(found) == model_chains(paths, intermediate, 3)
     for sign in "+-":
