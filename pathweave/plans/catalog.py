@@ -105,8 +105,15 @@ def _line_positions(spark: SparkSession, folder: str, dense: bool = False) -> Da
     return family_positions(_line_genes(spark, folder, dense))
 
 
-def _line_query(spark: SparkSession, folder: str) -> int:
-    return find_by_name(line_annotation(spark, folder).feature, LINE_QUERY)
+def _named_line_positions(
+    spark: SparkSession, folder: str, dense: bool = False
+) -> tuple[DataFrame, int]:
+    """Positions, and the id of the query chromosome looked up by its name."""
+    annotation = line_annotation(spark, folder, dense)
+    return (
+        family_positions(gene_table(annotation)),
+        find_by_name(annotation.feature, LINE_QUERY),
+    )
 
 
 # Tables
@@ -287,8 +294,7 @@ FROM genes, {_NAMED} q WHERE chromosome <> q.id AND family IN (
 SELECT family FROM genes WHERE chromosome = q.id AND family <> '-1')"""
 )
 def relatives_of_query(spark, folder):
-    positions = _line_positions(spark, folder)
-    return relatives(positions, _line_query(spark, folder))
+    return relatives(*_named_line_positions(spark, folder))
 
 
 @query(
@@ -296,7 +302,7 @@ def relatives_of_query(spark, folder):
 WHERE family <> '-1' AND family IN (SELECT family FROM genes WHERE chromosome = {_NAMED})"""
 )
 def families_of_query(spark, folder):
-    return query_families(_line_positions(spark, folder), _line_query(spark, folder))
+    return query_families(*_named_line_positions(spark, folder))
 
 
 @query(
@@ -304,7 +310,7 @@ def families_of_query(spark, folder):
 FROM anchors WHERE rc = {_NAMED}"""
 )
 def anchors_of_query(spark, folder):
-    return anchors(_line_positions(spark, folder), _line_query(spark, folder))
+    return anchors(*_named_line_positions(spark, folder))
 
 
 @query(
@@ -420,16 +426,16 @@ def organisms_of_tracks(spark, folder):
     return track_organisms(chromosome_table(annotation), organism_table(annotation))
 
 
-@query(
-    _BOTH
-    + """SELECT ref_chr, rel_chr, orientation, ref_start, ref_end, rel_start, rel_end,
+_BLOCK_ROWS = """SELECT ref_chr, rel_chr, orientation, ref_start, ref_end, rel_start, rel_end,
 s.fmin AS start, e.fmax AS stop, q.name AS ref_name, q.length AS ref_length,
 t.name AS chromosome, o.genus, o.species
 FROM chains JOIN genes s ON s.chromosome = ref_chr AND s.number = ref_start
 JOIN genes e ON e.chromosome = ref_chr AND e.number = ref_end
 JOIN chromosomes q ON q.id = ref_chr JOIN chromosomes t ON t.id = rel_chr
 JOIN organisms o ON o.id = t.organism"""
-)
+
+
+@query(_BOTH + _BLOCK_ROWS)
 def synteny_block_rows(spark, folder):
     return macro_synteny(line_annotation(spark, folder), **SPARSE)
 
@@ -458,10 +464,16 @@ def synteny_json(spark, folder):
     return synteny_documents(materialise(blocks, "blocks"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + sql.DENSE_ANCHORS.format(name=LINE_QUERY)
+    + sql.both_chains(**DENSE)
+    + _BLOCK_ROWS
+)
 def synteny_of_query_dense(spark, folder):
     annotation = line_annotation(spark, folder, dense=True)
-    return macro_synteny(annotation, _line_query(spark, folder), **DENSE)
+    named = find_by_name(annotation.feature, LINE_QUERY)
+    return macro_synteny(annotation, named, **DENSE)
 
 
 # Runs, merge and support

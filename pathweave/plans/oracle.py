@@ -41,6 +41,21 @@ anchors AS (
 """
 )
 
+# The same with dense families, one named chromosome against all others.
+DENSE_ANCHORS = (
+    LINES.replace("FROM lineitem),", "FROM lineitem),\nlabels_of AS (SELECT p_partkey, p_brand || '|' || p_type AS label FROM part),", 1)
+    .replace("'P' || l_partkey", "label", 1)
+    .replace("FROM lines),", "FROM lines LEFT JOIN labels_of ON p_partkey = l_partkey),", 1)
+    + """,
+occ AS (
+  SELECT DISTINCT chromosome AS c, number AS p, family AS f FROM genes WHERE family <> '-1'),
+anchors AS (
+  SELECT DISTINCT r.c AS rc, l.c AS lc, r.p AS rp, l.p AS lp
+  FROM occ r JOIN occ l ON r.f = l.f AND r.c <> l.c
+  WHERE r.c = (SELECT id FROM chromosomes WHERE name = '{name}'))
+"""
+)
+
 EVENTS = """
 event_order AS (
   SELECT event_id, 1000000000 + user_id AS chromosome, event_type AS family,
