@@ -35,17 +35,20 @@ def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def _whole_groups(
-    batches: Iterator[pa.RecordBatch], keys: list[str], rows_at_least: int
+    batches: Iterator[pa.RecordBatch],
+    keys: list[str],
+    lists: tuple[str, str] | None,
+    target: int,
 ) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of complete groups, with the rows at which each group begins."""
     held: list[pa.RecordBatch] = []
-    rows, limit = 0, rows_at_least
+    weight, limit = 0, target
     for batch in batches:
         if batch.num_rows == 0:
             continue
         held.append(batch)
-        rows += batch.num_rows
-        if rows < limit:
+        weight += int(_weights(batch, lists).sum())
+        if weight < limit:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         firsts = _changes(table, keys)
@@ -53,19 +56,24 @@ def _whole_groups(
         if cut:
             yield table.slice(0, cut), firsts[:-1]
             table = table.slice(cut)
-        held, rows = table.to_batches(), table.num_rows
-        limit = max(rows_at_least, 2 * rows)
+        held = table.to_batches()
+        weight = int(_weights(table, lists).sum())
+        limit = max(target, 2 * weight)
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, _changes(table, keys)
 
 
-def _lengths(table: pa.Table, lists: tuple[str, str] | None) -> tuple[np.ndarray, ...]:
+def _lengths(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _weights(rows: pa.Table | pa.RecordBatch, lists: tuple[str, str] | None) -> np.ndarray:
     if lists is None:
-        return (np.ones(table.num_rows, dtype=np.int64),)
-    return tuple(
-        table.column(c).combine_chunks().value_lengths().to_numpy().astype(np.int64) for c in lists
-    )
+        return np.ones(rows.num_rows, dtype=np.int64)
+    return _lengths(rows.column(lists[0])) * _lengths(rows.column(lists[1]))
 
 
 def _pairs_of_lists(
@@ -73,7 +81,7 @@ def _pairs_of_lists(
 ) -> tuple[np.ndarray, Columns]:
     """All pairs of each row's two lists, and the row each pair comes from."""
     left, right = (table.column(c).combine_chunks() for c in lists)
-    n_left, n_right = _lengths(table, lists)
+    n_left, n_right = _lengths(left), _lengths(right)
     counts = n_left * n_right
     row = np.repeat(np.arange(table.num_rows), counts)
     begin = np.cumsum(counts) - counts
@@ -115,10 +123,8 @@ def map_groups(
     ordered = df.repartition(*keys).sortWithinPartitions(*reversed(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_at_least = target if lists is None else target >> 4
-        for whole, starts in _whole_groups(batches, keys, rows_at_least):
-            weight = np.multiply.reduce(_lengths(whole, lists))
-            before = np.concatenate(([0], np.cumsum(weight)))[starts]
+        for whole, starts in _whole_groups(batches, keys, lists, target):
+            before = np.concatenate(([0], np.cumsum(_weights(whole, lists))))[starts]
             turns = np.flatnonzero(np.diff(before // target, prepend=-1))
             edges = [*starts[turns].tolist(), whole.num_rows]
             for a, b in zip(edges[:-1], edges[1:]):
