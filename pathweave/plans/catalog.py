@@ -254,12 +254,17 @@ def adjacency_undirected(spark, folder):
 
 
 @query(
-    f"""WITH {sql.EVENTS} SELECT family, count(DISTINCT chromosome) AS chromosomes, count(*) AS places,
-(SELECT count(*) FROM (SELECT DISTINCT least(f, family), greatest(f, family) FROM (
-SELECT family, lag(family) OVER (PARTITION BY chromosome ORDER BY pos) AS f FROM event_order)
-WHERE f IS NOT NULL)) AS edges FROM event_order GROUP BY family"""
+    f"""WITH {sql.EVENTS},
+edges AS (SELECT DISTINCT least(f, family) AS src, greatest(f, family) AS dst FROM (
+  SELECT family, lag(family) OVER (PARTITION BY chromosome ORDER BY pos) AS f FROM event_order)
+  WHERE f IS NOT NULL),
+ends AS (SELECT src AS family FROM edges UNION ALL SELECT dst FROM edges WHERE dst <> src),
+degree AS (SELECT family, count(*) AS edges FROM ends GROUP BY family)
+SELECT e.family, count(DISTINCT chromosome) AS chromosomes, count(*) AS places, any_value(edges) AS edges
+FROM event_order e JOIN degree d ON d.family = e.family GROUP BY e.family"""
 )
 def graph_of_families(spark, folder):
+    """Each family's chromosomes, places and neighbour families (itself among them)."""
     paths = event_paths(spark, folder)
     vertices, edges = family_graph(
         family_vertices(path_positions(paths)), undirected_edges(paths)
@@ -268,8 +273,9 @@ def graph_of_families(spark, folder):
         F.count_distinct("chromosome").alias("chromosomes"),
         F.sum(F.size("positions")).alias("places"),
     )
-    total = edges.agg(F.count(F.lit(1)).alias("edges"))
-    return per_family.join(F.broadcast(total))
+    ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("family"))
+    degree = ends.groupBy("family").agg(F.count(F.lit(1)).alias("edges"))
+    return per_family.join(degree, "family")
 
 
 # Anchors
