@@ -84,3 +84,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS rejected_by
 FROM measured LEFT JOIN hit USING (k)
 """
+
+
+def jaccard(table: str, size: int, num: int, den: int) -> str:
+    """CTEs ending in ``joined``: k, doc_id, n_shingles, component_id and n_links of ``table``'s rows."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+told AS (
+  SELECT row_number() OVER () AS k, *, regexp_extract_all(
+    translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM {table}),
+shingle AS (
+  SELECT DISTINCT k, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {size - 2}), lambda i: array_to_string(ws[i:i + {size - 1}], ' '))
+    END) AS s FROM told),
+sized AS (SELECT k, count(*) AS n FROM shingle GROUP BY k),
+link AS (
+  SELECT p.a, p.b FROM (
+    SELECT x.k AS a, y.k AS b, count(*) AS shared FROM shingle x JOIN shingle y ON x.s = y.s AND x.k <> y.k
+    GROUP BY x.k, y.k) p JOIN sized u ON u.k = a JOIN sized v ON v.k = b
+  WHERE {den} * shared >= {num} * (u.n + v.n - shared)),
+reach AS (
+  SELECT k, k AS r FROM told UNION SELECT reach.k, link.b FROM reach JOIN link ON reach.r = link.a),
+joined AS (
+  SELECT t.k, t.doc_id, coalesce(n, 0) AS n_shingles, m.component_id, coalesce(links, 0) AS n_links
+  FROM told t JOIN (SELECT reach.k, min(doc_id) AS component_id FROM reach JOIN told ON told.k = r GROUP BY 1) m
+    USING (k) LEFT JOIN sized USING (k) LEFT JOIN (SELECT a AS k, count(*) AS links FROM link GROUP BY a) USING (k))"""
+
+
+ORACLES["op6_jaccard_groups"] = (
+    f"WITH RECURSIVE {jaccard('documents', 4, 85, 100)} "
+    "SELECT doc_id, n_shingles, component_id, n_links FROM joined"
+)

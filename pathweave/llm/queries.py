@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import exact_topk, language_id, packing, quality, secret_tags, sentence_pieces
+from pathweave.llm import (
+    exact_topk,
+    group_join,
+    language_id,
+    packing,
+    quality,
+    secret_tags,
+    sentence_pieces,
+)
 from pathweave.session import materialise
 
 
@@ -28,6 +36,10 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents, tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return group_join.jaccard_classes(_table(spark, folder, "documents"), 4, 85, 100)
+
+
 def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     return secret_tags.scan(documents, secret_tags.fit(documents))
@@ -56,6 +68,7 @@ QUERIES = {
     for build in (
         op2_language_id,
         op4_best_fit_packing,
+        op6_jaccard_groups,
         op7_secret_scans,
         op8_sentence_pieces,
         op9_quality_rules,

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pathweave.session import materialise
+
+#: Chosen ids are sent to every task up to so many; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 65_536
+
 
 def bounded_sample(rows: DataFrame, size: int, *strata: str) -> DataFrame:
     """At most ``size`` rows of each stratum, the same for the same ids.
@@ -18,5 +23,8 @@ def bounded_sample(rows: DataFrame, size: int, *strata: str) -> DataFrame:
         .select("doc_id")
         .distinct()
     )
+    chosen = materialise(chosen, "sample")
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     kept = rows.join(chosen, "doc_id", "left_semi")
     return kept if strata else kept.limit(size)
