@@ -115,3 +115,27 @@ ORACLES["op6_jaccard_groups"] = (
     f"WITH RECURSIVE {jaccard('documents', 4, 85, 100)} "
     "SELECT doc_id, n_shingles, component_id, n_links FROM joined"
 )
+
+ORACLES["op3_stupid_backoff"] = """
+WITH told AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+word AS (SELECT k, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM told),
+total AS (SELECT count(*) AS n FROM word),
+often AS (SELECT w FROM word, total GROUP BY w, n HAVING count(*) * 65536 >= n),
+mapped AS (SELECT k, i, coalesce(often.w, '') AS w FROM word LEFT JOIN often USING (w)),
+pair AS (SELECT k, i, w, lag(w) OVER (PARTITION BY k ORDER BY i) AS before FROM mapped),
+single AS (SELECT w, count(*) AS c FROM mapped GROUP BY w),
+head AS (SELECT before, count(*) AS c FROM pair WHERE before IS NOT NULL GROUP BY before),
+gram AS (SELECT before, w, count(*) AS c FROM pair WHERE before IS NOT NULL GROUP BY before, w),
+scored AS (
+  SELECT k, CAST(floor(1e6 * ln(CASE
+    WHEN i = 1 THEN single.c / total.n
+    WHEN gram.c >= 2 THEN gram.c / head.c
+    ELSE 0.4::DOUBLE * (single.c / total.n) END) + 0.5::DOUBLE) AS BIGINT) AS v
+  FROM pair JOIN single USING (w) CROSS JOIN total LEFT JOIN head USING (before)
+    LEFT JOIN gram ON gram.before = pair.before AND gram.w = pair.w)
+SELECT doc_id, len(ws) AS n_words, coalesce(s, 0) AS score_micro,
+  coalesce(s, 0) / greatest(len(ws), 1) / 1e6 AS score
+FROM told LEFT JOIN (SELECT k, CAST(sum(v) AS BIGINT) AS s FROM scored GROUP BY k) USING (k)
+"""

@@ -8,6 +8,7 @@ from pathweave.llm import (
     exact_topk,
     group_join,
     language_id,
+    language_model,
     packing,
     quality,
     secret_tags,
@@ -31,6 +32,10 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict(documents, language_id.fit(documents))
 
 
+def op3_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, folder, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     return packing.pack_documents(documents, tokenizer_file("word_bpe_49k.json"))
@@ -67,6 +72,7 @@ QUERIES = {
     build.__name__: build
     for build in (
         op2_language_id,
+        op3_stupid_backoff,
         op4_best_fit_packing,
         op6_jaccard_groups,
         op7_secret_scans,
