@@ -6,22 +6,31 @@ Python worker is emptied once it holds ``TABLE_CHUNKS`` chunks, which changes no
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Sequence
 
 #: Chunks kept by one worker.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 800_000
 
 
-class ChunkTable:
-    """Encoded chunks by their text; ``encode`` takes a list of chunks not seen before."""
+class ChunkTable(dict):
+    """Encodings by chunk; ``encode`` takes a list of chunks not seen before."""
 
     def __init__(self, encode: Callable[[list[str]], Sequence], most: int = TABLE_CHUNKS):
-        self.encode, self.most, self.known = encode, most, {}
+        super().__init__()
+        self.encode, self.most, self.missing = encode, most, []
+
+    def __missing__(self, chunk: str) -> None:
+        self.missing.append(chunk)
+        self[chunk] = None
 
     def look_up(self, chunks_of_texts: list[list[str]]) -> Callable[[str], object]:
         """A function from each chunk of these texts to its encoding."""
-        if len(self.known) > self.most:
-            self.known = {}
-        missing = list(set().union(*chunks_of_texts).difference(self.known))
-        self.known.update(zip(missing, self.encode(missing), strict=True))
-        return self.known.__getitem__
+        if len(self) > self.most:
+            self.clear()
+        for chunks in chunks_of_texts:
+            deque(map(self.__getitem__, chunks), maxlen=0)
+        if self.missing:
+            self.update(zip(self.missing, self.encode(self.missing), strict=True))
+            self.missing = []
+        return self.__getitem__

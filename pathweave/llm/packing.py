@@ -15,6 +15,7 @@ come; a table without rows gives none; other columns are left out of the result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections import defaultdict
@@ -35,6 +36,11 @@ PATTERN_LENGTHS = 3
 PATTERNS = 30_000
 FIT_STEPS = 400
 BUCKET_ROWS = 50_000
+#: Marks that are cut from words before these are looked up.
+MARKS = ".,"
+WORD_END = "</w>"
+#: Words that are encoded as one text.
+JOINED = 100
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,28 +48,78 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 @lru_cache(maxsize=2)
 def _tokenizer(file: str):
     """The tokenizer and its table: white-space separated chunk -> ids as bytes."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(file)
 
-    def encode(chunks: list[str]) -> list[bytes]:
+    def ids(chunks: list[str]) -> list[bytes]:
         coded = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [array("I", c.ids).tobytes() for c in coded]
 
-    return tokenizer, ChunkTable(encode)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, number in tokenizer.get_vocab().items():
+        ends[number] = token.endswith(WORD_END)
+
+    def words(chunks: list[str]) -> list[bytes]:
+        """Chunks of letters alone go together, as each ends where a token ends a word."""
+        plain = [c for c in chunks if c.isalpha()] if ends.any() else []
+        texts = [" ".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)]
+        coded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        numbers = np.array([number for c in coded for number in c.ids], np.uint32)
+        data, cut = numbers.tobytes(), (4 * (np.flatnonzero(ends[numbers]) + 1)).tolist()
+        if len(cut) != len(plain):
+            return ids(chunks)
+        parts = iter([data[a:b] for a, b in zip([0, *cut], cut)])
+        rest = iter(ids([c for c in chunks if not c.isalpha()]))
+        return [next(parts) if c.isalpha() else next(rest) for c in chunks]
+
+    marks = dict(zip(MARKS, ids(list(MARKS)), strict=True))
+    # a mark behind a letter is a token of its own where the tokenizer parts letters from others
+    parted = ids(["a."])[0] == ids(["a"])[0] + marks["."]
+    stems: ChunkTable = ChunkTable(words)
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        if not parted:
+            return words(chunks)
+        cut = [c[-1:] in marks and c[-2:-1].isascii() and c[-2:-1].isalpha() for c in chunks]
+        found = stems.look_up([[c[:-1] if m else c for c, m in zip(chunks, cut, strict=True)]])
+        return [
+            found(c[:-1]) + marks[c[-1]] if m else found(c) for c, m in zip(chunks, cut, strict=True)
+        ]
+
+    lower = ids(["Ab\u00c9"]) == ids(["ab\u00e9"])
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return lower, special, ChunkTable(encode)
 
 
 def token_ids(texts: list[str], tokenizer_file: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
-    Fits tokenizers that drop white space, so that a text's ids are those of its words.
+    Fits tokenizers that drop white space, so that a text's ids are those of its words. Texts of
+    Latin-1 characters are put into lower case first where the tokenizer does so.
     """
-    _, table = _tokenizer(tokenizer_file)
-    chunked = [text.replace("\n", " ").split(" ") for text in texts]
+    lower, special, table = _tokenizer(tokenizer_file)
+    chunked = []
+    for text in texts:
+        if lower and (text.isascii() or _latin(text)):
+            low = text.lower()
+            # written otherwise, a special token is ordinary text
+            text = text if any(s in low for s in special) else low
+        chunked.append(text.replace("\n", " ").split(" "))
     found = table.look_up(chunked)
     return [b"".join(map(found, chunks)) for chunks in chunked]
 
 
+def _latin(text: str) -> bool:
+    """Only Latin-1 characters, whose lower case does not depend on their neighbours."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def document_pieces(
     documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID
 ) -> DataFrame:
