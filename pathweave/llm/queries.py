@@ -10,6 +10,7 @@ from pathweave.llm import (
     language_id,
     language_model,
     packing,
+    personal_data,
     quality,
     secret_tags,
     sentence_pieces,
@@ -27,6 +28,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.find(_table(spark, folder, "documents")).drop("all_spans")
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     return language_id.predict(documents, language_id.fit(documents))
@@ -71,6 +76,7 @@ def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     build.__name__: build
     for build in (
+        op1_personal_data,
         op2_language_id,
         op3_stupid_backoff,
         op4_best_fit_packing,
