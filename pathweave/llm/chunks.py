@@ -10,7 +10,7 @@ from collections import deque
 from collections.abc import Callable, Sequence
 
 #: Chunks kept by one worker.
-TABLE_CHUNKS = 800_000
+TABLE_CHUNKS = 500_000
 
 
 class ChunkTable(dict):

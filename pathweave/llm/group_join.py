@@ -47,6 +47,8 @@ GROUP = 64
 GROUP_SHINGLES = 200_000
 #: Cells of the dense part of the matrix that are open at once.
 CELLS = 8_000_000
+#: Words of 64 marks that say which ids are chosen.
+MARK_WORDS = 1 << 20
 #: Prefix shingles, as a share of the set, that linked sets must share in step 2.
 SPARE = 0.15
 
@@ -291,12 +293,30 @@ def whole_sets(documents: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
 
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return (
-        texts.join(chosen, "doc_id")
+        _likely(texts, chosen)
+        .join(chosen, "doc_id")
         .select("text", "sid")
         .mapInArrow(run, "chunk long, sids binary, sizes binary, shingles binary")
     )
 
 
+def _likely(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen rows and few others, so that other texts are not shuffled.
+
+    The ids' marks are bits of at most ``MARK_WORDS`` words, a table bound at any size of the
+    input; the more ids there are, the more other rows pass.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * MARK_WORDS))
+    word, bit = F.shiftright(place, 6).alias("word"), F.expr("1L << pmod(xxhash64(doc_id), 64)").alias("bit")
+    marks = chosen.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return (
+        texts.withColumns({"word": word, "bit": bit})
+        .join(F.broadcast(marks), "word")
+        .filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+        .select(*texts.columns)
+    )
+
+
 def frequencies(chunks: DataFrame, shingles: int) -> DataFrame:
     """``chunk, keys, classes``: the chunk's shingles that two or more sets have, and how many."""
     tasks, parts = _parts(shingles)

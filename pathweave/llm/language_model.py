@@ -80,7 +80,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             held.append(hashes)
             heads.append(hashes[followed])
             count += len(hashes)
-            if count >= 4 * CHUNK:
+            if count >= 2 * CHUNK:
                 yield rows(held, heads)
                 held, heads, count = [], [], 0
         if count:
