@@ -139,3 +139,52 @@ SELECT doc_id, len(ws) AS n_words, coalesce(s, 0) AS score_micro,
   coalesce(s, 0) / greatest(len(ws), 1) / 1e6 AS score
 FROM told LEFT JOIN (SELECT k, CAST(sum(v) AS BIGINT) AS s FROM scored GROUP BY k) USING (k)
 """
+
+# An integer that was written as text, as in `turn`, has the wrong type; every call has one id.
+ORACLES["op5_tool_calls"] = """
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn AS t, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+call AS (
+  SELECT *, CASE WHEN n % 2 = 0 THEN 'measure' ELSE 'store' END AS name FROM said WHERE role = 'assistant'),
+level AS (
+  SELECT conv_id, t, 1 AS level, 3 * t + 1 AS slot FROM call c
+  WHERE NOT EXISTS (SELECT 1 FROM call d WHERE d.conv_id = c.conv_id AND d.t = c.t - 2)
+  UNION ALL
+  SELECT c.conv_id, c.t, l.level + 2, greatest(3 * c.t + 1, l.slot,
+    CASE WHEN p.n % 17 = 0 OR p.n % 13 = 0 THEN 0 WHEN p.n % 4 = 0 THEN 3 * p.t ELSE 3 * p.t + 2 END)
+  FROM level l JOIN call p ON p.conv_id = l.conv_id AND p.t = l.t
+    JOIN call c ON c.conv_id = l.conv_id AND c.t = l.t + 2),
+full_call AS (
+  SELECT call.*, level, slot, n % 17 <> 0 AND n % 13 <> 0 AS answered,
+    list_sort(list_filter([
+      CASE WHEN n % 11 = 0 THEN 'missing text' END,
+      CASE WHEN name = 'measure' AND n % 3 = 0 THEN 'missing length' END,
+      CASE WHEN name = 'store' THEN 'type turn' END,
+      CASE WHEN name = 'measure' AND n % 7 = 0 THEN 'unknown tags' END], lambda e: e IS NOT NULL)) AS wrong
+  FROM call JOIN level USING (conv_id, t))
+SELECT conv_id, 3 * t + 1 AS slot, 0::BIGINT AS level, 3 * t + 1 AS turn, 0::BIGINT AS place, 'message' AS kind,
+  'message' AS status, '' AS errors,
+  '{"content":' || CASE WHEN role = 'assistant' THEN '""' ELSE to_json(text) END
+    || ',"kind":"message","role":' || to_json(role) || ',"status":"message"}' AS json
+FROM said
+UNION ALL
+SELECT conv_id, slot, level::BIGINT, 3 * t + 1, 1::BIGINT, 'call', CASE WHEN answered THEN 'linked' ELSE 'open' END,
+  array_to_string(wrong, ','),
+  '{"after":["c' || (t - 2) || '"],"arguments":{' || array_to_string(list_filter([
+    CASE WHEN name = 'measure' AND n % 3 <> 0 THEN '"length":' || n END,
+    CASE WHEN n % 7 = 0 THEN '"tags":["b","a"]' END,
+    CASE WHEN n % 11 <> 0 THEN '"text":' || to_json(text) END,
+    CASE WHEN name = 'store' THEN '"turn":"' || CASE WHEN n % 5 = 0 THEN 'x' ELSE CAST(t AS VARCHAR) END || '"' END
+  ], lambda e: e IS NOT NULL), ',') || '}'
+  || CASE WHEN len(wrong) > 0 THEN ',"errors":["' || array_to_string(wrong, '","') || '"]' ELSE '' END
+  || ',"id":"c' || t || '","kind":"call","name":"' || name || '","role":"assistant","status":"'
+  || CASE WHEN answered THEN 'linked' ELSE 'open' END || '"}'
+FROM full_call
+UNION ALL
+SELECT conv_id, CASE WHEN n % 13 = 0 THEN put ELSE greatest(put, slot) END,
+  CASE WHEN n % 13 = 0 THEN 0 ELSE level + 1 END::BIGINT, put, 0::BIGINT, 'result',
+  CASE WHEN n % 13 = 0 THEN 'orphan' ELSE 'linked' END, '',
+  '{"content":"' || n || '","id":"' || CASE WHEN n % 13 = 0 THEN 'u' ELSE 'c' END || t
+  || '","kind":"result","role":"tool","status":"' || CASE WHEN n % 13 = 0 THEN 'orphan' ELSE 'linked' END || '"}'
+FROM (SELECT *, CASE WHEN n % 4 = 0 THEN 3 * t ELSE 3 * t + 2 END AS put FROM full_call WHERE n % 17 <> 0)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathweave.llm import (
     exact_topk,
@@ -14,6 +14,7 @@ from pathweave.llm import (
     quality,
     secret_tags,
     sentence_pieces,
+    tool_calls,
 )
 from pathweave.session import materialise
 
@@ -46,6 +47,63 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents, tokenizer_file("word_bpe_49k.json"))
 
 
+#: Schemas of the tools that the conversations are taken to call.
+TOOLS = (
+    ("measure", "text", "string", True),
+    ("measure", "length", "integer", True),
+    ("store", "text", "string", True),
+    ("store", "turn", "integer", True),
+    ("store", "tags", "array", False),
+)
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The conversations as chats with tools: the tables hold plain turns only.
+
+    Every assistant turn becomes a message that calls a tool with its text, needing the result of
+    the call two turns before, and a tool message with the result. By the text's length a result
+    stands in front of its call, answers an unknown call or is left out, and arguments lack a
+    parameter, have a wrong type or an unknown one.
+    """
+    turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    size = F.length("text")
+    name = F.when(size % 2 == 0, "measure").otherwise("store")
+    arguments = F.struct(
+        F.when(size % 11 != 0, F.col("text")).alias("text"),
+        F.when((size % 2 == 0) & (size % 3 != 0), size).alias("length"),
+        F.when(size % 2 == 1, F.when(size % 5 == 0, F.lit("x")).otherwise(F.col("turn").cast("string"))).alias("turn"),
+        F.when(size % 7 == 0, F.array(F.lit("b"), F.lit("a"))).alias("tags"),
+    )
+    call = F.struct(
+        F.concat(F.lit("c"), F.col("turn")).alias("id"),
+        name.alias("name"),
+        arguments.alias("arguments"),
+        F.array(F.concat(F.lit("c"), F.col("turn") - 2)).alias("after"),
+    )
+    asking = F.to_json(F.struct(F.lit("").alias("content"), F.array(call).alias("tool_calls")))
+    answer = F.to_json(
+        F.struct(
+            F.concat(F.when(size % 13 == 0, "u").otherwise("c"), F.col("turn")).alias("tool_call_id"),
+            size.cast("string").alias("content"),
+        )
+    )
+    told = F.col("role") == "assistant"
+    first = turns.select(
+        "conv_id", (3 * F.col("turn") + 1).alias("turn"), "role",
+        F.when(told, asking).otherwise(F.col("text")).alias("text"),
+    )
+    second = turns.filter(told & (size % 17 != 0)).select(
+        "conv_id", (3 * F.col("turn") + F.when(size % 4 == 0, 0).otherwise(2)).alias("turn"),
+        F.lit("tool").alias("role"), answer.alias("text"),
+    )
+    return first.unionByName(second)
+
+
+def op5_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    schemas = spark.createDataFrame(TOOLS, "tool string, parameter string, type string, required boolean")
+    return tool_calls.format_chats(tool_messages(_table(spark, folder, "conversations")), schemas)
+
+
 def op6_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
     return group_join.jaccard_classes(_table(spark, folder, "documents"), 4, 85, 100)
 
@@ -80,6 +138,7 @@ QUERIES = {
         op2_language_id,
         op3_stupid_backoff,
         op4_best_fit_packing,
+        op5_tool_calls,
         op6_jaccard_groups,
         op7_secret_scans,
         op8_sentence_pieces,
