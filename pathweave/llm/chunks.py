@@ -6,31 +6,36 @@ Python worker is emptied once it holds ``TABLE_CHUNKS`` chunks, which changes no
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Sequence
+from operator import itemgetter
 
 #: Chunks kept by one worker.
-TABLE_CHUNKS = 500_000
+TABLE_CHUNKS = 800_000
 
 
 class ChunkTable(dict):
-    """Encodings by chunk; ``encode`` takes a list of chunks not seen before."""
+    """Places in ``coded`` by chunk; ``encode`` takes a list of chunks not seen before."""
 
     def __init__(self, encode: Callable[[list[str]], Sequence], most: int = TABLE_CHUNKS):
         super().__init__()
-        self.encode, self.most, self.missing = encode, most, []
+        self.encode, self.most = encode, most
+        self.coded, self.missing = [], []
 
-    def __missing__(self, chunk: str) -> None:
+    def __missing__(self, chunk: str) -> int:
+        place = self[chunk] = len(self)
         self.missing.append(chunk)
-        self[chunk] = None
+        return place
 
-    def look_up(self, chunks_of_texts: list[list[str]]) -> Callable[[str], object]:
-        """A function from each chunk of these texts to its encoding."""
+    def encodings(self, chunks_of_texts: list[list[str]]) -> list[Sequence]:
+        """For each text the encodings of its chunks."""
         if len(self) > self.most:
             self.clear()
-        for chunks in chunks_of_texts:
-            deque(map(self.__getitem__, chunks), maxlen=0)
+            self.coded = []
+        places = [itemgetter(*chunks)(self) if chunks else () for chunks in chunks_of_texts]
         if self.missing:
-            self.update(zip(self.missing, self.encode(self.missing), strict=True))
+            self.coded.extend(self.encode(self.missing))
             self.missing = []
-        return self.__getitem__
+        return [
+            itemgetter(*p)(self.coded) if type(p) is tuple and p else () if p == () else (self.coded[p],)
+            for p in places
+        ]

@@ -83,10 +83,8 @@ def _tokenizer(file: str):
         if not parted:
             return words(chunks)
         cut = [c[-1:] in marks and c[-2:-1].isascii() and c[-2:-1].isalpha() for c in chunks]
-        found = stems.look_up([[c[:-1] if m else c for c, m in zip(chunks, cut, strict=True)]])
-        return [
-            found(c[:-1]) + marks[c[-1]] if m else found(c) for c, m in zip(chunks, cut, strict=True)
-        ]
+        whole = stems.encodings([[c[:-1] if m else c for c, m in zip(chunks, cut, strict=True)]])[0]
+        return [w + marks[c[-1]] if m else w for c, m, w in zip(chunks, cut, whole, strict=True)]
 
     lower = ids(["Ab\u00c9"]) == ids(["ab\u00e9"])
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
@@ -107,8 +105,7 @@ def token_ids(texts: list[str], tokenizer_file: str) -> list[bytes]:
             # written otherwise, a special token is ordinary text
             text = text if any(s in low for s in special) else low
         chunked.append(text.replace("\n", " ").split(" "))
-    found = table.look_up(chunked)
-    return [b"".join(map(found, chunks)) for chunks in chunked]
+    return [b"".join(parts) for parts in table.encodings(chunked)]
 
 
 def _latin(text: str) -> bool:

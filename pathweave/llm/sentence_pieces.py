@@ -67,11 +67,8 @@ def encode_texts(texts: list[str], model_file: str) -> list[tuple[bytes, str]]:
     """Ids (little-endian unsigned 32-bit, with begin and end) and decoded text of each text."""
     model, table = coder(model_file)
     begin, end = array("I", [model.bos_id()]).tobytes(), array("I", [model.eos_id()]).tobytes()
-    chunked = [chunks_of(text) for text in texts]
-    found = table.look_up(chunked)
     coded = []
-    for chunks in chunked:
-        parts = [found(chunk) for chunk in chunks]
+    for parts in table.encodings([chunks_of(text) for text in texts]):
         ids = b"".join([begin, *[p[0] for p in parts], end])
         coded.append((ids, "".join([p[1] for p in parts])[1:]))
     return coded
