@@ -31,15 +31,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pathweave.llm.components import components
 from pathweave.llm.texts import Texts, mixed, slices, span_hashes, window_hashes
 from pathweave.session import materialise
 
 #: Shingles that a task packs together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Shingles that a task of a packed exchange gets on average, and the least number of parts.
-TASK_SHINGLES = 1 << 21
+TASK_SHINGLES = 1 << 20
 LEAST_PARTS = 256
 #: Classes of a cluster's block; classes and shingles of a group of the matrix.
 BLOCK = 512
@@ -293,28 +294,27 @@ def whole_sets(documents: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
 
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return (
-        _likely(texts, chosen)
+        marked(texts, chosen)
+        .filter("_marked")  # other texts are not shuffled
         .join(chosen, "doc_id")
         .select("text", "sid")
         .mapInArrow(run, "chunk long, sids binary, sizes binary, shingles binary")
     )
 
 
-def _likely(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen rows and few others, so that other texts are not shuffled.
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``_marked``: true for every row whose ``doc_id`` is in ``ids``, and few others.
 
-    The ids' marks are bits of at most ``MARK_WORDS`` words, a table bound at any size of the
-    input; the more ids there are, the more other rows pass.
+    Marks are bits of at most ``MARK_WORDS`` words, a table bound at any size of the input; the
+    more ids there are, the more other rows are marked.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * MARK_WORDS))
-    word, bit = F.shiftright(place, 6).alias("word"), F.expr("1L << pmod(xxhash64(doc_id), 64)").alias("bit")
-    marks = chosen.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    return (
-        texts.withColumns({"word": word, "bit": bit})
-        .join(F.broadcast(marks), "word")
-        .filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
-        .select(*texts.columns)
-    )
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(64 * MARK_WORDS))
+    word, bit = F.shiftright(place, 6), F.expr("1L << pmod(xxhash64(cast(doc_id as long)), 64)")
+    marks = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word")
+    marks = marks.agg(F.bit_or("_bit").alias("_bits"))
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    joined = rows.withColumn("_word", word).join(F.broadcast(marks), "_word", "left")
+    return joined.withColumn("_marked", hit).drop("_word", "_bits")
 
 
 def frequencies(chunks: DataFrame, shingles: int) -> DataFrame:
@@ -632,14 +632,8 @@ def block_pairs(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def jaccard_classes(
-    documents: DataFrame, size: int = 4, num: int = 85, den: int = 100
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links``, a row for each row of ``documents``.
-
-    ``component_id`` is the smallest id reachable by links, ``n_links`` the number of other
-    documents linked directly.
-    """
+def classed_sets(documents: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n, sid`` of each row, and ``sid, component_id, n_links`` of each set."""
     limit = Threshold(num, den)
     sets = materialise(document_sets(documents, size, limit), "sets")
     classes = sets.filter("sid is not null").groupBy("sid", "n").agg(
@@ -679,8 +673,20 @@ def jaccard_classes(
         ),
         "answer",
     )
+    return sets.select("doc_id", "n", "sid"), answer
+
+
+def jaccard_classes(
+    documents: DataFrame, size: int = 4, num: int = 85, den: int = 100
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links``, a row for each row of ``documents``.
+
+    ``component_id`` is the smallest id reachable by links, ``n_links`` the number of other
+    documents linked directly.
+    """
+    sets, answer = classed_sets(documents, size, num, den)
     return (
-        sets.select("doc_id", F.col("n").alias("n_shingles"), "sid")
+        sets.withColumnRenamed("n", "n_shingles")
         .join(answer, "sid", "left")
         .select(
             "doc_id", "n_shingles",
@@ -688,3 +694,36 @@ def jaccard_classes(
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
     )
+
+
+def one_of_each(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``documents`` less all but one, that with the smallest id, of each group.
+
+    Only rows that may have to go are looked at again; the others are read and kept as they are.
+    Rows without words are no group, and neither are rows without an id.
+    """
+    sets, answer = classed_sets(documents, size, num, den)
+    rows = sets.filter("sid is not null and doc_id is not null").groupBy("doc_id", "sid").count()
+    # of equal rows of the kept id one stays
+    doubtful = rows.join(answer, "sid").select(
+        "doc_id", "sid", (F.col("doc_id") == F.col("component_id")).alias("stays"), "count"
+    )
+    doubtful = materialise(doubtful.filter("not stays or count > 1"), "doubtful")
+    place = documents.columns.index("text")
+    schema = StructType([*documents.schema.fields, StructField("_sid", LongType())])
+
+    def run(batches):
+        for piece in slices(batches):
+            hashes, sizes = shingle_sets(Texts(piece.column(place)), size)
+            ids = set_ids(hashes, sizes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(ids)], names=schema.names)
+
+    flagged = marked(documents, doubtful.select("doc_id"))
+    looked = flagged.filter("_marked").drop("_marked").mapInArrow(run, schema)
+    keys = doubtful.select(F.col("doc_id").alias("_id"), F.col("sid").alias("_key"), "stays")
+    judged = looked.join(
+        keys, (looked["doc_id"].cast("long") == keys["_id"]) & (looked["_sid"] == keys["_key"]), "left"
+    )
+    free = judged.filter("stays is null").select(*documents.columns)
+    repeated = judged.filter("stays").dropDuplicates(["_id", "_key"]).select(*documents.columns)
+    return flagged.filter("not _marked").select(*documents.columns).unionByName(free).unionByName(repeated)

@@ -190,42 +190,55 @@ def fit(documents: DataFrame) -> Coder | None:
     return Coder(languages, code, fitted_weights(x, bits), trust / trust.sum())
 
 
+def _judged(coder: Coder | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether the text is ambiguous or has no language, for each text."""
+    texts = Texts(column)
+    known = lettered(texts, column)
+    score, lead = np.zeros(texts.count), np.zeros(texts.count)
+    names = [UNKNOWN] * texts.count
+    if coder is None:
+        known[:] = False
+    elif len(coder.languages) == 1:
+        names = [coder.languages[0] if k else UNKNOWN for k in known]
+        score, lead = known.astype(float), np.where(known, 1.0, 0.0)
+    elif known.any():
+        for begin in range(0, texts.count, 256):
+            best, chance, ahead = coder.decode(features(Texts(column.slice(begin, 256))))
+            for k in np.flatnonzero(known[begin : begin + 256]).tolist():
+                names[begin + k] = coder.languages[best[k]]
+                score[begin + k], lead[begin + k] = chance[k], ahead[k]
+    return names, np.clip(score, 0, 1), ~known | (lead < LEAST_LEAD)
+
+
 def predict(documents: DataFrame, coder: Coder | None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, ambiguous``; only the text decides."""
     shared = documents.sparkSession.sparkContext.broadcast(coder)
 
     def run(batches):
-        coder = shared.value
         for piece in slices(batches):
-            texts = Texts(piece.column(1))
-            known = lettered(texts, piece.column(1))
-            score, lead = np.zeros(texts.count), np.zeros(texts.count)
-            names = [UNKNOWN] * texts.count
-            if coder is None:
-                known[:] = False
-            elif len(coder.languages) == 1:
-                names = [coder.languages[0] if k else UNKNOWN for k in known]
-                score, lead = known.astype(float), np.where(known, 1.0, 0.0)
-            elif known.any():
-                for begin in range(0, texts.count, 256):
-                    part = Texts(piece.column(1).slice(begin, 256))
-                    best, chance, ahead = coder.decode(features(part))
-                    for k in np.flatnonzero(known[begin : begin + 256]).tolist():
-                        names[begin + k] = coder.languages[best[k]]
-                        score[begin + k], lead[begin + k] = chance[k], ahead[k]
+            names, score, ambiguous = _judged(shared.value, piece.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column(0),
-                    piece.column(2),
-                    pa.array(names, pa.string()),
-                    pa.array(np.clip(score, 0, 1)),
-                    pa.array(~known | (lead < LEAST_LEAD)),
+                    piece.column(0), piece.column(2), pa.array(names, pa.string()),
+                    pa.array(score), pa.array(ambiguous),
                 ],
                 names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
-            )
+            )
 
     return documents.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out")
     ).mapInArrow(
         run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
     )
+
+
+def accepted(documents: DataFrame, coder: Coder | None) -> DataFrame:
+    """The rows of ``documents`` whose text has a language and is not ambiguous."""
+    shared = documents.sparkSession.sparkContext.broadcast(coder)
+
+    def run(batches):
+        for piece in slices(batches):
+            *_, ambiguous = _judged(shared.value, piece.column("text"))
+            yield piece.filter(pa.array(~ambiguous))
+
+    return documents.mapInArrow(run, documents.schema)

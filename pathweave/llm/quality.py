@@ -25,6 +25,7 @@ from math import exp, lgamma, log, log1p
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pathweave.llm.texts import Texts, record, repeated, slices, span_hashes, window_hashes
 
@@ -109,10 +110,30 @@ def count_documents(documents: DataFrame) -> DataFrame:
     counted = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
     )
-    return counted.withColumn(
-        "base_failed",
-        (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-    )
+    return counted.withColumn("base_failed", _fails())
+
+
+def with_counts(documents: DataFrame) -> DataFrame:
+    """``own_<name>`` for each column of ``documents``, the counts and ``base_failed``."""
+    own = [StructField(f"own_{f.name}", f.dataType) for f in documents.schema.fields]
+    schema = StructType([*own, *(StructField(c, LongType()) for c in COUNTS)])
+
+    def run(batches):
+        for piece in slices(batches):
+            counts = [pa.array(c, pa.int64()) for c in text_counts(piece.column("text"))]
+            yield pa.RecordBatch.from_arrays([*piece.columns, *counts], names=schema.names)
+
+    return documents.mapInArrow(run, schema).withColumn("base_failed", _fails())
+
+
+def accepted(documents: DataFrame, cutoffs: list[Cutoff]) -> DataFrame:
+    """The rows of ``documents`` that no rule rejects."""
+    kept = judge(with_counts(documents), cutoffs).filter("kept")
+    return kept.select(*[F.col(f"own_{c}").alias(c) for c in documents.columns])
+
+
+def _fails() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def _share(part: str, whole: str) -> Column:

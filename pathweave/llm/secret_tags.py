@@ -377,13 +377,18 @@ def scan(documents: DataFrame, field: Field | None) -> DataFrame:
 
 
 def redact(documents: DataFrame, field: Field | None, mask: str = "[SECRET]") -> DataFrame:
-    """``documents`` with every span of ``text`` replaced; texts without one stay as they are."""
+    """``documents`` with every span of ``text`` replaced, and ``n_chars`` of such texts anew.
+
+    Texts without a span stay as they are.
+    """
     names = documents.columns
     place = names.index("text")
+    length = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for piece in slices(batches):
             texts = piece.column("text").to_pylist()
+            sizes = piece.column(length).to_pylist() if length is not None else []
             for k, spans in enumerate(text_spans(Texts(piece.column("text")), field)):
                 if spans:
                     parts, done = [], 0
@@ -392,8 +397,12 @@ def redact(documents: DataFrame, field: Field | None, mask: str = "[SECRET]") ->
                             parts += [texts[k][done : max(start, done)], mask if start >= done else ""]
                             done = end
                     texts[k] = "".join([*parts, texts[k][done:]])
+                    if length is not None:
+                        sizes[k] = len(texts[k])
             columns = list(piece.columns)
             columns[place] = pa.array(texts, pa.string())
+            if length is not None:
+                columns[length] = pa.array(sizes, columns[length].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return documents.withColumn("text", F.col("text").cast("string")).mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)
