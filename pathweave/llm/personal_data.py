@@ -14,9 +14,8 @@ Base kinds, leftmost and not overlapping within a kind: ``email``, ``ip``, ``car
 Added spans have kind ``term``. The patterns are written with possessive repeats and look-behind,
 which match the same and keep long runs of one class linear.
 
-Terms near mentions are counted first and only those with enough support are looked up in all
-documents: as a broadcast up to ``BROADCAST_TERMS``, beyond by a shuffle of counts that were
-combined before.
+Terms beside mentions are counted first; the words of all documents are counted only when a term
+has enough support.
 
 Defined cases: null texts count as empty and have no spans; without mentions nothing is added;
 repeated rows count as often as they come, but as one text for the support; other columns are
@@ -52,7 +51,6 @@ REACH = 3
 SUPPORT = 3
 GENERALISE = 0.85
 REMOVE = 0.95
-BROADCAST_TERMS = 100_000
 
 _SPAN = "array<struct<kind:int,start:int,stop:int,found:string>>"
 
@@ -192,18 +190,15 @@ def disclosing_terms(documents: DataFrame, found: DataFrame) -> DataFrame:
         .filter(F.col("texts") >= SUPPORT)
     )
     pairs = materialise(pairs, "pairs")
-    terms = pairs.select("term").distinct()
-    known = terms.count()
-    if not known:
+    if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
+    # every word of the corpus is counted, combined before the shuffle, and only then looked up
     words = documents.select(
         F.explode(
             F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"))
         ).alias("term")
     )
-    if known <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    times = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    times = words.groupBy(F.xxhash64("term").alias("word")).agg(F.count(F.lit(1)).alias("n_t"))
     entities = (
         found.filter(F.size("spans") > 0)
         .select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["found"]))))).alias("entity"))
@@ -216,7 +211,8 @@ def disclosing_terms(documents: DataFrame, found: DataFrame) -> DataFrame:
     share = F.floor(F.when(whole > 0, told / whole).otherwise(0.0) * 1e6 + 0.5) / 1e6
     return (
         pairs.join(entities, "entity")
-        .join(times, "term")
+        .withColumn("word", F.xxhash64("term"))
+        .join(times, "word")
         .select("entity", "term", share.alias("disclosure"))
         .filter(F.col("disclosure") >= GENERALISE)
     )
