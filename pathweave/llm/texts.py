@@ -21,6 +21,7 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240521))
 _BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
 _NEAR = _RANDOM.integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
 _FAR = _RANDOM.integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
+_FAR[0] = 1  # words that fit into _NEAR hash alike beside longer ones
 _FACTORS = _RANDOM.integers(0, 2**64, 16, np.uint64) | np.uint64(1)
 
 
