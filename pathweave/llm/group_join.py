@@ -222,22 +222,36 @@ def prefix_credits(sets: DataFrame, shingles: int) -> DataFrame:
                 ],
                 names=["part", "keys", "owners", "credits"],
             )
-            paid = np.flatnonzero(credit)
+            some = np.flatnonzero(credit)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([int(part[0])], pa.int32()), pa.nulls(1, pa.binary()),
-                    pa.array([owners[paid].tobytes()]), pa.array([credit[paid].tobytes()]),
+                    pa.array([owners[some].tobytes()]), pa.array([credit[some].tobytes()]),
                 ],
                 names=["part", "keys", "owners", "credits"],
             )
 
+    def paid(who: np.ndarray, credit: np.ndarray) -> pa.RecordBatch:
+        """Credits packed by the part of their set."""
+        part = _part(mixed(who.view(np.uint64)), parts)
+        order = np.argsort(part, kind="stable")
+        cut = runs(part[order])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(part[order][cut[:-1]]),
+                packed(np.int64, who[order], cut),
+                packed(np.int64, credit[order], cut),
+            ],
+            names=["part", "sids", "credits"],
+        )
+
     def meet(batches):
         keys, owners = [], []
         for batch in batches:
             local = np.array([c is not None for c in batch.column(3).to_pylist()])
             if local.any():
-                paid = batch.filter(pa.array(local))
-                yield _rows(unpacked(np.int64, paid.column(2)), unpacked(np.int64, paid.column(3)))
+                mine = batch.filter(pa.array(local))
+                yield paid(unpacked(np.int64, mine.column(2)), unpacked(np.int64, mine.column(3)))
             rest = batch.filter(pa.array(~local))
             keys.append(unpacked(np.uint64, rest.column(1)))
             owners.append(unpacked(np.int64, rest.column(2)))
@@ -251,19 +265,26 @@ def prefix_credits(sets: DataFrame, shingles: int) -> DataFrame:
             differs = np.add.reduceat(owners != np.repeat(owners[cut[:-1]], length), cut[:-1]) if len(keys) else 0
             shared = np.repeat(differs > 0, length) & (owners != 0)
             who, credit = np.unique(owners[shared], return_counts=True)
-            yield _rows(who, credit)
+            yield paid(who, credit)
 
-    def _rows(who, credit):
-        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(credit)], names=["sid", "credit"])
+    def add(batches):
+        batches = list(batches)
+        if batches:
+            who = np.concatenate([unpacked(np.int64, b.column(1)) for b in batches])
+            credit = np.concatenate([unpacked(np.int64, b.column(2)) for b in batches])
+            sids, place = np.unique(who, return_inverse=True)
+            total = np.zeros(len(sids), np.int64)
+            np.add.at(total, place, credit)
+            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(total)], names=["sid", "credit"])
 
     return (
         sets.filter(F.length("head") > 0)
         .select("sid", "head")
         .mapInArrow(settle, "part int, keys binary, owners binary, credits binary")
         .repartition(tasks, "part")
-        .mapInArrow(meet, "sid long, credit long")
-        .groupBy("sid")
-        .agg(F.sum("credit").alias("credit"))
+        .mapInArrow(meet, "part int, sids binary, credits binary")
+        .repartition(tasks, "part")
+        .mapInArrow(add, "sid long, credit long")
     )
 
 
