@@ -77,18 +77,22 @@ def _tokenizer(file: str):
     marks = dict(zip(MARKS, ids(list(MARKS)), strict=True))
     # a mark behind a letter is a token of its own where the tokenizer parts letters from others
     parted = ids(["a."])[0] == ids(["a"])[0] + marks["."]
-    stems: ChunkTable = ChunkTable(words)
 
     def encode(chunks: list[str]) -> list[bytes]:
         if not parted:
             return words(chunks)
         cut = [c[-1:] in marks and c[-2:-1].isascii() and c[-2:-1].isalpha() for c in chunks]
-        whole = stems.encodings([[c[:-1] if m else c for c, m in zip(chunks, cut, strict=True)]])[0]
-        return [w + marks[c[-1]] if m else w for c, m, w in zip(chunks, cut, whole, strict=True)]
-
+        whole = [c[:-1] if m else c for c, m in zip(chunks, cut, strict=True)]
+        places = map(table.get, whole)
+        known = {c: table.coded[p] for c, p in zip(whole, places) if p is not None and p < len(table.coded)}
+        new = list({c for c in whole if c not in known})
+        known.update(zip(new, words(new), strict=True))
+        return [known[w] + marks[c[-1]] if m else known[w] for c, m, w in zip(chunks, cut, whole, strict=True)]
+
+    table = ChunkTable(encode)
     lower = ids(["Ab\u00c9"]) == ids(["ab\u00e9"])
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return lower, special, ChunkTable(encode)
+    return lower, special, table
 
 
 def token_ids(texts: list[str], tokenizer_file: str) -> list[bytes]:
