@@ -38,9 +38,9 @@ from pathweave.llm.texts import Texts, mixed, slices, span_hashes, window_hashes
 from pathweave.session import materialise
 
 #: Shingles that a task packs together.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Shingles that a task of a packed exchange gets on average, and the least number of parts.
-TASK_SHINGLES = 1 << 20
+TASK_SHINGLES = 1 << 19
 LEAST_PARTS = 256
 #: Classes of a cluster's block; classes and shingles of a group of the matrix.
 BLOCK = 512
@@ -648,7 +648,7 @@ def block_pairs(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         joined.select("cluster", "at.i", "at.j", "at.side", "sid", "n", "copies", "shared")
-        .repartition(4 * tasks, "cluster", "i", "j")
+        .repartition(tasks, "cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j")
     )
 
