@@ -129,8 +129,9 @@ def linked(events: DataFrame) -> DataFrame:
 def call_levels(found: DataFrame) -> DataFrame:
     """``call, level, slot`` of each first call.
 
-    Each round settles the calls whose needs are all settled, so rounds are the longest chain of
-    needs; what is never settled is on a cycle or needs one.
+    Each round settles the calls whose needs are all settled, and lets a call that waits for one
+    with a single need wait for that need instead, so a chain takes the logarithm of its length.
+    What is not settled when a round settles nothing is on a cycle or needs one.
     """
     answers = found.filter("kind = 'result'").groupBy("call").agg(F.min("turn").alias("answered"))
     calls = (
@@ -140,53 +141,61 @@ def call_levels(found: DataFrame) -> DataFrame:
     )
     calls = materialise(calls, "first")
     names = calls.select("conv_id", F.col("id").alias("need"), F.col("call").alias("source"))
+    # a call stands ``add`` behind its source, and not before the turn ``floor``
     needs = (
         calls.filter(F.size("after") > 0)
         .select("call", "conv_id", F.explode(F.array_distinct("after")).alias("need"))
         .join(names, ["conv_id", "need"])
-        .select("call", "source")
+        .select("call", "source", F.lit(2).cast("long").alias("add"), F.lit(None).cast("long").alias("floor"))
     )
     needs = materialise(needs, "needs")
-    waiting = materialise(needs.select("call").distinct(), "waiting")
     settled = materialise(
-        calls.join(waiting, "call", "left_anti").select(
-            "call", F.lit(1).alias("level"), F.col("turn").alias("slot"), "answered"
+        calls.join(needs.select("call").distinct(), "call", "left_anti").select(
+            "call", F.lit(1).cast("long").alias("level"), F.col("turn").alias("slot"), "answered"
         ),
         "settled",
     )
-    while not waiting.isEmpty():
+    while not needs.isEmpty():
+        known = settled.select(
+            F.col("call").alias("source"), "level", F.greatest("slot", "answered").alias("since")
+        )
         ready = (
-            needs.join(waiting, "call")
-            .join(
-                settled.select(
-                    F.col("call").alias("source"),
-                    F.col("level").alias("known"),
-                    F.greatest("slot", "answered").alias("since"),
-                ),
-                "source",
-                "left",
-            )
+            needs.join(known, "source", "left")
             .groupBy("call")
             .agg(
-                F.max("known").alias("known"),
-                F.max("since").alias("since"),
+                F.max(F.col("level") + F.col("add")).alias("level"),
+                F.max(F.greatest("since", "floor")).alias("since"),
                 F.count(F.lit(1)).alias("n"),
-                F.count("known").alias("have"),
+                F.count("level").alias("have"),
             )
             .filter("n = have")
             .join(calls, "call")
-            .select(
-                "call",
-                (F.col("known") + 2).alias("level"),
-                F.greatest("turn", "since").alias("slot"),
-                "answered",
-            )
+            .select("call", "level", F.greatest("turn", "since").alias("slot"), "answered")
         )
         ready = materialise(ready, "ready")
         if ready.isEmpty():
             break
         settled = materialise(settled.unionByName(ready), "settled")
-        waiting = materialise(waiting.join(ready, "call", "left_anti"), "waiting")
+        waiting = materialise(needs.join(ready, "call", "left_anti"), "waiting")
+        single = (
+            waiting.groupBy(F.col("call").alias("source"))
+            .agg(
+                F.count(F.lit(1)).alias("n"), F.max("source").alias("over"),
+                F.max("add").alias("more"), F.max("floor").alias("least"),
+            )
+            .filter("n = 1")
+            .join(calls.select(F.col("call").alias("source"), "turn", "answered"), "source")
+            .select("source", "over", "more", F.greatest("least", "turn", "answered").alias("least"))
+        )
+        needs = materialise(
+            waiting.join(materialise(single, "single"), "source", "left").select(
+                "call",
+                F.coalesce("over", "source").alias("source"),
+                (F.col("add") + F.coalesce("more", F.lit(0))).alias("add"),
+                F.greatest("floor", "least").alias("floor"),
+            ),
+            "needs",
+        )
     return settled
 
 

@@ -79,10 +79,31 @@ def test_cycles_duplicates_and_bad_rows(spark, schemas):
 
 
 def test_long_chains_of_needs(spark, schemas):
-    chain = [{"id": f"c{k}", "name": "w", "arguments": {"city": "a"}, "after": [f"c{k - 1}"]} for k in range(7)]
+    chain = [{"id": f"c{k}", "name": "w", "arguments": {"city": "a"}, "after": [f"c{k - 1}"]} for k in range(40)]
     rows = formatted(spark, schemas, [(1, 0, "assistant", json.dumps({"tool_calls": chain[::-1]}))])
     levels = {json.loads(r["json"])["id"]: r["level"] for r in rows if r["kind"] == "call"}
-    assert levels == {f"c{k}": 2 * k + 1 for k in range(7)}
+    assert levels == {f"c{k}": 2 * k + 1 for k in range(40)}
+
+
+def test_levels_and_slots_of_random_needs(spark, schemas):
+    random.seed(11)
+    calls, needs, turns, answered = {}, {}, {}, {}
+    messages = []
+    for k in range(60):
+        needs[k] = sorted(random.sample(range(k), min(k, random.choice([0, 1, 1, 1, 2]))))
+        turns[k] = random.randrange(40)
+        call = {"id": f"c{k}", "name": "w", "arguments": {"city": "a"}, "after": [f"c{j}" for j in needs[k]]}
+        messages.append((1, turns[k], "assistant", json.dumps({"tool_calls": [call]})))
+        if random.random() < 0.7:
+            answered[k] = random.randrange(40)
+            messages.append((1, answered[k], "tool", json.dumps({"tool_call_id": f"c{k}"})))
+    level, slot = {}, {}
+    for k in range(60):
+        level[k] = max((level[j] + 2 for j in needs[k]), default=1)
+        slot[k] = max([turns[k], *(max(slot[j], answered.get(j, 0)) for j in needs[k])])
+    rows = formatted(spark, schemas, messages)
+    got = {json.loads(r["json"])["id"]: (r["level"], r["slot"]) for r in rows if r["kind"] == "call"}
+    assert got == {f"c{k}": (level[k], slot[k]) for k in range(60)}
 
 
 def test_components(spark):
