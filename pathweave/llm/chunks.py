@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from operator import itemgetter
 
 #: Chunks kept by one worker.
-TABLE_CHUNKS = 600_000
+TABLE_CHUNKS = 1_000_000
 
 
 class ChunkTable(dict):
