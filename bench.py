@@ -6,6 +6,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame
@@ -14,9 +15,9 @@ from pathweave.operators.anchors import path_positions
 from pathweave.operators.chains import chains
 from pathweave.operators.runs import exact_runs
 from pathweave.plans import catalog
-from pathweave.plans.queries import query_intervals
-from pathweave.session import local_session
-from pathweave.sources.sample_tables import line_annotation
+from pathweave.plans.queries import query_gene_rows, query_intervals
+from pathweave.session import local_session, remove_tables
+from pathweave.sources.sample_tables import event_annotation, line_annotation
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -27,6 +28,15 @@ def sparse_regions(spark, folder) -> DataFrame:
     return query_intervals(line_annotation(spark, folder), None, 2, 10, 20)
 
 
+def dense_regions_of_query(spark, folder) -> DataFrame:
+    annotation = event_annotation(spark, folder)
+    return query_intervals(annotation, "u1", 4, 1, 8)
+
+
+def dense_genes_of_query(spark, folder) -> DataFrame:
+    return query_gene_rows(event_annotation(spark, folder), "u1", 4, 1, 8)
+
+
 def sparse_runs(spark, folder) -> DataFrame:
     return exact_runs(path_positions(catalog.line_paths(spark, folder)))
 
@@ -46,13 +56,13 @@ QUERIES = {
     "shared_passages": catalog.shared_passages,
     "runs_sparse_all": sparse_runs,
     "regions_sparse_all": sparse_regions,
-    "regions_dense_query": catalog.intervals_of_query,
-    "genes_dense_query": catalog.genes_of_query,
+    "regions_dense_query": dense_regions_of_query,
+    "genes_dense_query": dense_genes_of_query,
 }
 
 
 def main() -> None:
-    spark = local_session(CPUS, int(CPUS))
+    spark = local_session(CPUS, int(CPUS), tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     catalog.gene_rows(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
     times = {}
@@ -62,6 +72,7 @@ def main() -> None:
         began = time.time()
         build(spark, FOLDER).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - began, 2)
+        remove_tables(spark)
         print(name, times[name], file=sys.stderr, flush=True)
     scale = re.search(r"sf([\d.]+)", FOLDER)
     print(

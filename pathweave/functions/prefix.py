@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pathweave.session import materialise
+
 BUCKET = 1 << 16
 
 
@@ -51,8 +53,10 @@ def running_sums(
 ) -> DataFrame:
     """Adds ``cum_<s>``, the sum of ``s`` up to and including each row's position.
 
-    ``(keys, position)`` must be unique.
+    ``(keys, position)`` must be unique. Rows and bucket totals read the same written
+    table, so what is behind ``df`` runs once.
     """
+    df = materialise(df, "sums")
     bucketed = df.withColumn("_bucket", bucket_of(F.col(position), width))
     window = (
         Window.partitionBy(*keys, "_bucket")

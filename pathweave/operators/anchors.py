@@ -16,13 +16,8 @@ from pathweave.session import materialise
 POSITIONS_PER_LIST = 1 << 10
 # A family whose lists make more pairs than this is spread over several join keys.
 PAIRS_PER_CELL = 1 << 18
-# At most this many families are spread, so the list of them stays a few MB. A
-# family that misses the list holds less than 1/65536 of all pairs.
-SPREAD_FAMILIES = 1 << 16
 # Most anchors one task call may have to hold for one chromosome pair.
 ANCHORS_PER_BLOCK = 1 << 21
-# At most this many chromosomes are listed as possible sides of a giant pair.
-HEAVY_CHROMOSOMES = 1 << 16
 
 PAIR = ["ref_chr", "rel_chr"]
 
@@ -51,6 +46,18 @@ def query_families(positions: DataFrame, query=None) -> DataFrame:
     return positions.join(families, "family", "left_semi")
 
 
+def shared_families(positions: DataFrame) -> DataFrame:
+    """Positions of families that more than one chromosome carries."""
+    carried = positions.groupBy("family").agg(
+        F.min("chromosome").alias("first"), F.max("chromosome").alias("last")
+    )
+    shared = carried.filter("first <> last").select("family")
+    # dealt anew by the keys of the lists, so that a hot family is not one task's
+    return positions.join(shared, "family", "left_semi").repartition(
+        "family", "chromosome", bucket_of(F.col("pos"), POSITIONS_PER_LIST)
+    )
+
+
 def _spread_families(ref: DataFrame, rel: DataFrame | None, pairs_per_cell: int) -> DataFrame:
     side = math.isqrt(pairs_per_cell)
     counts = ref.groupBy("family").agg(F.count(F.lit(1)).alias("refs"))
@@ -63,8 +70,6 @@ def _spread_families(ref: DataFrame, rel: DataFrame | None, pairs_per_cell: int)
     pairs = F.col("refs").cast("double") * F.col("rels")
     return (
         counts.filter(pairs > pairs_per_cell)
-        .orderBy(pairs.desc(), "family")
-        .limit(SPREAD_FAMILIES)
         .select(
             "family",
             F.ceil(F.col("refs") / side).cast("int").alias("ref_cells"),
@@ -90,9 +95,14 @@ def position_lists(positions: DataFrame) -> DataFrame:
     ).agg(F.collect_list("pos").alias("positions"))
 
 
-def written_lists(positions: DataFrame) -> DataFrame:
-    """The position lists, written once: sizing, both join sides and salting read them."""
-    return materialise(position_lists(positions), "lists")
+def written_lists(positions: DataFrame, query=None) -> DataFrame:
+    """The position lists, written once: sizing, both join sides and salting read them.
+
+    With a query only families that it carries are laid out, without one only those that
+    two chromosomes carry, as no other makes an anchor.
+    """
+    wanted = shared_families(positions) if query is None else query_families(positions, query)
+    return materialise(position_lists(wanted), "lists")
 
 
 def pair_lists(
@@ -111,8 +121,9 @@ def pair_lists(
     their weights exceeds it.
     """
     ref = on_query(lists, query)
-    spread = F.broadcast(
-        _spread_families(ref, None if query is None else lists, pairs_per_cell)
+    # any number of families may be hot; adaptive execution picks the join by the table's size
+    spread = materialise(
+        _spread_families(ref, None if query is None else lists, pairs_per_cell), "spread"
     )
     weighed = giant_above is not None
 
@@ -152,7 +163,7 @@ def unfold(pairs: DataFrame) -> DataFrame:
 
 def anchors(positions: DataFrame, query=None) -> DataFrame:
     """Distinct anchors; two genes may share a chromosome and a number."""
-    return unfold(pair_lists(written_lists(positions), query)).distinct()
+    return unfold(pair_lists(written_lists(positions, query), query)).distinct()
 
 
 def relatives(positions: DataFrame, query=None) -> DataFrame:
@@ -216,15 +227,14 @@ class Layout:
         return float(self.limit) ** 2 if self.has_giants else None
 
 
-def lay_out(positions: DataFrame, limit: int = ANCHORS_PER_BLOCK) -> Layout:
+def lay_out(positions: DataFrame, limit: int = ANCHORS_PER_BLOCK, query=None) -> Layout:
     """Writes the position lists and finds the pairs that may exceed ``limit`` anchors.
 
     By Cauchy-Schwarz, the square of a pair's anchors is at most the product of the
-    sums of squared family copies of its two chromosomes. So only chromosomes with
-    a large sum are looked at. Should they be too many to list, every pair counts
-    as giant.
+    sums of squared family copies of its two chromosomes. Each pair is judged by its
+    own two sums, and only chromosomes that can be part of a giant pair get theirs.
     """
-    lists = written_lists(positions)
+    lists = written_lists(positions, query)
     squares = (
         lists.groupBy("chromosome", "family")
         .agg(
@@ -238,28 +248,26 @@ def lay_out(positions: DataFrame, limit: int = ANCHORS_PER_BLOCK) -> Layout:
             F.max("top").alias("top"),
         )
     )
-    weight, copies, top = squares.agg(F.max("weight"), F.max("copies"), F.max("top")).first()
-    if weight is None or weight <= limit:
+    squares = materialise(squares, "squares")
+    copies, top = squares.agg(F.max("copies"), F.max("top")).first()
+    largest = _two_largest(on_query(squares, query))
+    others = _two_largest(squares if query is None else squares.filter(F.col("chromosome") != query))
+    if query is None:
+        others = others[1:]
+    if not largest or not others or largest[0] * others[0] <= float(limit) ** 2:
         return Layout(lists, limit, copies or 1, top or 0)
-    heavy = materialise(
-        squares.filter(F.col("weight") * weight > float(limit) ** 2)
-        .orderBy(F.desc("weight"))
-        .limit(HEAVY_CHROMOSOMES + 1)
-        .select("chromosome", "weight"),
-        "heavy",
+    bar = max(largest[0], others[0])
+    heavy = squares.filter(F.col("weight") * bar > float(limit) ** 2).select("chromosome", "weight")
+    weighed = lists.join(heavy, "chromosome", "left").withColumn(
+        "weight", F.coalesce("weight", F.lit(0.0))
     )
-    largest = [r.weight for r in heavy.orderBy(F.desc("weight")).limit(2).collect()]
-    if len(largest) < 2 or largest[0] * largest[1] <= float(limit) ** 2:
-        return Layout(lists, limit, copies, top)
-    if heavy.count() > HEAVY_CHROMOSOMES:
-        weighed = lists.withColumn("weight", F.lit(float("inf")))
-    else:
-        weighed = lists.join(F.broadcast(heavy), "chromosome", "left").withColumn(
-            "weight", F.coalesce("weight", F.lit(0.0))
-        )
     return Layout(weighed, limit, copies, top)
 
 
+def _two_largest(squares: DataFrame) -> list[float]:
+    return [r.weight for r in squares.orderBy(F.desc("weight")).limit(2).collect()]
+
+
 def map_anchors(layout: Layout, query, step: Step, columns: dict[str, str]) -> DataFrame:
     """Applies a step to the anchors of all pairs that fit into one call."""
     return map_groups(

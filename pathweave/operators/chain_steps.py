@@ -1,8 +1,9 @@
 """Numpy steps of gap-bounded chaining.
 
-All groups of a call advance together, one relative position at a time. Within a
-step every anchor looks at the box of ``reach`` by ``reach`` positions before it,
-held in a ring of the last ``reach`` columns, so memory is linear in anchors.
+All groups of a call advance together, one relative position at a time. Anchors are
+sorted into square cells of ``reach`` positions, so that those in the box before an
+anchor lie in two stretches of the sorted cells; only anchors that are there are
+looked at, and memory is linear in anchors whatever the reach.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import numpy as np
 from pathweave.functions.axes import compact, segments, slices
 
 NONE = -1
-_GATHER_CELLS = 1 << 22
+_GATHER = 1 << 20
 
 
 class Box:
@@ -41,58 +42,60 @@ class Box:
 
         Anchors with a known score keep it and get no predecessor.
         """
-        reach, ring_size = self.reach, self.reach + 1
-        steps = np.arange(1, reach + 1)
-        # Candidates by ascending (relative, reference): ties fall to the first.
-        offsets = steps if reverse else -steps[::-1]
-        gains = reach + 1 - np.minimum(steps[::-1][:, None], np.abs(offsets)[None, :])
-        small = self.known is None and (reach + 1) * len(self.levels) < 1 << 30
-        kind, absent = (np.int32, -(1 << 30)) if small else (np.int64, -(1 << 60))
-        gains = gains.astype(kind)
-        width = self.width
-        ring = np.full(ring_size * width, absent, dtype=kind)
-        # Row i holds the ``reach`` cells from i on.
-        boxes = np.lib.stride_tricks.sliding_window_view(ring, reach)
-        shift = 1 if reverse else -reach
-        holder = np.zeros(ring_size * width, dtype=np.int64)
-        filled: list[np.ndarray | None] = [None] * ring_size
-        held_level = [NONE] * ring_size
-        score = np.zeros(len(self.ref), dtype=kind)
+        reach = self.reach
+        score = np.zeros(len(self.ref), dtype=np.int64)
         pointer = np.full(len(self.ref), NONE, dtype=np.int64)
+        asks = np.ones(len(self.ref), dtype=bool)
         if self.known is not None:
-            given = self.known != NONE
-            score[given] = self.known[given]
-        block = max(1, _GATHER_CELLS // (reach * reach))
+            asks = self.known == NONE
+            score[~asks] = self.known[~asks]
+        cells, firsts, lasts = self._boxes(reverse)
         for first, last in self.levels:
-            level = int(self.level[first])
-            live = [d for d in range(reach, 0, -1) if held_level[(level - d) % ring_size] == level - d]
-            if live:
-                bases = np.array([(level - d) % ring_size * width + shift for d in live])
-                gain = gains[[reach - d for d in live]]
-                for a in range(first, last, block):
-                    b = min(a + block, last)
-                    near = boxes[self.across[a:b, None] + bases]
-                    near += gain
-                    near = near.reshape(b - a, -1)
-                    pick = near.argmax(axis=1)
-                    best = near[np.arange(b - a), pick]
-                    found = best > 0
-                    if self.known is not None:
-                        found &= self.known[a:b] == NONE
-                    hit = np.flatnonzero(found)
-                    if len(hit):
-                        row, off = np.divmod(pick[hit], reach)
-                        score[a + hit] = best[hit]
-                        pointer[a + hit] = holder[bases[row] + self.across[a + hit] + off]
-            slot = level % ring_size
-            if filled[slot] is not None:
-                ring[filled[slot]] = absent
-            here = self.across[first:last] + slot * width
-            ring[here] = score[first:last]
-            holder[here] = np.arange(first, last)
-            filled[slot], held_level[slot] = here, level
+            for a in self._portions(firsts[:, first:last], lasts[:, first:last], first):
+                own = np.flatnonzero(asks[a[0] : a[1]]) + a[0]
+                counts = (lasts[:, own] - firsts[:, own]).ravel()
+                if not counts.any():
+                    continue
+                q = np.repeat(np.concatenate([own, own]), counts)
+                place = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
+                p = cells[np.repeat(firsts[:, own].ravel(), counts) + place]
+                rise = self.level[q] - self.level[p]
+                along = self.across[p] - self.across[q] if reverse else self.across[q] - self.across[p]
+                near = (rise > 0) & (rise <= reach) & (along > 0) & (along <= reach)
+                q, p = q[near], p[near]
+                if not len(q):
+                    continue
+                value = score[p] + reach + 1 - np.minimum(rise[near], along[near])
+                # of equal ones the first by (relative, reference), which is the order of anchors
+                order = np.lexsort((p, -value, q))
+                best = order[np.flatnonzero(np.diff(q[order], prepend=-1))]
+                score[q[best]] = value[best]
+                pointer[q[best]] = p[best]
         return score, pointer
 
+    def _boxes(self, reverse: bool):
+        """Anchors by cell, and for each anchor the two stretches of them that cover its box."""
+        reach = self.reach
+        row, column = self.level // reach, self.across // reach
+        columns = int(column.max()) + 3
+        cell = row * columns + column + 1
+        cells = np.argsort(cell, kind="stable")
+        ordered = cell[cells]
+        left = cell if reverse else cell - 1
+        low = np.stack([left - columns, left])
+        firsts = np.searchsorted(ordered, low.ravel()).reshape(2, -1)
+        lasts = np.searchsorted(ordered, (low + 1).ravel(), side="right").reshape(2, -1)
+        return cells, firsts, lasts
+
+    @staticmethod
+    def _portions(firsts, lasts, begin):
+        """Bounds of anchors that look at about ``_GATHER`` others together."""
+        total = np.cumsum((lasts - firsts).sum(0))
+        cuts = np.searchsorted(total, np.arange(_GATHER, total[-1] + _GATHER, _GATHER))
+        edges = np.unique(np.concatenate(([0], cuts + 1, [len(total)])))
+        edges = edges[edges <= len(total)]
+        return [(begin + x, begin + y) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
     def pull_owners(self, owner: np.ndarray, pointer: np.ndarray) -> None:
         """Gives every anchor the least owner found along the paths through it."""
         for first, last in reversed(self.levels):
@@ -102,6 +105,18 @@ class Box:
                 np.minimum.at(owner, p[linked], owner[first + linked])
 
 
+def linkable(group, ref, rel, reach: int, matched: int) -> np.ndarray:
+    """Anchors of segments that can hold a chain: of two anchors or more, and wide enough."""
+    segment = segments(segments(group, rel, reach), ref, reach)
+    order = np.argsort(segment, kind="stable")
+    starts = np.flatnonzero(np.diff(segment[order], prepend=-1))
+    fits = np.diff(np.append(starts, len(order))) > 1
+    for place in (ref[order], rel[order]):
+        span = np.maximum.reduceat(place, starts) - np.minimum.reduceat(place, starts) + 1
+        fits &= span >= matched
+    return np.flatnonzero(fits[segment])
+
+
 def end_order(score, ptr_ref, ptr_rel, ref, rel) -> np.ndarray:
     """Order in which chain ends claim their paths."""
     return np.lexsort((rel, ref, -ptr_rel, -ptr_ref, -score))
@@ -111,9 +126,14 @@ def chain_step(reach: int, matched: int, orientations: tuple[str, ...]):
     """Anchors of whole chromosome pairs to chains."""
 
     def step(group, columns):
-        box = Box(group, columns["ref_pos"], columns["rel_pos"], reach)
         parts = []
-        for orientation in orientations:
+        some = linkable(group, columns["ref_pos"], columns["rel_pos"], reach, matched)
+        if not len(some):
+            orientations_left = ()
+        else:
+            orientations_left = orientations
+            box = Box(group[some], columns["ref_pos"][some], columns["rel_pos"][some], reach)
+        for orientation in orientations_left:
             score, pointer = box.score(orientation == "-")
             ends = np.flatnonzero(pointer != NONE)
             if not len(ends):

@@ -45,7 +45,7 @@ def chains(
     """
     reach = check_intermediate(intermediate) + 1
     matched = check_matched(matched)
-    layout = lay_out(positions, block_anchors)
+    layout = lay_out(positions, block_anchors, query)
     step = chain_step(reach, matched, orientations)
     found = map_anchors(layout, query, step, CHAIN_COLUMNS)
     if not layout.has_giants:
@@ -66,7 +66,7 @@ def chain_scores(
 ) -> DataFrame:
     """Score and predecessor of every anchor that has a predecessor."""
     reach = check_intermediate(intermediate) + 1
-    layout = lay_out(positions, block_anchors)
+    layout = lay_out(positions, block_anchors, query)
     step = score_step(reach, orientation == "-")
     scored = map_anchors(layout, query, step, SCORE_COLUMNS)
     if layout.has_giants:

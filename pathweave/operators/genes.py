@@ -47,16 +47,12 @@ def region_genes(
     )
 
 
-def region_gene_lists(named: DataFrame, width: int = BUCKET) -> DataFrame:
-    """``(ref_chr, region_id, part, genes)``: gene names in path order.
-
-    ``part`` counts the ``width``-position stretches of the chromosome a region
-    reaches into; lists of ordinary regions have one part.
-    """
+def region_gene_lists(named: DataFrame) -> DataFrame:
+    """``(ref_chr, region_id, genes)``: gene names in path order, no more than the path has."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "gene")))
-    return named.groupBy(
-        "ref_chr", "region_id", bucket_of(F.col("pos"), width).alias("part")
-    ).agg(F.transform(ordered, lambda g: g["gene"]).alias("genes"))
+    return named.groupBy("ref_chr", "region_id").agg(
+        F.transform(ordered, lambda g: g["gene"]).alias("genes")
+    )
 
 
 def genes_by_number(genes: DataFrame) -> DataFrame:

@@ -47,7 +47,9 @@ from pathweave.sources.documents import (
     gene_list_documents,
     region_documents,
     synteny_documents,
+    write_documents,
 )
+from pathweave.sources.annotation import SCHEMAS, Annotation, read_annotation
 from pathweave.sources.graph_tables import GeneGraph, export_tables, link_tables, load_graph
 from pathweave.sources.sample_tables import (
     event_annotation,
@@ -63,8 +65,10 @@ SPARSE = {"intermediate": 10, "matched": 4}
 DENSE = {"intermediate": 5, "matched": 10}
 DIAGONAL = {"intermediate": 2, "matched": 2}
 SUPPORT = 8
+INTERVALS = {"matched": 2, "intermediate": 10, "support": 8}
+# So few anchors to a task that pairs of chromosomes are cut into blocks and strips.
+SMALL_BLOCK = 500
 LINE_QUERY = "Supplier.000000001"
-EVENT_QUERY = "u1"
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -180,6 +184,33 @@ def _typed_edges(graph: GeneGraph) -> DataFrame:
     )
 
 
+def _through_files(spark: SparkSession, folder: str, kind: str) -> Annotation:
+    """The five mapped annotation tables, written as files and read with ``read_annotation``."""
+    target = table_path(spark, f"annotation-{kind}")
+    annotation = line_annotation(spark, folder)
+    for name in SCHEMAS:
+        writer = getattr(annotation, name).write
+        path = f"{target}/{name}"
+        writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
+    return read_annotation(spark, target, kind)
+
+
+_GENE_TABLE = (
+    f"WITH {sql.LINES} SELECT {_bigint(['id'])}, name, "
+    f"{_bigint(['fmin', 'fmax', 'strand', 'number'])}, family, {_bigint(['chromosome'])} FROM genes"
+)
+
+
+@query(_GENE_TABLE)
+def gene_rows_of_parquet(spark, folder):
+    return gene_table(_through_files(spark, folder, "parquet"))
+
+
+@query(_GENE_TABLE)
+def gene_rows_of_csv(spark, folder):
+    return gene_table(_through_files(spark, folder, "csv"))
+
+
 @query(
     f"""WITH {sql.LINES} SELECT CAST(id AS VARCHAR) AS id, name, {_bigint(['fmin', 'fmax', 'strand', 'number'])},
 family, CAST(chromosome AS VARCHAR) AS chromosome FROM genes"""
@@ -233,6 +264,17 @@ def vertices_of_families(spark, folder):
     )
 
 
+@query(
+    f"""WITH {sql.LINES} SELECT family, chromosome, CAST(number // 65536 AS BIGINT) AS chunk,
+string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) AS positions
+FROM genes WHERE family <> '-1' GROUP BY 1, 2, 3"""
+)
+def vertices_by_number(spark, folder):
+    return family_vertices(_line_positions(spark, folder)).withColumn(
+        "positions", F.concat_ws(",", F.col("positions").cast("array<string>"))
+    )
+
+
 @query(
     f"""WITH {sql.LINES} SELECT DISTINCT lag_family AS src, family AS dst FROM (
 SELECT family, number, lag(family) OVER w AS lag_family, lag(number) OVER w AS lag_number
@@ -360,6 +402,18 @@ def chains_reverse(spark, folder):
     return chains(_line_positions(spark, folder), **SPARSE, orientations=("-",))
 
 
+@query(
+    _CHAINS
+    + sql.chains_from_anchors(**SPARSE, reverse=False, name="fwd")
+    + sql.chain_rows("fwd", "+")
+)
+def chains_in_blocks(spark, folder):
+    """Forward chains with pairs so small to a task that the largest are cut into blocks."""
+    return chains(
+        _line_positions(spark, folder), **SPARSE, orientations=("+",), block_anchors=SMALL_BLOCK
+    )
+
+
 def _score_rows(name: str) -> str:
     return (
         "SELECT rc AS ref_chr, lc AS rel_chr, rp AS ref_pos, lp AS rel_pos, s AS score, "
@@ -461,9 +515,7 @@ SELECT ref_chr, rel_chr, ref_name, length, '{"genus":"' || genus || '","species"
   string_agg('{"start":' || start || ',"stop":' || stop || ',"orientation":"' || orientation || '"}', ','
     ORDER BY orientation, start, stop, ref_end, rel_start, rel_end) || ']}' AS track
 FROM blocks GROUP BY ref_chr, rel_chr, ref_name, length, genus, species, name)
-SELECT ref_chr, CAST(0 AS BIGINT) AS part, '{"chromosome":"' || ref_name || '","length":' || length ||
-  ',"tracks":[' || string_agg(track, ',' ORDER BY rel_chr) || ']}' AS document
-FROM tracks GROUP BY ref_chr, ref_name, length"""
+SELECT ref_chr, ref_name, length AS ref_length, rel_chr, track AS document FROM tracks"""
 )
 def synteny_json(spark, folder):
     blocks = macro_synteny(line_annotation(spark, folder), **SPARSE)
@@ -500,13 +552,29 @@ def run_coverage(spark, folder):
     )
 
 
-@query()
+_RUNS = "WITH RECURSIVE " + sql.LINE_ANCHORS + sql.runs()
+_RUN_ROWS = """SELECT rc AS ref_chr, lc AS rel_chr, rs AS ref_start, ls AS rel_start, re AS ref_end, le AS rel_end
+FROM runs"""
+
+
+@query(_RUNS + _RUN_ROWS + " WHERE re > rs")
 def long_runs(spark, folder):
     """Runs of at least two positions between suppliers."""
     positions = path_positions(line_paths(spark, folder))
     return exact_runs(positions).filter("ref_end > ref_start")
 
 
+@query(_RUNS + _RUN_ROWS)
+def all_runs(spark, folder):
+    return exact_runs(path_positions(line_paths(spark, folder)))
+
+
+@query(_RUNS + _RUN_ROWS)
+def all_runs_in_strips(spark, folder):
+    """The same with pairs so small to a task that the largest are cut."""
+    return exact_runs(path_positions(line_paths(spark, folder)), block_anchors=SMALL_BLOCK)
+
+
 def _diagonals(spark: SparkSession, folder: str) -> DataFrame:
     """Stretches of one diagonal, as given runs for the merge."""
     pairs = anchors(_line_positions(spark, folder))
@@ -563,47 +631,77 @@ def genes_of_regions(spark, folder):
     return region_genes(regions, line_paths(spark, folder), annotation.feature)
 
 
-@query()
+# The support pipeline over the suppliers' lines, from anchors on.
+
+_OF_QUERY = (
+    "WITH RECURSIVE "
+    + sql.LINE_ANCHORS.replace("r.c <> l.c)", f"r.c <> l.c WHERE r.c = {_NAMED})")
+    + sql.runs()
+    + sql.merged(INTERVALS["intermediate"], INTERVALS["matched"])
+)
+_OF_ALL = _RUNS + sql.merged(INTERVALS["intermediate"], INTERVALS["matched"])
+_GENE_ROWS = """SELECT ref_chr, CAST(region_id AS BIGINT) AS region_id, number AS pos, name AS gene
+FROM regions JOIN genes ON chromosome = ref_chr AND number BETWEEN start AND "end\""""
+
+
+@query(_OF_QUERY + sql.sweep(INTERVALS["support"]) + _REGIONS)
 def intervals_of_query(spark, folder):
-    return query_intervals(event_annotation(spark, folder), EVENT_QUERY, 4, 1, SUPPORT)
+    return query_intervals(line_annotation(spark, folder), LINE_QUERY, **INTERVALS)
 
 
-@query()
+@query(_OF_ALL + sql.sweep(INTERVALS["support"]) + _REGIONS)
 def intervals_of_all(spark, folder):
-    return query_intervals(event_annotation(spark, folder), None, 4, 1, SUPPORT)
+    return query_intervals(line_annotation(spark, folder), None, **INTERVALS)
 
 
-@query()
+@query(_OF_ALL + sql.coverage(INTERVALS["support"]) + _REGIONS)
 def coverage_of_all(spark, folder):
-    return query_intervals(
-        event_annotation(spark, folder), None, 12, 1, SUPPORT, mode="coverage"
-    )
+    return query_intervals(line_annotation(spark, folder), None, **INTERVALS, mode="coverage")
 
 
-@query()
+@query(_OF_QUERY + sql.sweep(INTERVALS["support"]) + _GENE_ROWS)
 def genes_of_query(spark, folder):
-    return query_gene_rows(event_annotation(spark, folder), EVENT_QUERY, 4, 1, SUPPORT)
+    return query_gene_rows(line_annotation(spark, folder), LINE_QUERY, **INTERVALS)
 
 
-@query()
+def _gene_lists(one: str, named: str) -> str:
+    return f"""SELECT ref_chr, region_id, {one} AS {named} FROM ({_GENE_ROWS}) GROUP BY ref_chr, region_id"""
+
+
+@query(_OF_ALL + sql.sweep(INTERVALS["support"]) + _gene_lists("string_agg(gene, ',' ORDER BY pos)", "genes"))
 def gene_lists_of_all(spark, folder):
-    lists = query_genes(event_annotation(spark, folder), None, 4, 1, SUPPORT)
+    lists = query_genes(line_annotation(spark, folder), None, **INTERVALS)
     return lists.withColumn("genes", F.concat_ws(",", "genes"))
 
 
-@query()
+@query(
+    _OF_ALL
+    + sql.sweep(INTERVALS["support"])
+    + _gene_lists("""'["' || string_agg(gene, '","' ORDER BY pos) || '"]'""", "document")
+)
 def gene_list_json(spark, folder):
-    return gene_list_documents(
-        query_genes(event_annotation(spark, folder), None, 4, 1, SUPPORT)
-    )
+    return gene_list_documents(query_genes(line_annotation(spark, folder), None, **INTERVALS))
 
 
 @query(
     _HULLS
     + sql.coverage(SUPPORT)
-    + """SELECT ref_chr, CAST(start // 65536 AS BIGINT) AS part,
-'[' || string_agg('[' || start || ',' || "end" || ']', ',' ORDER BY start) || ']' AS document
-FROM regions GROUP BY 1, 2"""
+    + """SELECT ref_chr, CAST(region_id AS BIGINT) AS region_id, '[' || start || ',' || "end" || ']' AS document
+FROM regions"""
 )
 def region_json(spark, folder):
     return region_documents(support_regions(_hulls(spark, folder), SUPPORT, "coverage"))
+
+
+@query(
+    _HULLS
+    + sql.coverage(SUPPORT)
+    + """SELECT ref_chr, CAST(region_id AS BIGINT) AS region_id, '[' || start || ',' || "end" || ']' AS document
+FROM regions"""
+)
+def region_json_read_back(spark, folder):
+    """Documents written with their keys and read again."""
+    target = table_path(spark, "documents")
+    documents = region_documents(support_regions(_hulls(spark, folder), SUPPORT, "coverage"))
+    write_documents(documents, target)
+    return spark.read.schema(documents.schema).json(target)

@@ -9,20 +9,20 @@ lines AS (
            l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS number
   FROM lineitem),
 genes AS (
-  SELECT l_suppkey * 100000 + number AS id,
-         'g' || (l_suppkey * 100000 + number) AS name,
+  SELECT l_suppkey * 4294967296 + number AS id,
+         'g' || (l_suppkey * 4294967296 + number) AS name,
          number * 1000 AS fmin,
          number * 1000 + 100 + CAST(l_quantity AS BIGINT) AS fmax,
          CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS strand,
          number,
          CASE WHEN l_linenumber <> 7 THEN 'P' || l_partkey ELSE '-1' END AS family,
-         1000000000 + l_suppkey AS chromosome
+         -1 - l_suppkey AS chromosome
   FROM lines),
 chromosomes AS (
-  SELECT 1000000000 + s_suppkey AS id, replace(s_name, '#', '.') AS name,
+  SELECT -1 - s_suppkey AS id, replace(s_name, '#', '.') AS name,
          CAST(max_fmax AS BIGINT) AS length, CAST(s_nationkey AS BIGINT) AS organism
   FROM supplier JOIN (SELECT chromosome, max(fmax) AS max_fmax FROM genes GROUP BY 1) g
-    ON g.chromosome = 1000000000 + s_suppkey),
+    ON g.chromosome = -1 - s_suppkey),
 organisms AS (
   SELECT CAST(n_nationkey AS BIGINT) AS id, r_name AS genus, n_name AS species
   FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -58,7 +58,7 @@ anchors AS (
 
 EVENTS = """
 event_order AS (
-  SELECT event_id, 1000000000 + user_id AS chromosome, event_type AS family,
+  SELECT event_id, -1 - user_id AS chromosome, event_type AS family,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos
   FROM events)
 """
@@ -228,3 +228,71 @@ regions AS (
          min(x) AS start, max(x) AS "end"
   FROM runs_of GROUP BY c, g)
 """
+
+
+def runs() -> str:
+    """CTEs ending in ``runs(rc, lc, rs, ls, re, le)`` from ``anchors``.
+
+    One state for each pair and island of consecutive ranks: the open runs in the order in which
+    they choose. A rank hands its free positions to them in one fold.
+    """
+    run, up, down = "x.kept[1]", "list_contains(acc.free, x.kept[1].e + 1)", "list_contains(acc.free, x.kept[1].e - 1)"
+    kind = "STRUCT(rs BIGINT, ls BIGINT, e BIGINT)[]"
+
+    def moved(by: str) -> str:
+        return f"acc.kept || [{{'rs': {run}.rs, 'ls': {run}.ls, 'e': {run}.e {by} 1}}]"
+
+    return f""",
+ranked AS (SELECT rc, lc, rp, list_sort(list(lp)) AS nums FROM anchors GROUP BY rc, lc, rp),
+placed AS (
+  SELECT *, rp - row_number() OVER (PARTITION BY rc, lc ORDER BY rp) AS island FROM ranked),
+walk(rc, lc, island, rp, held, shut) AS (
+  SELECT rc, lc, island, rp,
+    CAST(list_transform(nums, lambda v: {{'rs': rp, 'ls': v, 'e': v}}) AS {kind}), CAST([] AS {kind})
+  FROM placed QUALIFY row_number() OVER (PARTITION BY rc, lc, island ORDER BY rp) = 1
+  UNION ALL
+  SELECT rc, lc, island, rp,
+    s.kept || CAST(list_transform(s.free, lambda v: {{'rs': rp, 'ls': v, 'e': v}}) AS {kind}), s.shut
+  FROM (
+    SELECT p.rc, p.lc, p.island, p.rp, list_reduce(
+      list_transform(w.held, lambda h: {{'free': CAST([] AS BIGINT[]), 'kept': [h], 'shut': CAST([] AS {kind})}}),
+      lambda acc, x: {{
+        'free': CASE WHEN {up} THEN list_filter(acc.free, lambda f: f <> {run}.e + 1)
+          WHEN {down} THEN list_filter(acc.free, lambda f: f <> {run}.e - 1) ELSE acc.free END,
+        'kept': CASE WHEN {up} THEN {moved("+")} WHEN {down} THEN {moved("-")} ELSE acc.kept END,
+        'shut': CASE WHEN {up} OR {down} THEN acc.shut ELSE acc.shut || [{run}] END}},
+      {{'free': p.nums, 'kept': CAST([] AS {kind}), 'shut': CAST([] AS {kind})}}) AS s
+    FROM walk w JOIN placed p
+      ON p.rc = w.rc AND p.lc = w.lc AND p.island = w.island AND p.rp = w.rp + 1)),
+closed AS (
+  SELECT rc, lc, rp - 1 AS re, unnest(shut) AS r FROM walk
+  UNION ALL
+  SELECT rc, lc, rp, unnest(held) FROM (
+    SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY rc, lc, island ORDER BY rp DESC) = 1)),
+runs AS (SELECT rc, lc, r.rs AS rs, r.ls AS ls, re, r.e AS le FROM closed)
+"""
+
+
+def merged(intermediate: int, matched: int) -> str:
+    """CTEs ending in ``hulls(c, l, s, t)``: the merge as one fold over each pair's ``runs``."""
+    near = " OR ".join(
+        f"abs(o.{e} - a.{h}) <= {intermediate + 1}" for e in ("r0", "r1") for h in ("r0", "r1")
+    )
+    joins = f"(({near}) AND o.lo - a.hi - 1 <= {intermediate})"
+    return f""",
+folded AS (
+  SELECT rc, lc, list_reduce(
+    list({{'r0': rs, 'r1': re, 'lo': least(ls, le), 'hi': greatest(ls, le), 'n': re - rs + 1,
+      'done': CAST([] AS STRUCT(s BIGINT, t BIGINT)[])}} ORDER BY least(ls, le), re, rs, ls),
+    lambda a, o: {{
+      'r0': CASE WHEN {joins} THEN least(a.r0, o.r0) ELSE o.r0 END,
+      'r1': CASE WHEN {joins} THEN greatest(a.r1, o.r1) ELSE o.r1 END,
+      'lo': o.lo, 'hi': o.hi,
+      'n': CASE WHEN {joins} THEN a.n ELSE 0 END + o.n,
+      'done': CASE WHEN {joins} OR a.n < {matched} THEN a.done ELSE a.done || [{{'s': a.r0, 't': a.r1}}] END}}) AS f
+  FROM runs GROUP BY rc, lc),
+hulls AS (
+  SELECT rc AS c, lc AS l, h.s AS s, h.t AS t FROM (
+    SELECT rc, lc, unnest(CASE WHEN f.n >= {matched} THEN f.done || [{{'s': f.r0, 't': f.r1}}] ELSE f.done END) AS h
+    FROM folded))
+"""

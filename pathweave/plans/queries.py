@@ -104,7 +104,7 @@ def query_genes(
     mode: str = "sweep",
     paths: DataFrame | None = None,
 ) -> DataFrame:
-    """``(ref_chr, region_id, part, genes)``, the genes of each region as a list."""
+    """``(ref_chr, region_id, genes)``, the genes of each region as a list."""
     return region_gene_lists(
         query_gene_rows(annotation, chromosome, matched, intermediate, support, mode, paths)
     )

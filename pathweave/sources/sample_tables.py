@@ -13,8 +13,7 @@ from pathweave.session import materialise
 from pathweave.sources.annotation import SCHEMAS, Annotation
 
 # Fixed values of the mapping.
-CHROMOSOME_BASE = 1_000_000_000
-GENES_PER_CHROMOSOME = 100_000
+NUMBER_BITS = 32
 UNASSIGNED_LINE = 7
 NATIONS = 25
 EVENTS_FROM = "2024-01-01 00:00:00"
@@ -30,6 +29,25 @@ def _typed(name: str, df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
 
 
+def chromosome_id(key: Column) -> Column:
+    """Ids of chromosomes are negative, those of genes are not, so the two never meet."""
+    return -1 - _checked(key, 62)
+
+
+def gene_id(key: Column, number: Column) -> Column:
+    """The key above ``NUMBER_BITS`` bits of the gene's number on its chromosome."""
+    return F.shiftleft(_checked(key, 62 - NUMBER_BITS), NUMBER_BITS).bitwiseOR(
+        _checked(number, NUMBER_BITS)
+    )
+
+
+def _checked(value: Column, bits: int) -> Column:
+    """``value``, or a failed job where it needs a sign or more bits."""
+    message = F.concat(F.lit(f"no {bits}-bit number: "), value.cast("string"))
+    fits = value.between(0, (1 << bits) - 1) | value.isNull()
+    return F.when(fits, value.cast("long")).otherwise(F.raise_error(message).cast("long"))
+
+
 def chromosome_name(column: str) -> Column:
     return F.replace(F.col(column), F.lit("#"), F.lit("."))
 
@@ -72,7 +90,7 @@ def line_genes(spark: SparkSession, folder: str, dense: bool = False) -> DataFra
     return ranked.select(
         F.col("l_suppkey").alias("suppkey"),
         "number",
-        (F.col("l_suppkey") * GENES_PER_CHROMOSOME + F.col("number")).alias("gene_id"),
+        gene_id(F.col("l_suppkey"), F.col("number")).alias("gene_id"),
         fmin.alias("fmin"),
         (fmin + 100 + F.col("l_quantity").cast("int")).alias("fmax"),
         F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("strand"),
@@ -84,7 +102,7 @@ def line_annotation(spark: SparkSession, folder: str, dense: bool = False) -> An
     """Suppliers as chromosomes, their nations as organisms."""
     genes = materialise(line_genes(spark, folder, dense), "line-genes")
     suppliers = table(spark, folder, "supplier")
-    chromosome = F.col("suppkey") + CHROMOSOME_BASE
+    chromosome = chromosome_id(F.col("suppkey"))
     nation_of = suppliers.select(
         F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").alias("organism_id"), "s_name"
     )
@@ -133,14 +151,16 @@ def line_annotation(spark: SparkSession, folder: str, dense: bool = False) -> An
 
 def event_annotation(spark: SparkSession, folder: str) -> Annotation:
     """Users as chromosomes with their events in time order; few, dense families."""
-    events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")
+    events = table(spark, folder, "events").select(
+        _checked(F.col("event_id"), 62).alias("event_id"), "ts", "user_id", "event_type"
+    )
     events = materialise(
         ordered_rank(
             events, ["user_id"], ["ts", "event_id"], F.date_trunc("month", "ts"), "number"
         ),
         "event-genes",
     )
-    chromosome = F.col("user_id") + CHROMOSOME_BASE
+    chromosome = chromosome_id(F.col("user_id"))
     nation = F.pmod("user_id", F.lit(NATIONS))
     seconds = F.unix_timestamp("ts") - F.unix_timestamp(F.lit(EVENTS_FROM).cast("timestamp"))
     event_name = F.concat(F.lit("e"), F.col("event_id").cast("string"))

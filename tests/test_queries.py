@@ -12,6 +12,7 @@ from pathweave.sources.documents import (
     region_documents,
     synteny_documents,
     write_documents,
+    write_synteny,
 )
 from pathweave.sources.graph_tables import export_tables, load_graph
 
@@ -89,7 +90,8 @@ def test_query_genes(annotation):
     ]
     assert got == want and want
     documents = gene_list_documents(lists).collect()
-    assert [json.loads(r.document) for r in documents] == [want]
+    documents.sort(key=lambda r: r.region_id)
+    assert [json.loads(r.document) for r in documents] == want
 
 
 def test_long_regions_unfold_in_parts(spark, annotation):
@@ -134,9 +136,15 @@ def test_macro_synteny(spark, annotation, tmp_path):
     got = sorted((r.rel_chr, r.orientation, r.start, r.stop) for r in blocks.collect())
     want = sorted((rel, *b) for rel in PATHS if rel != 2 for b in blocks_of(2, rel))
     assert got == want and want
-    (row,) = synteny_documents(blocks).collect()
-    document = json.loads(row.document)
+    shown = synteny_documents(blocks)
+    assert {(r.ref_chr, r.ref_name, r.ref_length) for r in shown.collect()} == {(2, "chr2", 5000)}
+    write_synteny(shown, str(tmp_path / "doc"))
+    (file,) = (tmp_path / "doc" / "ref_chr=2").glob("part-*")
+    document = json.loads(file.read_text())
     assert (document["chromosome"], document["length"]) == ("chr2", 5000)
+    assert document["tracks"] == [
+        json.loads(r.document) for r in sorted(shown.collect(), key=lambda r: r.rel_chr)
+    ]
     tracks = {t["chromosome"]: t for t in document["tracks"]}
     for rel in PATHS:
         expected = blocks_of(2, rel) if rel != 2 else []
@@ -146,11 +154,10 @@ def test_macro_synteny(spark, annotation, tmp_path):
         track = tracks[f"chr{rel}"]
         assert track["genus"] == ("Odd" if rel % 2 else "Even")
         assert [(b["orientation"], b["start"], b["stop"]) for b in track["blocks"]] == expected
-    small = [json.loads(r.document) for r in synteny_documents(blocks, 2).collect()]
-    assert len(small) > 1
-    assert sum(len(t["blocks"]) for d in small for t in d["tracks"]) == len(want)
-    write_documents(synteny_documents(blocks), str(tmp_path / "doc"))
-    assert json.loads(spark.read.text(str(tmp_path / "doc")).first()[0]) == document
+    assert sum(len(t["blocks"]) for t in document["tracks"]) == len(want)
+    write_documents(shown, str(tmp_path / "rows"))
+    again = spark.read.schema(shown.schema).json(str(tmp_path / "rows"))
+    assert sorted(again.collect()) == sorted(shown.collect())
     export_tables(annotation, str(tmp_path / "csv"))
     loaded = q.graph_synteny(load_graph(spark, str(tmp_path / "csv")), "2", 2, 5)
     again = sorted((int(r.rel_chr), r.orientation, r.start, r.stop) for r in loaded.collect())
@@ -173,6 +180,7 @@ def test_region_documents(spark):
         [(1, 0, 2, 5), (1, 1, 7, 9), (2, 0, 1, 1)],
         "ref_chr long, region_id long, start long, end long",
     )
-    got = {(r.ref_chr, r.part): r.document for r in region_documents(regions).collect()}
-    assert got == {(1, 0): "[[2,5],[7,9]]", (2, 0): "[[1,1]]"}
-    assert len(region_documents(regions, width=4).collect()) == 3
+    got = {(r.ref_chr, r.region_id): r.document for r in region_documents(regions).collect()}
+    assert got == {(1, 0): "[2,5]", (1, 1): "[7,9]", (2, 0): "[1,1]"}
+    lists = spark.createDataFrame([(1, 0, ["a", 'b"'])], "ref_chr long, region_id long, genes array<string>")
+    assert gene_list_documents(lists).first().document == '["a","b\\""]'
