@@ -12,6 +12,10 @@ from pathweave.llm.queries import tokenizer_file
 from pathweave.session import materialise
 
 
+#: Workers that have run four other stages have less memory left for a table of chunks.
+TABLE_CHUNKS = 150_000
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or between two of them, go."""
     return language_id.accepted(docs, language_id.fit(docs))
@@ -36,7 +40,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+    return packing.pack_documents(
+        docs, tokenizer_file("word_bpe_49k.json"), table_chunks=TABLE_CHUNKS
+    )
 
 
 STAGES = [

@@ -1,7 +1,8 @@
 """Distinct-chunk tables: each distinct chunk of text is encoded once a task, then joined back.
 
 An encoder fits when it gives a text the ids of its chunks one after the other. The table of a
-Python worker is emptied once it holds ``TABLE_CHUNKS`` chunks, which changes no result.
+Python worker is emptied once it holds ``most`` chunks, about 200 bytes each, which changes no
+result.
 """
 
 from __future__ import annotations

@@ -32,6 +32,8 @@ SAMPLE_DOCUMENTS = 256
 #: Bits of a codeword for each bit that tells the languages apart.
 REDUNDANCY = 8
 STEPS = 300
+#: Texts whose counts are held together.
+TOGETHER = 128
 #: Below this lead of the best codeword over the second the text is ambiguous.
 LEAST_LEAD = 0.02
 SEED = 17
@@ -145,14 +147,15 @@ def fit(documents: DataFrame) -> Coder | None:
 
     def run(batches):
         for piece in slices(batches):
-            texts = Texts(piece.column(1))
-            good = lettered(texts, piece.column(1))
-            counts = feature_counts(texts)
             places, amounts = [], []
-            for k in range(texts.count):
-                at = np.flatnonzero(counts[k]) if good[k] else np.zeros(0, np.int64)
-                places.append(at.astype(np.int16).tobytes())
-                amounts.append(counts[k][at].tobytes())
+            for begin in range(0, piece.num_rows, TOGETHER):
+                part = piece.column(1).slice(begin, TOGETHER)
+                texts = Texts(part)
+                good, counts = lettered(texts, part), feature_counts(texts)
+                for k in range(texts.count):
+                    at = np.flatnonzero(counts[k]) if good[k] else np.zeros(0, np.int64)
+                    places.append(at.astype(np.int16).tobytes())
+                    amounts.append(counts[k][at].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), piece.column(2), pa.array(places), pa.array(amounts)],
                 names=["doc_id", "lang", "places", "amounts"],
@@ -202,9 +205,9 @@ def _judged(coder: Coder | None, column: pa.Array) -> tuple[list[str], np.ndarra
         names = [coder.languages[0] if k else UNKNOWN for k in known]
         score, lead = known.astype(float), np.where(known, 1.0, 0.0)
     elif known.any():
-        for begin in range(0, texts.count, 256):
-            best, chance, ahead = coder.decode(features(Texts(column.slice(begin, 256))))
-            for k in np.flatnonzero(known[begin : begin + 256]).tolist():
+        for begin in range(0, texts.count, TOGETHER):
+            best, chance, ahead = coder.decode(features(Texts(column.slice(begin, TOGETHER))))
+            for k in np.flatnonzero(known[begin : begin + TOGETHER]).tolist():
                 names[begin + k] = coder.languages[best[k]]
                 score[begin + k], lead[begin + k] = chance[k], ahead[k]
     return names, np.clip(score, 0, 1), ~known | (lead < LEAST_LEAD)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pathweave.llm.chunks import ChunkTable
+from pathweave.llm.chunks import TABLE_CHUNKS, ChunkTable
 from pathweave.llm.texts import slices
 from pathweave.session import materialise
 
@@ -46,7 +46,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(file: str):
+def _tokenizer(file: str, most: int):
     """The tokenizer and its table: white-space separated chunk -> ids as bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
     from tokenizers import Tokenizer
@@ -89,19 +89,21 @@ def _tokenizer(file: str):
         known.update(zip(new, words(new), strict=True))
         return [known[w] + marks[c[-1]] if m else known[w] for c, m, w in zip(chunks, cut, whole, strict=True)]
 
-    table = ChunkTable(encode)
+    table = ChunkTable(encode, most)
     lower = ids(["Ab\u00c9"]) == ids(["ab\u00e9"])
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     return lower, special, table
 
 
-def token_ids(texts: list[str], tokenizer_file: str) -> list[bytes]:
+def token_ids(
+    texts: list[str], tokenizer_file: str, table_chunks: int = TABLE_CHUNKS
+) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
     Fits tokenizers that drop white space, so that a text's ids are those of its words. Texts of
     Latin-1 characters are put into lower case first where the tokenizer does so.
     """
-    lower, special, table = _tokenizer(tokenizer_file)
+    lower, special, table = _tokenizer(tokenizer_file, table_chunks)
     chunked = []
     for text in texts:
         if lower and (text.isascii() or _latin(text)):
@@ -122,7 +124,11 @@ def _latin(text: str) -> bool:
 
 
 def document_pieces(
-    documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID
+    documents: DataFrame,
+    tokenizer_file: str,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    table_chunks: int = TABLE_CHUNKS,
 ) -> DataFrame:
     """``PIECES``: every document's ids cut into pieces of at most ``capacity``."""
     end = array("I", [end_id]).tobytes()
@@ -131,7 +137,8 @@ def document_pieces(
     def run(batches):
         for batch in slices(batches):
             rows = ([], [], [], [], [])
-            coded = token_ids([t or "" for t in batch.column(1).to_pylist()], tokenizer_file)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            coded = token_ids(texts, tokenizer_file, table_chunks)
             for doc, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
                 ids += end
                 for k in range(0, len(ids), width):
@@ -314,5 +321,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(document_pieces(documents, tokenizer_file, capacity), capacity)
+def pack_documents(
+    documents: DataFrame,
+    tokenizer_file: str,
+    capacity: int = CAPACITY,
+    table_chunks: int = TABLE_CHUNKS,
+) -> DataFrame:
+    pieces = document_pieces(documents, tokenizer_file, capacity, END_ID, table_chunks)
+    return pack(pieces, capacity)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken together up to so many UTF-8 bytes.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
