@@ -67,14 +67,19 @@ def remove_tables(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def files_for(rows: int) -> int:
+    """Files for a table of about so many short rows."""
+    return 2 + rows // 500_000
+
+
+def materialise(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several branches read the same rows: the work is done once, the
     lineage is cut, a lost executor costs a re-read, and Catalyst sees the true
-    size when it picks a join.
+    size when it picks a join. ``files`` keeps a table that is known to be small in few files.
     """
     spark = df.sparkSession
     path = table_path(spark, label)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
