@@ -10,28 +10,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pathweave.session import materialise
+from pathweave.session import files_for, materialise
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def components(
+    edges: DataFrame, label: str = "components", files: int | None = None
+) -> DataFrame:
     """``node, root`` of every node of an edge; ``edges`` has long columns ``a`` and ``b``.
 
-    The root is the least node of the component.
+    The root is the least node of the component. ``files`` are those of the first edge table.
     """
-    edges = materialise(edges.filter("a <> b").select("a", "b").distinct(), label)
+    edges = materialise(edges.filter("a <> b").select("a", "b").distinct(), label, files)
     roots = None
-    while not edges.isEmpty():
+    while left := edges.count():
+        some = files_for(left)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
-        up = materialise(up.select("node", F.least("node", "up").alias("up")), label)
-        for _ in range(2):
-            up = materialise(_jump(up, up, "up"), label)
+        up = materialise(up.select("node", F.least("node", "up").alias("up")), label, some)
+        up = materialise(_jump(_jump(up, up, "up"), up, "up"), label, some)
+        nodes = up.count() if roots is None else roots.count()
         roots = up.withColumnRenamed("up", "root") if roots is None else _jump(roots, up, "root")
-        roots = materialise(roots, label)
+        roots = materialise(roots, label, files_for(nodes))
         ends = edges
         for side in ("a", "b"):
             ends = _jump(ends, up, side)
-        edges = materialise(ends.filter("a <> b").distinct(), label)
+        edges = materialise(ends.filter("a <> b").distinct(), label, some)
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots

@@ -35,13 +35,15 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from pathweave.llm.components import components
 from pathweave.llm.texts import Texts, mixed, slices, span_hashes, window_hashes
-from pathweave.session import materialise
+from pathweave.session import files_for, materialise
 
 #: Shingles that a task packs together.
 CHUNK = 1 << 18
 #: Shingles that a task of a packed exchange gets on average, and the least number of parts.
 TASK_SHINGLES = 1 << 19
 LEAST_PARTS = 256
+#: Tasks that make whole sets, besides one for each ``TASK_SHINGLES``.
+LEAST_TASKS = 12
 #: Classes of a cluster's block; classes and shingles of a group of the matrix.
 BLOCK = 512
 GROUP = 64
@@ -288,7 +290,7 @@ def prefix_credits(sets: DataFrame, shingles: int) -> DataFrame:
     )
 
 
-def whole_sets(documents: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+def whole_sets(documents: DataFrame, chosen: DataFrame, size: int, tasks: int) -> DataFrame:
     """Packed chunks ``chunk, sids, sizes, shingles`` of the chosen ``sid, doc_id``."""
 
     def run(batches):
@@ -319,6 +321,7 @@ def whole_sets(documents: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
         .filter("_marked")  # other texts are not shuffled
         .join(chosen, "doc_id")
         .select("text", "sid")
+        .coalesce(tasks)
         .mapInArrow(run, "chunk long, sids binary, sizes binary, shingles binary")
     )
 
@@ -396,7 +399,9 @@ def frequencies(chunks: DataFrame, shingles: int) -> DataFrame:
 _LISTED = "sid long, n long, shared binary, a long, b long, part int, keys binary, owners binary"
 
 
-def listed_sets(chunks: DataFrame, found: DataFrame, limit: Threshold, shingles: int) -> DataFrame:
+def listed_sets(
+    chunks: DataFrame, found: DataFrame, limit: Threshold, shingles: int, tasks: int
+) -> DataFrame:
     """Three kinds of rows: sets that may link (``sid, n, shared``), edges between sets of a chunk
     that share a prefix shingle (``a, b``), and each prefix shingle of a chunk with one of its
     sets (``part, keys, owners``)."""
@@ -453,6 +458,7 @@ def listed_sets(chunks: DataFrame, found: DataFrame, limit: Threshold, shingles:
     return (
         chunks.join(answers, "chunk")
         .select("sids", "sizes", "shingles", "answers")
+        .coalesce(tasks)
         .mapInArrow(run, _LISTED)
     )
 
@@ -621,7 +627,7 @@ def linked_sets(members: DataFrame, limit: Threshold) -> DataFrame:
     return members.mapInArrow(run, "a long, b long, links long")
 
 
-def block_pairs(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+def block_pairs(sets: DataFrame, clusters: DataFrame, files: int) -> DataFrame:
     """The sets of every cluster, once for each pair of blocks in which their block takes part."""
     spark = sets.sparkSession
     sizes = clusters.groupBy(F.col("root").alias("cluster")).count()
@@ -630,6 +636,7 @@ def block_pairs(sets: DataFrame, clusters: DataFrame) -> DataFrame:
             "cluster", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")
         ),
         "large",
+        files,
     )
     placed = (
         clusters.withColumnRenamed("root", "cluster")
@@ -644,7 +651,7 @@ def block_pairs(sets: DataFrame, clusters: DataFrame) -> DataFrame:
             F.when(F.col("block") > other, 1).otherwise(0).alias("side"),
         ),
     )
-    joined = sets.join(materialise(placed, "placed"), "sid").withColumn("at", F.explode(ends))
+    joined = sets.join(materialise(placed, "placed", files), "sid").withColumn("at", F.explode(ends))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         joined.select("cluster", "at.i", "at.j", "at.side", "sid", "n", "copies", "shared")
@@ -660,7 +667,8 @@ def classed_sets(documents: DataFrame, size: int, num: int, den: int) -> tuple[D
     classes = sets.filter("sid is not null").groupBy("sid", "n").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")
     )
-    classes = materialise(classes, "classes")
+    few = files_for(sets.count())
+    classes = materialise(classes, "classes", few)
     shingles = int(classes.agg(F.sum("n")).collect()[0][0] or 0)
     need = F.ceil(F.col("n") * F.lit(num) / F.lit(den))
     asked = F.greatest(F.lit(1), F.floor(F.lit(SPARE) * need - F.lit(1e-6)))
@@ -670,29 +678,35 @@ def classed_sets(documents: DataFrame, size: int, num: int, den: int) -> tuple[D
         .filter((F.col("credit") >= asked) & F.col("doc_id").isNotNull())
         .select("sid", "doc_id", "n", "copies"),
         "chosen",
+        few,
     )
     left = int(chosen.agg(F.sum("n")).collect()[0][0] or 0)
-    chunks = materialise(whole_sets(documents, chosen.select("sid", "doc_id"), size), "chunks")
-    listed = materialise(listed_sets(chunks, frequencies(chunks, left), limit, left), "listed")
-    clusters = components(cluster_edges(listed, left), "clusters")
+    tasks = LEAST_TASKS + left // TASK_SHINGLES
+    chunks = materialise(whole_sets(documents, chosen.select("sid", "doc_id"), size, tasks), "chunks")
+    listed = listed_sets(chunks, frequencies(chunks, left), limit, left, tasks)
+    listed = materialise(listed, "listed")
+    clusters = components(cluster_edges(listed, left), "clusters", few)
     lists = (
         listed.filter("sid is not null")
         .select("sid", "n", "shared")
         .join(chosen.select("sid", "copies"), "sid")
     )
-    linked = materialise(linked_sets(block_pairs(lists, clusters), limit), "linked")
-    roots = components(linked.select("a", "b"), "roots").withColumnRenamed("node", "sid")
+    found = linked_sets(block_pairs(lists, clusters, few), limit)
+    linked = materialise(found.repartition(few), "linked")
+    roots = components(linked.select("a", "b"), "roots", few).withColumnRenamed("node", "sid")
     links = linked.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
-    known = classes.join(materialise(roots, "roots"), "sid", "left").withColumn(
+    known = classes.join(roots, "sid", "left").withColumn(
         "root", F.coalesce("root", "sid")
     )
-    known = materialise(known.join(links, "sid", "left"), "known")
-    first = materialise(known.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
+    known = materialise(known.join(links, "sid", "left"), "known", few)
+    first = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    first = materialise(first, "first", few)
     answer = materialise(
         known.join(first, "root").select(
             "sid", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
         ),
         "answer",
+        few,
     )
     return sets.select("doc_id", "n", "sid"), answer
 
@@ -729,7 +743,8 @@ def one_of_each(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     doubtful = rows.join(answer, "sid").select(
         "doc_id", "sid", (F.col("doc_id") == F.col("component_id")).alias("stays"), "count"
     )
-    doubtful = materialise(doubtful.filter("not stays or count > 1"), "doubtful")
+    doubtful = doubtful.filter("not stays or count > 1")
+    doubtful = materialise(doubtful, "doubtful", files_for(sets.count()))
     place = documents.columns.index("text")
     schema = StructType([*documents.schema.fields, StructField("_sid", LongType())])
 

@@ -188,3 +188,83 @@ SELECT conv_id, CASE WHEN n % 13 = 0 THEN put ELSE greatest(put, slot) END,
   || '","kind":"result","role":"tool","status":"' || CASE WHEN n % 13 = 0 THEN 'orphan' ELSE 'linked' END || '"}'
 FROM (SELECT *, CASE WHEN n % 4 = 0 THEN 3 * t ELSE 3 * t + 2 END AS put FROM full_call WHERE n % 17 <> 0)
 """
+
+_WS = "[\\x20\\x09-\\x0D]"
+_PERSONAL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_VALID = """CASE kind WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(f, '.'), lambda v: CAST(v AS HUGEINT) > 255)) = 0
+    WHEN 2 THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j:
+      CASE WHEN j % 2 = 1 THEN CAST(d[-j] AS BIGINT)
+        WHEN CAST(d[-j] AS BIGINT) > 4 THEN 2 * CAST(d[-j] AS BIGINT) - 9 ELSE 2 * CAST(d[-j] AS BIGINT) END)) % 10 = 0
+    ELSE length(d) BETWEEN 9 AND 15 END"""
+
+
+def _matches(kind: int, pattern: str) -> str:
+    return (
+        f"SELECT k, {kind} AS kind, regexp_extract_all(text, '{pattern}') AS fs, "
+        f"string_split_regex(text, '{pattern}') AS gs FROM told"
+    )
+
+
+ORACLES["op1_personal_data"] = f"""
+WITH told AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+tried AS ({" UNION ALL ".join(_matches(k, p) for k, p in enumerate(_PERSONAL.values()))}),
+one AS (
+  SELECT k, kind, unnest(fs) AS f, unnest(gs[1:len(fs)]) AS g, unnest(range(1, len(fs) + 1)) AS i
+  FROM tried WHERE len(fs) > 0),
+placed AS (
+  SELECT k, kind, f, CAST(sum(length(g) + length(f)) OVER (PARTITION BY k, kind ORDER BY i) AS BIGINT) AS stop,
+    regexp_replace(f, '[^0-9]', '', 'g') AS d FROM one),
+base AS (SELECT k, kind, f, stop - length(f) AS start, stop FROM placed WHERE {_VALID}),
+windows AS (
+  SELECT b.*, greatest(0, start - 192) AS low, text, kind || ':' || lower(f) AS entity,
+    string_split_regex(substr(text, greatest(0, start - 192) + 1, start - greatest(0, start - 192)), '{_WS}') AS a,
+    string_split_regex(substr(text, stop + 1, 192), '{_WS}') AS z
+  FROM base b JOIN told USING (k)),
+pieces AS (
+  SELECT k, entity, 0 AS side, low AS shift, start AS own, unnest(a) AS w, unnest(range(1, len(a) + 1)) AS i, len(a) AS n FROM windows
+  UNION ALL
+  SELECT k, entity, 1, stop, start, unnest(z), unnest(range(1, len(z) + 1)), len(z) FROM windows),
+laid AS (
+  SELECT *, CAST(shift + i - 1 + sum(length(w)) OVER (PARTITION BY k, entity, own, side ORDER BY i) AS BIGINT) AS stop
+  FROM pieces),
+close AS (
+  SELECT *, row_number() OVER (PARTITION BY k, entity, own, side ORDER BY CASE WHEN side = 0 THEN -i ELSE i END) AS r
+  FROM laid WHERE i > 1 AND i < n AND w <> ''),
+near AS (
+  SELECT DISTINCT k, entity, lower(w) AS term, stop - length(w) AS start, stop FROM close
+  WHERE r <= 3 AND regexp_matches(w, '^\\pL')),
+total AS (SELECT count(*) AS n FROM told),
+pair AS (
+  SELECT entity, term, count(*) AS n_te FROM (SELECT DISTINCT k, entity, term FROM near) JOIN told USING (k)
+  GROUP BY entity, term HAVING count(DISTINCT text) >= 3),
+times AS (
+  SELECT term, count(*) AS n_t FROM (SELECT DISTINCT k, unnest(string_split_regex(lower(text), '{_WS}+')) AS term FROM told)
+  WHERE term IN (SELECT term FROM pair) GROUP BY term),
+entities AS (
+  SELECT entity, count(*) AS n_e FROM (SELECT DISTINCT k, kind || ':' || lower(f) AS entity FROM base) GROUP BY entity),
+flagged AS (
+  SELECT entity, term FROM pair JOIN times USING (term) JOIN entities USING (entity), total
+  WHERE n > n_e AND floor(log2(n_te * n / (n_e * n_t)) / log2(n / n_e) * 1e6 + 0.5) / 1e6 >= 0.85),
+added AS (
+  SELECT DISTINCT k, start, stop FROM near SEMI JOIN flagged USING (entity, term) WHERE NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.k = near.k AND b.start < near.stop AND near.start < b.stop)),
+every AS (
+  SELECT k, kind, ['email', 'ip', 'card', 'phone'][kind + 1] AS name, start, stop FROM base
+  UNION ALL SELECT k, 4, 'term', start, stop FROM added),
+joined AS (
+  SELECT k, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY kind, start) AS spans,
+    string_agg(name || ':' || start || ':' || stop, ',' ORDER BY kind, start) FILTER (kind < 4) AS base,
+    count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip,
+    count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone, count(*) FILTER (kind = 4) AS n_terms
+  FROM every GROUP BY k)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+  coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_terms, 0) AS n_terms
+FROM told LEFT JOIN joined USING (k)
+"""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pathweave.llm.chunks import TABLE_CHUNKS, ChunkTable
 from pathweave.llm.texts import slices
-from pathweave.session import materialise
+from pathweave.session import files_for, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -287,7 +287,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     buckets = max(1, -(-rows // BUCKET_ROWS))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     groups = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("pieces"))
-    groups = materialise(groups, "lengths")
+    groups = materialise(groups, "lengths", files_for(rows))
     counts = np.zeros(capacity + 1, np.int64)
     for row in groups.groupBy("length").agg(F.sum("pieces").alias("pieces")).collect():
         counts[row["length"]] = row["pieces"]

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathweave.session import materialise
+from pathweave.session import files_for, materialise
 
 #: Kinds in their order, how they are written, and the words' separators.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -189,7 +189,7 @@ def disclosing_terms(documents: DataFrame, found: DataFrame) -> DataFrame:
         .groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts"))
         .filter(F.col("texts") >= SUPPORT)
     )
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(pairs, "pairs", files_for(total))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     # every word of the corpus is counted, combined before the shuffle, and only then looked up
@@ -241,7 +241,7 @@ def find(documents: DataFrame) -> DataFrame:
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
     )
-    added = materialise(added, "added")
+    added = materialise(added, "added", files_for(found.count()))
     joined = found.join(added, "row", "left")
     base = F.transform(
         "spans",

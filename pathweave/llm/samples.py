@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pathweave.session import materialise
+from pathweave.session import files_for, materialise
 
 #: Chosen ids are sent to every task up to so many; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 65_536
@@ -23,7 +23,7 @@ def bounded_sample(rows: DataFrame, size: int, *strata: str) -> DataFrame:
         .select("doc_id")
         .distinct()
     )
-    chosen = materialise(chosen, "sample")
+    chosen = materialise(chosen, "sample", files_for(size))
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
     kept = rows.join(chosen, "doc_id", "left_semi")

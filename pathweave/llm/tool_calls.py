@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathweave.session import materialise
+from pathweave.session import files_for, materialise
 
 #: The parts of a call, and how VARIANT names the types of JSON schemas.
 CALL = "array<struct<id:string,name:string,arguments:variant,after:array<string>>>"
@@ -93,7 +93,7 @@ def events_of(messages: DataFrame) -> DataFrame:
     return plain.unionByName(called).withColumn("event", F.monotonically_increasing_id())
 
 
-def linked(events: DataFrame) -> DataFrame:
+def linked(events: DataFrame, files: int | None = None) -> DataFrame:
     """Events with ``call`` (the event that a result belongs to, or a call itself) and ``status``."""
     calls = events.filter("kind = 'call'")
     # the first call of an identifier, combined before the shuffle
@@ -101,13 +101,13 @@ def linked(events: DataFrame) -> DataFrame:
         F.min(F.struct("turn", "place", "event")).alias("first")
     )
     first = materialise(
-        first.select("conv_id", "id", F.col("first.event").alias("call")), "calls"
+        first.select("conv_id", "id", F.col("first.event").alias("call")), "calls", files
     )
     answered = (
         events.filter("kind = 'result'").select("conv_id", "id").distinct()
         .join(first, ["conv_id", "id"]).select("call", F.lit(True).alias("answered"))
     )
-    answered = materialise(answered, "answered")
+    answered = materialise(answered, "answered", files)
     own = F.col("call") == F.col("event")
     return (
         events.join(first, ["conv_id", "id"], "left")
@@ -126,7 +126,7 @@ def linked(events: DataFrame) -> DataFrame:
     )
 
 
-def call_levels(found: DataFrame) -> DataFrame:
+def call_levels(found: DataFrame, files: int | None = None) -> DataFrame:
     """``call, level, slot`` of each first call.
 
     Each round settles the calls whose needs are all settled, and lets a call that waits for one
@@ -139,7 +139,7 @@ def call_levels(found: DataFrame) -> DataFrame:
         .select("call", "conv_id", "id", "after", "turn")
         .join(answers, "call", "left")
     )
-    calls = materialise(calls, "first")
+    calls = materialise(calls, "first", files)
     names = calls.select("conv_id", F.col("id").alias("need"), F.col("call").alias("source"))
     # a call stands ``add`` behind its source, and not before the turn ``floor``
     needs = (
@@ -148,12 +148,13 @@ def call_levels(found: DataFrame) -> DataFrame:
         .join(names, ["conv_id", "need"])
         .select("call", "source", F.lit(2).cast("long").alias("add"), F.lit(None).cast("long").alias("floor"))
     )
-    needs = materialise(needs, "needs")
+    needs = materialise(needs, "needs", files)
     settled = materialise(
         calls.join(needs.select("call").distinct(), "call", "left_anti").select(
             "call", F.lit(1).cast("long").alias("level"), F.col("turn").alias("slot"), "answered"
         ),
         "settled",
+        files,
     )
     while not needs.isEmpty():
         known = settled.select(
@@ -172,11 +173,11 @@ def call_levels(found: DataFrame) -> DataFrame:
             .join(calls, "call")
             .select("call", "level", F.greatest("turn", "since").alias("slot"), "answered")
         )
-        ready = materialise(ready, "ready")
+        ready = materialise(ready, "ready", files)
         if ready.isEmpty():
             break
-        settled = materialise(settled.unionByName(ready), "settled")
-        waiting = materialise(needs.join(ready, "call", "left_anti"), "waiting")
+        settled = materialise(settled.unionByName(ready), "settled", files)
+        waiting = materialise(needs.join(ready, "call", "left_anti"), "waiting", files)
         single = (
             waiting.groupBy(F.col("call").alias("source"))
             .agg(
@@ -188,13 +189,14 @@ def call_levels(found: DataFrame) -> DataFrame:
             .select("source", "over", "more", F.greatest("least", "turn", "answered").alias("least"))
         )
         needs = materialise(
-            waiting.join(materialise(single, "single"), "source", "left").select(
+            waiting.join(materialise(single, "single", files), "source", "left").select(
                 "call",
                 F.coalesce("over", "source").alias("source"),
                 (F.col("add") + F.coalesce("more", F.lit(0))).alias("add"),
                 F.greatest("floor", "least").alias("floor"),
             ),
             "needs",
+            files,
         )
     return settled
 
@@ -244,10 +246,12 @@ def canonical(json: Column) -> Column:
 
 def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """``conv_id, slot, level, turn, place, kind, status, errors, json``: one row for each event."""
-    found = materialise(linked(materialise(events_of(messages), "events")), "linked")
-    levels = call_levels(found)
+    events = materialise(events_of(messages), "events")
+    few = files_for(events.count())
+    found = materialise(linked(events, few), "linked", few)
+    levels = call_levels(found, few)
     errors = argument_errors(found, schemas)
-    joined = found.join(levels.drop("answered"), "call", "left").join(materialise(errors, "errors"), "event", "left")
+    joined = found.join(levels.drop("answered"), "call", "left").join(materialise(errors, "errors", few), "event", "left")
     first = (F.col("kind") == "call") & (F.col("call") == F.col("event"))
     cyclic = F.col("call").isNotNull() & F.col("level").isNull() & (first | (F.col("kind") == "result"))
     level = (
