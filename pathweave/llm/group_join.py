@@ -77,7 +77,7 @@ def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
         ]
         hashes = np.concatenate([hashes, mixed(np.array(whole, np.uint64))])
         number = np.concatenate([number, short])
-    # a slice has fewer texts than 2**22, as every text with words has two bytes with its border
+    # a slice has fewer texts than 2**22
     order = np.argsort((number.astype(np.uint64) << np.uint64(42)) | (hashes >> np.uint64(22)))
     hashes, number = hashes[order], number[order]
     fresh = np.ones(len(hashes), bool)
@@ -756,10 +756,10 @@ def one_of_each(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5)
 
     flagged = marked(documents, doubtful.select("doc_id"))
     looked = flagged.filter("_marked").drop("_marked").mapInArrow(run, schema)
-    keys = doubtful.select(F.col("doc_id").alias("_id"), F.col("sid").alias("_key"), "stays")
+    keys = doubtful.select(F.col("doc_id").alias("_id"), F.col("sid").alias("_key"), F.col("stays").alias("_stays"))
     judged = looked.join(
         keys, (looked["doc_id"].cast("long") == keys["_id"]) & (looked["_sid"] == keys["_key"]), "left"
     )
-    free = judged.filter("stays is null").select(*documents.columns)
-    repeated = judged.filter("stays").dropDuplicates(["_id", "_key"]).select(*documents.columns)
+    free = judged.filter("_stays is null").select(*documents.columns)
+    repeated = judged.filter("_stays").dropDuplicates(["_id", "_key"]).select(*documents.columns)
     return flagged.filter("not _marked").select(*documents.columns).unionByName(free).unionByName(repeated)

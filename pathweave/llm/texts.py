@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Texts are taken together up to so many UTF-8 bytes.
 SLICE_BYTES = 1 << 19
+#: And up to so many in number.
+SLICE_TEXTS = 10_000
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -124,6 +126,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         while begin < batch.num_rows:
             before = sizes[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+            end = min(end, begin + SLICE_TEXTS)
             yield batch.slice(begin, end - begin)
             begin = end
 

@@ -30,9 +30,9 @@ def awkward_documents(spark, seed=5):
     rows += [(315, "one two", "en"), (316, "one two", "en"), (317, "one two three", "en")]
     rows += [(320, "word " * 30000, "en"), (321, "x" * 200000, "en"), (322, "line\n" * 5000, "en")]
     rows += [(330, 'token = "' + "a1B2c3D4" * 4 + '" end of it', "en"), (None, "no id here at all", "en")]
-    clashing = "score double, rank int, sid long, n long, word string, part int, kept boolean, row long, call string"
+    clashing = "score double, rank int, sid long, n long, word string, part int, kept boolean, row long, call string, stays boolean, a long, side int"
     return spark.createDataFrame(
-        [(*r, None, "src", len(r[1] or ""), 0.5, 1, 2, 3, "w", 4, True, 5, "c") for r in rows],
+        [(*r, None, "src", len(r[1] or ""), 0.5, 1, 2, 3, "w", 4, True, 5, "c", False, 6, 7) for r in rows],
         f"doc_id long, text string, lang string, extra string, source string, n_chars long, {clashing}",
     ).repartition(5)
 
