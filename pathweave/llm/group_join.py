@@ -723,6 +723,7 @@ def jaccard_classes(
     return (
         sets.withColumnRenamed("n", "n_shingles")
         .join(answer, "sid", "left")
+        .coalesce(files_for(sets.count()))
         .select(
             "doc_id", "n_shingles",
             F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),

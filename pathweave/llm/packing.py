@@ -316,7 +316,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
+    placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    return placed.coalesce(files_for(rows)).mapInArrow(
         run, PIECES + ", sequence_id long, offset long"
     )
 

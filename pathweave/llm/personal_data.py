@@ -241,8 +241,9 @@ def find(documents: DataFrame) -> DataFrame:
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
     )
-    added = materialise(added, "added", files_for(found.count()))
-    joined = found.join(added, "row", "left")
+    few = files_for(found.count())
+    added = materialise(added, "added", few)
+    joined = found.join(added, "row", "left").coalesce(few)
     base = F.transform(
         "spans",
         lambda s: F.struct(

@@ -252,6 +252,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     levels = call_levels(found, few)
     errors = argument_errors(found, schemas)
     joined = found.join(levels.drop("answered"), "call", "left").join(materialise(errors, "errors", few), "event", "left")
+    joined = joined.coalesce(few)
     first = (F.col("kind") == "call") & (F.col("call") == F.col("event"))
     cyclic = F.col("call").isNotNull() & F.col("level").isNull() & (first | (F.col("kind") == "result"))
     level = (
