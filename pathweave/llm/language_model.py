@@ -1,44 +1,46 @@
 """Language-model scoring: stupid backoff over n-gram count tables partitioned by hash.
 
-The model is a bigram model over all documents. Words seen in at least one of
-``VOCABULARY`` words have their own place in it and all others share one, so the word table has
-at most ``VOCABULARY`` rows at any size of the corpus; it is the only thing sent to every task.
-A bigram seen at least ``LEAST`` times scores its count over its first word's as a first word;
-any other backs off to ``BACKOFF`` times the share of its second word among all words, and so
-does the first word of a document without the factor.
-
-Each document's n-grams are exploded, counted within packed chunks of the input and partitioned
-by hash, each with the places of its documents in the chunk. One task then has all of an n-gram:
-it adds up the count table, joins the exploded n-grams to it and sums for each document; a chunk's
-sums from all partitions are added at the end. Scores are whole micro-nats, so sums do not depend on
-their order.
+The model is a bigram model over all documents, with a place of its own for every word. A bigram
+seen at least ``LEAST`` times scores its count over its first word's as a first word; any other
+backs off to ``BACKOFF`` times the share of its second word among all words, and so does the
+first word of a document without the factor.
+
+The documents are cut into chunks. Each counts its n-grams (no word: the total; words; bigrams)
+and deals them out by hash, every n-gram of a chunk once, so that a hot one has a row's place for
+each chunk at most. One task then has all of an n-gram, adds up its counts and answers every chunk
+that asked; the chunk, whose words travel along, sums the scores of its documents. Nothing of the
+model is sent to every task or to the driver, and it grows with the input. Scores are whole
+micro-nats, so sums do not depend on their order.
+
+With ``size`` the vocabulary is closed instead: words below one of ``size`` occurrences are one
+word. Its hashes, ``size`` at most, are sent to every task.
 
 Defined cases: null texts and texts without words have no words and score 0; repeated rows count
-as often as they come; other columns are left out of the result. Words are compared by 64-bit
-hashes.
+as often as they come; other columns are left out of the result. Words and bigrams are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pathweave.llm.group_join import packed, runs
+from pathweave.llm.group_join import runs
 from pathweave.llm.texts import Texts, mixed, slices, span_hashes
 from pathweave.session import materialise
 
-VOCABULARY = 1 << 16
 LEAST = 2
 BACKOFF = 0.4
-#: N-grams that a task gets on average, and that are packed together.
-TASK_NGRAMS = 1 << 24
+#: Bytes of text whose n-grams a task gets on average, and words of a chunk.
+TASK_BYTES = 1 << 27
 CHUNK = 1 << 20
-#: Documents of a chunk; their places have 16 bits.
+#: Documents of a chunk.
 CHUNK_TEXTS = 60_000
 LEAST_PARTS = 256
+#: The hash of all words outside a closed vocabulary, and what sets n-grams of one word apart.
+OTHER = np.uint64(0x9E3779B97F4A7C15)
+_ONE, _TWO = np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03)
 
 
 def micro(value) -> np.ndarray:
@@ -46,82 +48,43 @@ def micro(value) -> np.ndarray:
     return np.floor(np.log(value) * 1e6 + 0.5).astype(np.int64)
 
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """Word hashes in rising order; places start at 1, and 0 stands for all other words."""
-
-    hashes: np.ndarray
-    counts: np.ndarray  # of places as any word
-    heads: np.ndarray  # of places as the first word of a bigram
-    total: int
-
-    def places(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at + 1, 0)
-
-
 def _words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
     texts = Texts(piece.column(1))
     starts, ends, of = texts.words()
     return span_hashes(texts.data, starts, ends), of, texts.count
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word, n, heads``: hash, occurrences, and occurrences that another word follows."""
+def closed_vocabulary(texts: DataFrame, size: int) -> np.ndarray:
+    """The hashes in rising order of the words with at least one of ``size`` occurrences."""
 
     def run(batches):
-        held, heads, count = [], [], 0
+        held, count = [], 0
         for piece in slices(batches):
-            hashes, of, _ = _words(piece)
-            followed = np.zeros(len(of), bool)
-            followed[:-1] = of[1:] == of[:-1]
-            held.append(hashes)
-            heads.append(hashes[followed])
-            count += len(hashes)
+            held.append(_words(piece)[0])
+            count += len(held[-1])
             if count >= 2 * CHUNK:
-                yield rows(held, heads)
-                held, heads, count = [], [], 0
+                yield rows(held)
+                held, count = [], 0
         if count:
-            yield rows(held, heads)
+            yield rows(held)
 
-    def rows(held, heads):
+    def rows(held):
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        some, times = np.unique(np.concatenate(heads), return_counts=True)
-        first = np.zeros(len(keys), np.int64)
-        first[np.searchsorted(keys, some)] = times
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys.view(np.int64)), pa.array(n), pa.array(first)], names=["word", "n", "heads"]
-        )
-
-    return (
-        texts.mapInArrow(run, "word long, n long, heads long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"), F.sum("heads").alias("heads"))
-    )
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
 
+    counted = texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = materialise(counted, "words")
+    total = words.agg(F.sum("n")).collect()[0][0] or 0
+    often = words.filter(F.col("n") * size >= total).select("word").collect()
+    return np.sort(np.array([r["word"] for r in often], np.int64).view(np.uint64))
 
-def learned_vocabulary(texts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """At most ``size`` words reach the driver: those with at least one of ``size`` occurrences."""
-    words = materialise(word_counts(texts), "words")
-    total, heads = words.agg(F.sum("n"), F.sum("heads")).collect()[0]
-    total, heads = total or 0, heads or 0
-    often = words.filter(F.col("n") * size >= total).collect()
-    often.sort(key=lambda r: np.uint64(r["word"] & (2**64 - 1)))
-    hashes = np.array([r["word"] for r in often], np.int64).view(np.uint64)
-    counts = np.array([0, *(r["n"] for r in often)], np.int64)
-    firsts = np.array([0, *(r["heads"] for r in often)], np.int64)
-    counts[0], firsts[0] = total - counts.sum(), heads - firsts.sum()
-    return Vocabulary(hashes, counts, firsts, total)
 
-
-def score_documents(documents: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def score_documents(documents: DataFrame, size: int | None = None) -> DataFrame:
     """``doc_id, n_words, score_micro, score``: the log score, and its mean a word in nats."""
+    session = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    vocabulary = learned_vocabulary(texts, size)
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
-    tasks = max(1, -(-vocabulary.total // TASK_NGRAMS))
+    known = None if size is None else session.sparkContext.broadcast(closed_vocabulary(texts, size))
+    tasks = 1 + (texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0) // TASK_BYTES
     parts = max(LEAST_PARTS, 8 * tasks)
 
     def explode(batches):
@@ -132,158 +95,173 @@ def score_documents(documents: DataFrame, size: int = VOCABULARY) -> DataFrame:
         words_held = texts_held = 0
         for piece in slices(batches):
             words, of, count = _words(piece)
+            if known is not None:
+                words = np.where(np.isin(words, known.value), words, OTHER)
             if held and (words_held + len(words) > CHUNK or texts_held + count > CHUNK_TEXTS):
                 yield from _exploded(held, chunk, parts)
                 held, words_held, texts_held, chunk = [], 0, 0, chunk + 1
-            held.append((piece.column(0), count, shared.value.places(words).astype(np.uint64), of))
+            held.append((piece.column(0), np.bincount(of, minlength=count), words))
             words_held += len(words)
             texts_held += count
         if held:
             yield from _exploded(held, chunk, parts)
 
-    def score(batches):
+    def count(batches):
         held, part = [], None
         for batch in batches:
             for row in batch.to_pylist():
                 if row["ids"] is not None:  # a chunk's documents pass through
-                    yield _answer(row["chunk"], ids=row["ids"], sizes=row["sizes"])
+                    yield _row(**(row | {"part": -1}))
                     continue
                 if row["part"] != part and held:
-                    yield from _scored(held, shared.value)
+                    yield from _counted(held)
                     held = []
                 part = row["part"]
                 held.append(row)
         if held:
-            yield from _scored(held, shared.value)
+            yield from _counted(held)
 
-    def add(batches):
+    def score(batches):
+        held, meta = [], None
         for batch in batches:
             for row in batch.to_pylist():
-                meta = next(a for a in row["answers"] if a["ids"] is not None)
-                sizes = np.frombuffer(meta["sizes"], np.uint32).astype(np.int64)
-                total = np.zeros(len(sizes), np.int64)
-                for a in row["answers"]:
-                    if a["places"] is not None:
-                        total[np.frombuffer(a["places"], np.uint16)] += np.frombuffer(a["sums"], np.int64)
-                ids = pa.ipc.open_stream(meta["ids"]).read_all().column(0).combine_chunks()
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes), pa.array(total)], names=["doc_id", "n_words", "score_micro"]
-                )
-
-    kinds = "part int, chunk long, grams binary, owners binary, places binary, times binary, ids binary, sizes binary"
-    answers = "chunk long, places binary, sums binary, ids binary, sizes binary"
+                if row["ids"] is None:
+                    held.append(row["counts"])
+                    continue
+                if meta is not None:
+                    yield _scored(meta, held)
+                held, meta = [], row
+        if meta is not None:
+            yield _scored(meta, held)
+
+    kinds = "part int, chunk long, grams binary, counts binary, ids binary, sizes binary, words binary, places binary"
     return (
         texts.mapInArrow(explode, kinds)
         .repartition(tasks, "part")
         .sortWithinPartitions("part")
-        .mapInArrow(score, answers)
-        .groupBy("chunk")
-        .agg(F.collect_list(F.struct("places", "sums", "ids", "sizes")).alias("answers"))
-        .select("answers")
-        .mapInArrow(add, "doc_id long, n_words long, score_micro long")
+        .mapInArrow(count, kinds)
+        .repartition("chunk")
+        .sortWithinPartitions("chunk", "part")
+        .mapInArrow(score, "doc_id long, n_words long, score_micro long")
         .withColumn(
             "score", F.col("score_micro") / F.greatest(F.col("n_words"), F.lit(1)) / F.lit(1e6)
         )
     )
 
 
-def _exploded(held, chunk: int, parts: int):
-    """The n-grams of a chunk of documents, each once with its documents, in parts by hash."""
-    sizes = np.concatenate([np.bincount(of, minlength=n) for _, n, _, of in held])
-    shift = np.cumsum([0] + [n for _, n, _, _ in held])
-    place = np.concatenate([h[2] for h in held])
-    of = np.concatenate([h[3] + s for h, s in zip(held, shift)])
-    sink = pa.BufferOutputStream()
-    ids = pa.table({"doc_id": pa.chunked_array([h[0] for h in held])})
-    with pa.ipc.new_stream(sink, ids.schema) as writer:
-        writer.write_table(ids)
-    yield _row_of(
-        0 if not len(place) else int(place[0]) % parts, chunk,
-        ids=sink.getvalue().to_pybytes(), sizes=sizes.astype(np.uint32).tobytes(),
-    )
-    if not len(place):
-        return
-    first = np.ones(len(of), bool)
-    first[1:] = of[1:] != of[:-1]
-    # a bigram is (first word + 1, second word); a document's first word follows nothing
-    before = np.concatenate((np.zeros(1, np.uint64), place[:-1] + np.uint64(1)))
-    before[first] = 0
-    gram = (before << np.uint64(32)) | place
-    part = (mixed(gram) >> np.uint64(32)) % np.uint64(parts)
-    # both halves of a gram have 17 bits at most, a part fewer than 14 and a place 16
-    key = (part << np.uint64(50)) | (before << np.uint64(33)) | (place << np.uint64(16))
-    order = np.argsort(key | of.astype(np.uint64)) if parts < 1 << 14 else np.lexsort((of, gram, part))
-    gram, of, part = gram[order], of[order], part[order].astype(np.int32)
-    cut = runs_of_both(gram, of)
-    gram, of, part, times = gram[cut[:-1]], of[cut[:-1]], part[cut[:-1]], np.diff(cut)
-    grams = runs(gram)
-    owners, borders = np.diff(grams), runs(part[grams[:-1]])
-    posted = grams[borders]
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(part[posted[:-1]]), pa.array(np.full(len(posted) - 1, chunk)),
-            packed(np.uint64, gram[grams[:-1]], borders), packed(np.uint32, owners, borders),
-            packed(np.uint16, of, posted), packed(np.uint32, times, posted),
-            pa.nulls(len(posted) - 1, pa.binary()), pa.nulls(len(posted) - 1, pa.binary()),
-        ],
-        names=["part", "chunk", "grams", "owners", "places", "times", "ids", "sizes"],
-    )
+def _squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _row_of(part: int, chunk: int, ids: bytes, sizes: bytes) -> pa.RecordBatch:
-    nothing = [pa.nulls(1, pa.binary())] * 4
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int32()), pa.array([chunk]), *nothing, pa.array([ids]), pa.array([sizes])],
-        names=["part", "chunk", "grams", "owners", "places", "times", "ids", "sizes"],
-    )
+def _restored(kind: np.dtype, data: bytes) -> np.ndarray:
+    count, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[8:], count * width, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, count).T).reshape(-1).view(kind)
 
 
-def _answer(chunk: int, **given: bytes) -> pa.RecordBatch:
-    names = ("places", "sums", "ids", "sizes")
+def _row(part: int, chunk: int, **given: bytes) -> pa.RecordBatch:
+    names = ("grams", "counts", "ids", "sizes", "words", "places")
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk]), *(pa.array([given.get(n)], pa.binary()) for n in names)],
-        names=["chunk", *names],
+        [pa.array([part], pa.int32()), pa.array([chunk]), *(pa.array([given.get(n)], pa.binary()) for n in names)],
+        names=["part", "chunk", *names],
+    )
+
+
+def _grams(words: np.ndarray, places: np.ndarray, sizes: np.ndarray):
+    """The bigrams of a chunk's words, each once as (first word + 1, second word), and each word's.
+
+    The first word of a document follows nothing. Then the hashes of all n-grams, rising, and
+    their order: the total, the words, the bigrams.
+    """
+    first = np.zeros(len(places), bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    before = np.concatenate((np.zeros(1, np.uint64), places[:-1].astype(np.uint64) + np.uint64(1)))[: len(places)]
+    before[first] = 0
+    table, of = np.unique((before << np.uint64(32)) | places.astype(np.uint64), return_inverse=True)
+    two = table[np.searchsorted(table, np.uint64(1 << 32)) :]
+    behind = words[(two & np.uint64(2**32 - 1)).astype(np.int64)]
+    ahead = words[(two >> np.uint64(32)).astype(np.int64) - 1]
+    hashes = np.concatenate(
+        (np.zeros(1, np.uint64), mixed(words ^ _ONE), mixed(mixed(ahead ^ _TWO) + behind))
     )
+    order = np.argsort(hashes, kind="stable")
+    return table, of, hashes[order], order
 
 
-def _scored(rows, model: Vocabulary):
-    """The count table of one part, joined to the exploded n-grams of every chunk in it."""
-    keys = [np.frombuffer(r["grams"], np.uint64) for r in rows]
-    owners = [np.frombuffer(r["owners"], np.uint32) for r in rows]
-    times = [np.frombuffer(r["times"], np.uint32).astype(np.int64) for r in rows]
-    each = [
-        np.add.reduceat(t, np.cumsum(o, dtype=np.int64) - o) for t, o in zip(times, owners, strict=True)
-    ]
+def _exploded(held, chunk: int, parts: int):
+    """The n-grams of a chunk of documents, each once with its counts, in parts by hash."""
+    sizes = np.concatenate([h[1] for h in held])
+    words, places = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+    sink = pa.BufferOutputStream()
+    ids = pa.table({"doc_id": pa.chunked_array([h[0] for h in held])})
+    with pa.ipc.new_stream(sink, ids.schema) as writer:
+        writer.write_table(ids)
+    yield _row(
+        int(mixed(np.array([chunk], np.uint64))[0]) % parts, chunk, ids=sink.getvalue().to_pybytes(),
+        sizes=_squeezed(sizes.astype(np.uint32)), words=_squeezed(words), places=_squeezed(places.astype(np.uint32)),
+    )
+    if not len(places):
+        return
+    table, of, hashes, order = _grams(words, places, sizes)
+    times = np.bincount(of, minlength=len(table))
+    single = int(np.searchsorted(table, np.uint64(1 << 32)))
+    heads = np.bincount((table[single:] >> np.uint64(32)).astype(np.int64) - 1, times[single:], len(words))
+    counts = np.zeros((len(hashes), 2), np.uint32)
+    counts[0, 0] = len(places)
+    counts[1 : len(words) + 1] = np.stack((np.bincount(places, minlength=len(words)), heads), 1)
+    counts[len(words) + 1 :, 0] = times[single:]
+    counts = counts[order]
+    part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cut = runs(part)
+    for begin, end in zip(cut[:-1], cut[1:]):
+        yield _row(
+            int(part[begin]), chunk, grams=_squeezed(np.diff(hashes[begin:end], prepend=np.uint64(0))),
+            counts=_squeezed(counts[begin:end].reshape(-1)),
+        )
+
+
+def _counted(rows):
+    """The count table of one part, joined to the n-grams of every chunk in it."""
+    keys = [np.cumsum(_restored(np.uint64, r["grams"]), dtype=np.uint64) for r in rows]
     table, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.zeros(len(table), np.int64)
-    np.add.at(counts, place, np.concatenate(each))
-    value = gram_values(table, counts, model)
+    counts = np.zeros((len(table), 2), np.int64)
+    np.add.at(counts, place, np.concatenate([_restored(np.uint32, r["counts"]).reshape(-1, 2) for r in rows]))
     begin = 0
-    for row, key, owner, t in zip(rows, keys, owners, times, strict=True):
-        mine = np.repeat(value[place[begin : begin + len(key)]], owner) * t
+    for row, key in zip(rows, keys):
+        mine = counts[place[begin : begin + len(key)]]
         begin += len(key)
-        who, at = np.unique(np.frombuffer(row["places"], np.uint16), return_inverse=True)
-        total = np.zeros(len(who), np.int64)
-        np.add.at(total, at, mine)
-        yield _answer(row["chunk"], places=who.tobytes(), sums=total.tobytes())
+        yield _row(row["part"], row["chunk"], counts=_squeezed(mine.reshape(-1)))
+
+
+def _scored(meta, answers) -> pa.RecordBatch:
+    """The documents of one chunk, from the answers of all parts in their order."""
+    sizes = _restored(np.uint32, meta["sizes"]).astype(np.int64)
+    words, places = _restored(np.uint64, meta["words"]), _restored(np.uint32, meta["places"])
+    total = np.zeros(len(sizes), np.int64)
+    if len(places):
+        table, of, hashes, order = _grams(words, places, sizes)
+        counts = np.zeros((len(hashes), 2), np.int64)
+        counts[order] = np.concatenate([_restored(np.int64, a) for a in answers]).reshape(-1, 2)
+        some = sizes > 0
+        total[some] = np.add.reduceat(gram_values(table, counts, len(words))[of], (np.cumsum(sizes) - sizes)[some])
+    ids = pa.ipc.open_stream(meta["ids"]).read_all().column(0).combine_chunks()
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(sizes), pa.array(total)], names=["doc_id", "n_words", "score_micro"]
+    )
 
 
-def gram_values(grams: np.ndarray, counts: np.ndarray, model: Vocabulary) -> np.ndarray:
-    """The stupid-backoff score of each n-gram in micro-nats."""
-    before = (grams >> np.uint64(32)).astype(np.int64)
-    word = (grams & np.uint64(2**32 - 1)).astype(np.int64)
+def gram_values(table: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
+    """The stupid-backoff score of each bigram in micro-nats; counts: total, words, bigrams."""
+    before = (table >> np.uint64(32)).astype(np.int64)
+    word = (table & np.uint64(2**32 - 1)).astype(np.int64)
     follows = before > 0
-    share = model.counts[word] / model.total
+    share = counts[1 + word, 0] / counts[0, 0]
     share[follows] *= BACKOFF
     value = micro(share)
-    seen = follows & (counts >= LEAST)
-    value[seen] = micro(counts[seen] / model.heads[before[seen] - 1])
+    both = np.zeros(len(table), np.int64)
+    both[follows] = counts[words + 1 :, 0]
+    seen = follows & (both >= LEAST)
+    value[seen] = micro(both[seen] / counts[before[seen], 1])
     return value
-
-
-def runs_of_both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Where runs of equal pairs begin, and the end."""
-    if not len(first):
-        return np.zeros(1, np.int64)
-    fresh = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-    return np.concatenate(([0], np.flatnonzero(fresh) + 1, [len(first)]))

@@ -93,6 +93,25 @@ def test_stupid_backoff(documents, size):
     assert got == sorted(want, key=str)
 
 
+def test_stupid_backoff_keeps_every_word(spark):
+    texts = ["rare pair " + "word " * 150_000, "rare pair once", "other pair", None, "", "rare"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = tuples(language_model.score_documents(documents), "doc_id", "n_words", "score_micro")
+    rows = rows_of(documents)
+    # a plain model that folds no word
+    want = [(r[0], *s) for r, s in zip(rows, backoff_scores(rows, 1 << 60))]
+    assert got == sorted(want, key=str)
+
+
+def test_stupid_backoff_in_small_chunks(documents, monkeypatch):
+    monkeypatch.setattr(language_model, "CHUNK", 500)
+    monkeypatch.setattr(language_model, "CHUNK_TEXTS", 7)
+    got = tuples(language_model.score_documents(documents), "doc_id", "n_words", "score_micro")
+    rows = rows_of(documents)
+    want = [(r[0], *s) for r, s in zip(rows, backoff_scores(rows, 1 << 60))]
+    assert got == sorted(want, key=str)
+
+
 def test_base_personal_data(spark):
     random.seed(6)
     parts = list("ab1290.@+-() _é\n😀") + [
