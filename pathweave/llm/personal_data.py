@@ -1,21 +1,26 @@
 """Personal data: exact base rules and information-theoretic sanitisation, in DataFrame functions.
 
-The protected entities are the matches of the base rules. A term is a word within ``REACH`` words
-of a mention. Over all documents, with ``n`` of them, ``n_e`` holding the entity, ``n_t`` the
-term and ``n_te`` the entity with the term beside it, the term discloses
+The protected entities are the matches of the base rules and their groups: the domain of an email,
+the network of an ip, the issuer of a card, the leading digits of a phone, so that entities written
+once have support. A term is any word of their documents that begins with a letter. Over all
+documents, with ``n`` of them, ``n_e`` holding the entity, ``n_t`` the term and ``n_te`` both, the
+term discloses
 
     log2(n_te * n / (n_e * n_t)) / log2(n / n_e)
 
 of the entity's information. A term that does so in at least ``SUPPORT`` different texts and
-discloses at least ``GENERALISE`` is generalised in the documents that hold both next to each
-other, and removed from ``REMOVE`` on.
+discloses at least ``GENERALISE`` is generalised wherever it is written, and removed from
+``REMOVE`` on.
+
+With ``reach`` only words within so many words of a mention are terms of an exact entity, with
+white space on both sides; ``n_te`` counts those, and only those are marked.
 
 Base kinds, leftmost and not overlapping within a kind: ``email``, ``ip``, ``card``, ``phone``.
 Added spans have kind ``term``. The patterns are written with possessive repeats and look-behind,
 which match the same and keep long runs of one class linear.
 
-Terms beside mentions are counted first; the words of all documents are counted only when a term
-has enough support.
+Texts with mentions are joined to their words first, copies of a text once; the words of all
+documents are counted only when an entity has enough support.
 
 Defined cases: null texts count as empty and have no spans; without mentions nothing is added;
 repeated rows count as often as they come, but as one text for the support; other columns are
@@ -49,6 +54,8 @@ HINTS = {
 
 REACH = 3
 SUPPORT = 3
+#: Flagged terms are first looked for in a table of so many bits, at three places of their hashes.
+PLACES = 1 << 18
 GENERALISE = 0.85
 REMOVE = 0.95
 
@@ -125,13 +132,20 @@ def written(spans: Column) -> Column:
     )
 
 
-def found_base(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_id, spans, near``: texts' ids, base spans, and the words close to them."""
+def found_base(documents: DataFrame, reach: int | None = REACH) -> DataFrame:
+    """``doc_id, text_id, spans, near``: texts' ids, base spans, and the words close to them.
+
+    Without ``reach`` the whole ``text`` instead of ``near``.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = documents.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn(
         "spans", base_spans(F.col("text"))
     )
-    near = F.when(F.size("spans") > 0, F.flatten(F.transform("spans", lambda s: _beside(F.col("text"), s))))
+    if reach is None:
+        return base.select("doc_id", F.xxhash64("text").alias("text_id"), "spans", "text")
+    near = F.when(
+        F.size("spans") > 0, F.flatten(F.transform("spans", lambda s: _beside(F.col("text"), s, reach)))
+    )
     return base.select(
         "doc_id",
         F.xxhash64("text").alias("text_id"),
@@ -142,17 +156,17 @@ def found_base(documents: DataFrame) -> DataFrame:
     )
 
 
-def _beside(text: Column, span: Column) -> Column:
-    """The words within ``REACH`` words of a span: entity, term in lower case, start and stop."""
+def _beside(text: Column, span: Column, reach: int) -> Column:
+    """The words within ``reach`` words of a span: entity, term in lower case, start and stop."""
     entity = F.xxhash64(span["kind"], F.lower(span["found"]))
     # words longer than the window are cut off at its border and left out
-    window = 64 * REACH
+    window = 64 * reach
     low = F.greatest(F.lit(0), span["start"] - window)
     ahead = F.substr(text, low + 1, span["start"] - low)
     behind = F.substr(text, span["stop"] + 1, F.lit(window))
     # what touches the span or the window's border is no word of its own
-    before = F.slice(F.reverse(_whole(ahead, low)), 1, REACH)
-    after = F.slice(_whole(behind, span["stop"]), 1, REACH)
+    before = F.slice(F.reverse(_whole(ahead, low)), 1, reach)
+    after = F.slice(_whole(behind, span["stop"]), 1, reach)
     return F.transform(
         F.filter(F.concat(before, after), lambda w: w["found"].rlike(r"^\p{L}")),
         lambda w: F.struct(
@@ -222,28 +236,146 @@ def _is(kind: int):
     return lambda s: s["kind"] == kind
 
 
-def find(documents: DataFrame) -> DataFrame:
-    """``doc_id``, counts of the base kinds, ``base_sha256``, ``spans``, ``n_terms``, ``all_spans``.
+def _words(text: Column) -> Column:
+    """Hashes of the different words of a text that begin with a letter, in lower case."""
+    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"^\p{L}"))
+    return F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
 
-    ``all_spans`` has the terms' disclosure: a row's spans by kind and start.
-    """
-    found = materialise(
-        found_base(documents).withColumn("row", F.monotonically_increasing_id()), "found"
+
+def _group(span: Column) -> Column:
+    """What entities of one owner share: domain, network, issuer, leading digits."""
+    found = F.lower(span["found"])
+    digits = _digits(found)
+    return (
+        F.when(span["kind"] == 0, F.substring_index(found, "@", -1))
+        .when(span["kind"] == 1, F.substring_index(found, ".", 3))
+        .when(span["kind"] == 2, F.substring(digits, 1, 6))
+        .otherwise(F.substring(digits, 1, 5))
+    )
+
+
+def _share(n_te: Column, n_e: Column, n_t: Column, total: int) -> Column:
+    """The part of the entity's information that a term discloses; the entity is not everywhere."""
+    told = F.log2(n_te * F.lit(total) / (n_e * n_t)) / F.log2(F.lit(total) / n_e)
+    return F.floor(told * 1e6 + 0.5) / 1e6
+
+
+def document_terms(found: DataFrame) -> DataFrame:
+    """``word, disclosure``: hashes of the terms to generalise or remove, from whole documents."""
+    total = found.count()
+    entities = F.array_distinct(
+        F.concat(
+            F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["found"]))),
+            F.transform("spans", lambda s: F.xxhash64(F.lit("group"), s["kind"], _group(s))),
+        )
+    )
+    # copies of one text are one row from here on, with their number
+    texts = (
+        found.filter(F.size("spans") > 0)
+        .select("text_id", entities.alias("entities"), _words(F.col("text")).alias("words"))
+        .groupBy("text_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    )
+    texts = materialise(texts, "texts")
+    mentions = texts.select("text_id", "n", F.explode("entities").alias("entity"))
+    held = (
+        mentions.groupBy("entity")
+        .agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+        .filter((F.col("texts") >= SUPPORT) & (F.col("n_e") < total))
+        .drop("texts")
+    )
+    held = materialise(held, "entities", files_for(total))
+    if held.isEmpty():
+        return held.select(F.col("entity").alias("word"), F.lit(0.0).alias("disclosure"))
+    beside = texts.select("text_id", F.explode("words").alias("word"))
+    enough = beside.groupBy("word").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
+    # every word of the corpus is counted, combined before the shuffle, and only then looked up
+    times = found.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_t"))
+    terms = materialise(enough.drop("texts").join(times, "word"), "terms")
+    n_e, n_t = F.col("n_e"), F.col("n_t")
+    # what could not disclose enough even if every mention stood with the term is not paired
+    return (
+        mentions.join(held, "entity")
+        .join(beside.join(terms, "word"), "text_id")
+        .filter(_share(F.least(n_e, n_t), n_e, n_t, total) >= GENERALISE)
+        .groupBy("entity", "word", "n_e", "n_t")
+        .agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+        .filter(F.col("texts") >= SUPPORT)
+        .select("word", _share(F.col("n_te"), n_e, n_t, total).alias("disclosure"))
+        .filter(F.col("disclosure") >= GENERALISE)
+        .groupBy("word")
+        .agg(F.max("disclosure").alias("disclosure"))
+    )
+
+
+def _places(word: Column) -> list[Column]:
+    return [F.shiftright(word, shift).bitwiseAND(PLACES - 1) for shift in (0, 20, 40)]
+
+
+def _everywhere(found: DataFrame) -> DataFrame:
+    """``row, start, stop, disclosure`` of every occurrence of a flagged term."""
+    flagged = materialise(document_terms(found), "flagged", 2)
+    bits = [0] * (PLACES // 64)
+    for place in flagged.select(F.explode(F.array(*_places(F.col("word")))).alias("p")).distinct().collect():
+        bits[place["p"] >> 6] |= 1 << (place["p"] & 63)
+    signed = ",".join(str(b - (1 << 64) if b >> 63 else b) for b in bits)
+    table = F.split(F.lit(signed), ",").cast("array<bigint>")
+    kind = "array<struct<word:bigint,start:int,stop:int>>"
+
+    def step(done: Column, piece: Column) -> Column:
+        stop = done["at"] + F.length(piece)
+        word = F.xxhash64(F.lower(piece))
+        one, two, three = (
+            F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1
+            for p in _places(word)
+        )
+        span = F.struct(word.alias("word"), done["at"].alias("start"), stop.alias("stop"))
+        return F.struct(
+            (stop + 1).alias("at"),
+            F.when((piece != "") & one & two & three, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"),
+        )
+
+    # one separator between two pieces, so ends of the text are borders too
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+    pieces = F.split("text", r"[\x20\x09-\x0D]", -1)
+    seen = F.aggregate(pieces, start, step, lambda done: done["spans"])
+    return (
+        found.select("row", F.explode(seen).alias("w"))
+        .select("row", "w.*")
+        .join(flagged, "word")
+        .select("row", "start", "stop", "disclosure")
     )
+
+
+def _near_mentions(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """``row, start, stop, disclosure`` of the flagged terms beside mentions."""
     flagged = disclosing_terms(documents, found)
-    added = (
+    return (
         found.filter(F.size("near") > 0)
         .select("row", F.explode("near").alias("w"))
         .select("row", "w.*")
         .join(flagged, ["entity", "term"])
         .groupBy("row", "start", "stop")
         .agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("row")
+    )
+
+
+def find(documents: DataFrame, reach: int | None = REACH) -> DataFrame:
+    """``doc_id``, counts of the base kinds, ``base_sha256``, ``spans``, ``n_terms``, ``all_spans``.
+
+    ``all_spans`` has the terms' disclosure: a row's spans by kind and start. Without ``reach``
+    terms are taken from whole documents and marked everywhere.
+    """
+    base = found_base(documents, reach).withColumn("row", F.monotonically_increasing_id())
+    found = materialise(base, "found")
+    terms = _everywhere(found) if reach is None else _near_mentions(documents, found)
+    added = (
+        terms.groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
     )
     few = files_for(found.count())
     added = materialise(added, "added", few)
-    joined = found.join(added, "row", "left").coalesce(few)
+    joined = found.select("row", "doc_id", "spans").join(added, "row", "left").coalesce(few)
     base = F.transform(
         "spans",
         lambda s: F.struct(

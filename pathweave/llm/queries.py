@@ -30,7 +30,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
-    return personal_data.find(_table(spark, folder, "documents")).drop("all_spans")
+    return personal_data.find(_table(spark, folder, "documents"), reach=None).drop("all_spans")
 
 
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -145,6 +145,20 @@ def test_terms_beside_an_entity_are_generalised_or_removed(spark):
     )
 
 
+def test_terms_anywhere_in_a_document_are_marked_everywhere(spark):
+    plain = "note {0} about things number {0} here we write to {1} and then some more words end with"
+    texts = {k: "Zorblatt " + plain.format(k, f"user{k}@x.org") + " quuxian" for k in range(6)}
+    texts |= {k: plain.format(k, "them") for k in range(10, 60)}
+    texts |= {70: "nothing but\tzorblatt  written twice Zorblatt", 71: None, 72: "", 73: "a@y.org"}
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"].split(",") for r in personal_data.find(documents, reach=None).collect()}
+    for k, text in texts.items():
+        terms = [s.split(":") for s in found[k] if s.startswith("term")]
+        want = ["Zorblatt", "quuxian"] if k < 6 else ["zorblatt", "Zorblatt"] if k == 70 else []
+        assert [text[int(a) : int(b)] for _, a, b in terms] == want
+    assert found[73] == ["email:0:7"]
+
+
 def test_base_secrets_and_spans(documents):
     field = secret_tags.fit(documents)
     got = {(r["doc_id"], r["spans"], r["n_assign"], r["n_access"], r["n_hex"]) for r in secret_tags.scan(documents, field).collect()}
