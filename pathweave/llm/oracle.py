@@ -268,3 +268,76 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
   coalesce(n_terms, 0) AS n_terms
 FROM told LEFT JOIN joined USING (k)
 """
+
+#: The CRC-32 of the decimal digits of ``doc_id``, without sign, beside a row of CTE ``crc``.
+_CRC_TABLE = """
+crc AS (
+  SELECT list(list_reduce(range(8), lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+    i) ORDER BY i) AS crc_table FROM range(256) AS u(i))"""
+_CRC = """xor(4294967295, list_reduce(
+    list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+      lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+    lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)))"""
+
+
+def _field(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """A CTE of all nodes of the trees over ``leaves`` (tree, place, n, h); n: nodes of the level."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, place, n, h FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM {name}
+  WHERE n > 1 GROUP BY tree, level, place // 2, n)"""
+
+
+def _way(tree: str, leaves: str, key: str) -> str:
+    """A CTE of the nodes on each leaf's way with its sibling there, if it has one."""
+    return f"""
+way_{tree} AS (
+  SELECT l.{key}, v.level, s.h AS sibling, (l.place >> v.level) & 1 AS side
+  FROM {leaves} l JOIN {tree} v ON v.tree = l.tree AND v.place = l.place >> v.level AND v.n > 1
+  LEFT JOIN {tree} s ON s.tree = v.tree AND s.level = v.level AND s.place = xor(v.place, 1))"""
+
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+row AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS h,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("CAST(n_chars AS HUGEINT) + 1")} ELSE {_leaf("n_chars")} END AS seen
+  FROM documents, crc),
+leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS n FROM row),
+{_tree("node", "leaf")},
+sub AS (
+  SELECT 'top' AS tree, tree AS language, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n, h
+  FROM node WHERE n = 1),
+{_tree("upper", "sub")},
+{_way("node", "leaf", "k")},
+{_way("upper", "sub", "language")},
+way AS (
+  SELECT k, level, sibling, side FROM way_node
+  UNION ALL
+  SELECT k, 1000 + level, sibling, side FROM way_upper JOIN leaf ON leaf.tree = language),
+step AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level) AS i FROM way),
+fold AS (
+  SELECT k, 0 AS i, seen AS h FROM leaf
+  UNION ALL
+  SELECT fold.k, fold.i + 1, sha256(CASE WHEN sibling IS NULL THEN fold.h WHEN side = 1 THEN sibling || fold.h
+    ELSE fold.h || sibling END) FROM fold JOIN step ON step.k = fold.k AND step.i = fold.i + 1),
+proof AS (SELECT k, string_agg(sibling, '' ORDER BY i) AS told FROM step GROUP BY k),
+ended AS (SELECT k, arg_max(h, i) AS h FROM fold GROUP BY k)
+SELECT doc_id, leaf.h AS leaf, sub.h AS subroot, root.h AS root, sha256(coalesce(told, '')) AS proof_sha256,
+  ended.h AS folded_root, ended.h = root.h AS verified
+FROM leaf JOIN sub ON sub.language = leaf.tree JOIN ended USING (k) LEFT JOIN proof USING (k),
+  (SELECT h FROM upper WHERE n = 1) AS root
+"""

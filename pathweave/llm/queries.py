@@ -9,6 +9,7 @@ from pathweave.llm import (
     group_join,
     language_id,
     language_model,
+    merkle,
     packing,
     personal_data,
     quality,
@@ -131,6 +132,10 @@ def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return exact_topk.top_k(_table(spark, folder, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     build.__name__: build
     for build in (
@@ -144,5 +149,6 @@ QUERIES = {
         op8_sentence_pieces,
         op9_quality_rules,
         op10_exact_topk,
+        op11_merkle_manifest,
     )
 }
