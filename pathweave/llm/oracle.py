@@ -341,3 +341,45 @@ SELECT doc_id, leaf.h AS leaf, sub.h AS subroot, root.h AS root, sha256(coalesce
 FROM leaf JOIN sub ON sub.language = leaf.tree JOIN ended USING (k) LEFT JOIN proof USING (k),
   (SELECT h FROM upper WHERE n = 1) AS root
 """
+
+ORACLES["op13_periodic_runs"] = f"""
+WITH {_CRC_TABLE},
+told AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+    {_CRC} AS h
+  FROM documents, crc),
+planned AS (
+  SELECT *, len(ws) AS n, (h // 10) % len(ws) AS a, 3 + (h // 10) % 8 AS times, h % 10 = 0 AND len(ws) > 0 AS planted
+  FROM told),
+read AS (
+  SELECT k, doc_id, n, CASE WHEN planted
+    THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // times) END])
+    ELSE ws END AS ws
+  FROM planned),
+eight AS (
+  SELECT k, n, i, array_to_string(ws[i + 1:i + 8], ' ') AS s
+  FROM read, unnest(range(0, n - 7)) AS u(i) WHERE n >= 24),
+often AS (SELECT * FROM eight QUALIFY count(*) OVER (PARTITION BY k, s) > 1),
+pair AS (
+  SELECT x.k, x.i, y.i - x.i AS p FROM often x JOIN often y ON x.k = y.k AND x.s = y.s AND x.i < y.i
+  WHERE 3 * (y.i - x.i) <= x.n),
+stretch AS (
+  SELECT k, p, min(i) AS b, max(i) + 8 + p AS e FROM (
+    SELECT k, p, i, i - row_number() OVER (PARTITION BY k, p ORDER BY i) AS island FROM pair)
+  GROUP BY k, p, island),
+run AS (
+  SELECT k, b, e - b AS l, min(p) AS p FROM stretch WHERE e - b >= greatest(24, 3 * p) GROUP BY k, b, e),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY k ORDER BY l / p DESC, b, p) = 1),
+listed AS (
+  SELECT k, count(*) AS n_runs, string_agg(b || ',' || l || ',' || p || chr(10), '' ORDER BY b, p) AS runs,
+    list({{'b': b + p, 'e': b + l}}) AS gone
+  FROM run GROUP BY k),
+kept AS (
+  SELECT k, array_to_string(list_transform(list_filter(range(0, n), lambda i:
+    len(list_filter(coalesce(gone, []), lambda r: r.b <= i AND i < r.e)) = 0), lambda i: ws[i + 1]), ' ') AS collapsed
+  FROM read LEFT JOIN listed USING (k))
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.b AS start, best.l AS length, best.p AS period,
+  1000 * best.l // best.p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(collapsed) AS collapsed_sha256
+FROM read JOIN kept USING (k) LEFT JOIN listed USING (k) LEFT JOIN best USING (k)
+"""

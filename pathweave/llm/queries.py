@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathweave.llm import (
@@ -11,6 +14,7 @@ from pathweave.llm import (
     language_model,
     merkle,
     packing,
+    periodic_runs,
     personal_data,
     quality,
     secret_tags,
@@ -136,6 +140,29 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.audit(_table(spark, folder, "documents"))
 
 
+def planted_repeats(doc_id: int, count: int) -> np.ndarray | None:
+    """For a tenth of all ids the end of the text repeats its own first words from some place on."""
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest:
+        return None
+    begin = g % count
+    period = 1 + (count - begin) // (3 + g % 8)
+    words = np.arange(count)
+    words[begin:] = begin + (words[begin:] - begin) % period
+    return words
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find(_table(spark, folder, "documents"), planted_repeats)
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = F.array_join(F.transform(told, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     build.__name__: build
     for build in (
@@ -150,5 +177,6 @@ QUERIES = {
         op9_quality_rules,
         op10_exact_topk,
         op11_merkle_manifest,
+        op13_periodic_runs,
     )
 }
