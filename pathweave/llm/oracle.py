@@ -342,6 +342,11 @@ FROM leaf JOIN sub ON sub.language = leaf.tree JOIN ended USING (k) LEFT JOIN pr
   (SELECT h FROM upper WHERE n = 1) AS root
 """
 
+ORACLES["op12_minhash_near_dedup"] = f"""
+WITH RECURSIVE {jaccard("documents", 5, 85, 100)}
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM joined
+"""
+
 ORACLES["op13_periodic_runs"] = f"""
 WITH {_CRC_TABLE},
 told AS (

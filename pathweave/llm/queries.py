@@ -13,6 +13,7 @@ from pathweave.llm import (
     language_id,
     language_model,
     merkle,
+    minhash_join,
     packing,
     periodic_runs,
     personal_data,
@@ -140,6 +141,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.audit(_table(spark, folder, "documents"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_join.near_duplicates(_table(spark, folder, "documents"), 5, 85, 100)
+
+
 def planted_repeats(doc_id: int, count: int) -> np.ndarray | None:
     """For a tenth of all ids the end of the text repeats its own first words from some place on."""
     g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
@@ -177,6 +182,7 @@ QUERIES = {
         op9_quality_rules,
         op10_exact_topk,
         op11_merkle_manifest,
+        op12_minhash_near_dedup,
         op13_periodic_runs,
     )
 }
