@@ -1,6 +1,6 @@
 """Language-model scoring: stupid backoff over n-gram count tables partitioned by hash.
 
-The model is a bigram model over all documents, with a place of its own for every word. A bigram
+The model is a bigram model over all documents, with counts of its own for every word. A bigram
 seen at least ``LEAST`` times scores its count over its first word's as a first word; any other
 backs off to ``BACKOFF`` times the share of its second word among all words, and so does the
 first word of a document without the factor.
@@ -12,8 +12,8 @@ that asked; the chunk, whose words travel along, sums the scores of its document
 model is sent to every task or to the driver, and it grows with the input. Scores are whole
 micro-nats, so sums do not depend on their order.
 
-With ``size`` the vocabulary is closed instead: words below one of ``size`` occurrences are one
-word. Its hashes, ``size`` at most, are sent to every task.
+With ``LEAST`` 2 a bigram that stands only once in the corpus, in the scored document itself, backs
+off: its own occurrence is no evidence. Exact copies and repeats in a document count as evidence.
 
 Defined cases: null texts and texts without words have no words and score 0; repeated rows count
 as often as they come; other columns are left out of the result. Words and bigrams are compared by
@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from pathweave.llm.group_join import runs
 from pathweave.llm.texts import Texts, mixed, slices, span_hashes
-from pathweave.session import materialise
 
 LEAST = 2
 BACKOFF = 0.4
@@ -38,8 +37,7 @@ CHUNK = 1 << 20
 #: Documents of a chunk.
 CHUNK_TEXTS = 60_000
 LEAST_PARTS = 256
-#: The hash of all words outside a closed vocabulary, and what sets n-grams of one word apart.
-OTHER = np.uint64(0x9E3779B97F4A7C15)
+#: What sets n-grams of one word apart.
 _ONE, _TWO = np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03)
 
 
@@ -54,36 +52,9 @@ def _words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
     return span_hashes(texts.data, starts, ends), of, texts.count
 
 
-def closed_vocabulary(texts: DataFrame, size: int) -> np.ndarray:
-    """The hashes in rising order of the words with at least one of ``size`` occurrences."""
-
-    def run(batches):
-        held, count = [], 0
-        for piece in slices(batches):
-            held.append(_words(piece)[0])
-            count += len(held[-1])
-            if count >= 2 * CHUNK:
-                yield rows(held)
-                held, count = [], 0
-        if count:
-            yield rows(held)
-
-    def rows(held):
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    counted = texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = materialise(counted, "words")
-    total = words.agg(F.sum("n")).collect()[0][0] or 0
-    often = words.filter(F.col("n") * size >= total).select("word").collect()
-    return np.sort(np.array([r["word"] for r in often], np.int64).view(np.uint64))
-
-
-def score_documents(documents: DataFrame, size: int | None = None) -> DataFrame:
+def score_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, n_words, score_micro, score``: the log score, and its mean a word in nats."""
-    session = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    known = None if size is None else session.sparkContext.broadcast(closed_vocabulary(texts, size))
     tasks = 1 + (texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0) // TASK_BYTES
     parts = max(LEAST_PARTS, 8 * tasks)
 
@@ -95,8 +66,6 @@ def score_documents(documents: DataFrame, size: int | None = None) -> DataFrame:
         words_held = texts_held = 0
         for piece in slices(batches):
             words, of, count = _words(piece)
-            if known is not None:
-                words = np.where(np.isin(words, known.value), words, OTHER)
             if held and (words_held + len(words) > CHUNK or texts_held + count > CHUNK_TEXTS):
                 yield from _exploded(held, chunk, parts)
                 held, words_held, texts_held, chunk = [], 0, 0, chunk + 1

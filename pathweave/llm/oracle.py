@@ -122,10 +122,8 @@ WITH told AS (
   FROM documents),
 word AS (SELECT k, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM told),
 total AS (SELECT count(*) AS n FROM word),
-often AS (SELECT w FROM word, total GROUP BY w, n HAVING count(*) * 65536 >= n),
-mapped AS (SELECT k, i, coalesce(often.w, '') AS w FROM word LEFT JOIN often USING (w)),
-pair AS (SELECT k, i, w, lag(w) OVER (PARTITION BY k ORDER BY i) AS before FROM mapped),
-single AS (SELECT w, count(*) AS c FROM mapped GROUP BY w),
+pair AS (SELECT k, i, w, lag(w) OVER (PARTITION BY k ORDER BY i) AS before FROM word),
+single AS (SELECT w, count(*) AS c FROM word GROUP BY w),
 head AS (SELECT before, count(*) AS c FROM pair WHERE before IS NOT NULL GROUP BY before),
 gram AS (SELECT before, w, count(*) AS c FROM pair WHERE before IS NOT NULL GROUP BY before, w),
 scored AS (

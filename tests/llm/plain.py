@@ -83,13 +83,11 @@ def linked_groups(rows, size, num, den):
     ]
 
 
-def backoff_scores(rows, size, least=2, backoff=0.4):
+def backoff_scores(rows, least=2, backoff=0.4):
     """(words, micro-nats) of each row under the bigram model of all rows."""
     texts = [WORD.findall(text) for _, text in rows]
-    words = Counter(w for t in texts for w in t)
-    total = sum(words.values())
-    texts = [[w if words[w] * size >= total else "" for w in t] for t in texts]
     single = Counter(w for t in texts for w in t)
+    total = sum(single.values())
     heads = Counter(w for t in texts for w in t[:-1])
     pairs = Counter(p for t in texts for p in zip(t, t[1:]))
     out = []
