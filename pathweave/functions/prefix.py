@@ -93,3 +93,63 @@ def with_previous(
         .filter(F.col("_bucket") == bucket_of(at, width))
         .drop("_bucket")
     )
+
+
+def stretches(
+    df: DataFrame, keys: list[str], position: str, reach: int, name: str, width: int = BUCKET
+) -> DataFrame:
+    """Adds ``name``, the position at which each row's stretch begins.
+
+    A stretch goes on while the next position of the group is at most ``reach`` further; positions
+    may repeat. Stretches cross buckets: a bucket hands on its last position, and where its last
+    stretch began, in one row.
+    """
+    at = F.col(position)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(position)
+    before = F.lag(position).over(inside)
+    begins = F.when(before.isNull() | (at - before > reach), at)
+    local = materialise(
+        df.withColumn("_bucket", bucket_of(at, width))
+        .withColumn("_begins", begins)
+        .withColumn(
+            "_local",
+            F.last("_begins", ignorenulls=True).over(
+                inside.rowsBetween(Window.unboundedPreceding, 0)
+            ),
+        )
+        .drop("_begins"),
+        "stretches",
+    )
+    along = Window.partitionBy(*keys).orderBy("_bucket")
+    buckets = (
+        local.groupBy(*keys, "_bucket")
+        .agg(
+            F.min(position).alias("_first"),
+            F.max(position).alias("_last"),
+            F.max("_local").alias("_open"),
+        )
+        .withColumn(
+            "_joined",
+            F.coalesce(F.col("_first") - F.lag("_last").over(along) <= reach, F.lit(False)),
+        )
+        .withColumn(
+            "_own", F.when(~F.col("_joined") | (F.col("_open") > F.col("_first")), F.col("_open"))
+        )
+        .select(
+            *keys,
+            "_bucket",
+            "_first",
+            F.when(
+                F.col("_joined"),
+                F.last("_own", ignorenulls=True).over(
+                    along.rowsBetween(Window.unboundedPreceding, -1)
+                ),
+            ).alias("_carry"),
+        )
+    )
+    return local.join(buckets, [*keys, "_bucket"]).select(
+        *df.columns,
+        F.when(F.col("_local") == F.col("_first"), F.coalesce("_carry", "_local"))
+        .otherwise(F.col("_local"))
+        .alias(name),
+    )

@@ -183,85 +183,67 @@ def relatives(positions: DataFrame, query=None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Which chromosome pairs fit into one task call, and how the others are cut.
+    """Which chromosome pairs are proved to fit into one task call.
 
-    ``lists`` has a ``weight`` where some pairs are giant: a pair is giant when the
-    product of its two weights exceeds ``limit`` squared. ``copies`` is the most
-    copies of one family on one chromosome, ``top`` the largest position.
+    ``lists`` has a ``weight`` where some pairs may be giant: a pair may be when the
+    product of its two weights exceeds ``limit`` squared.
     """
 
     lists: DataFrame
     limit: int
-    copies: int
-    top: int
 
     @property
     def has_giants(self) -> bool:
         return "weight" in self.lists.columns
 
-    def block_width(self, least: int) -> int:
-        """A block of this width has at most about ``limit`` anchors.
-
-        It holds at most ``width`` positions times the copies of one family on one
-        chromosome, and at most ``width`` squared anchors.
-        """
-        return max(math.isqrt(self.limit), self.limit // self.copies, least)
-
-    def strip_width(self) -> int:
-        """Positions of one chromosome that have at most about ``limit`` anchors.
-
-        A position has as many anchors with another chromosome as that one has
-        copies of its family.
-        """
-        return max(1, self.limit // self.copies)
-
     def ordinary_pairs(self, query=None) -> DataFrame:
         pairs = pair_lists(self.lists, query, giant_above=self._giant_above())
         return pairs.filter("NOT giant").drop("giant") if self.has_giants else pairs
 
-    def giant_anchors(self, query=None) -> DataFrame:
+    def giant_pairs(self, query=None) -> DataFrame:
         pairs = pair_lists(self.lists, query, giant_above=self._giant_above())
-        return unfold(pairs.filter("giant"))
+        return pairs.filter("giant").drop("giant")
+
+    def giant_anchors(self, query=None) -> DataFrame:
+        return unfold(self.giant_pairs(query))
 
     def _giant_above(self) -> float | None:
         return float(self.limit) ** 2 if self.has_giants else None
 
 
-def lay_out(positions: DataFrame, limit: int = ANCHORS_PER_BLOCK, query=None) -> Layout:
+def lay_out(
+    positions: DataFrame,
+    limit: int = ANCHORS_PER_BLOCK,
+    query=None,
+    lists: DataFrame | None = None,
+) -> Layout:
     """Writes the position lists and finds the pairs that may exceed ``limit`` anchors.
 
     By Cauchy-Schwarz, the square of a pair's anchors is at most the product of the
     sums of squared family copies of its two chromosomes. Each pair is judged by its
     own two sums, and only chromosomes that can be part of a giant pair get theirs.
     """
-    lists = written_lists(positions, query)
+    if lists is None:
+        lists = written_lists(positions, query)
     squares = (
         lists.groupBy("chromosome", "family")
-        .agg(
-            F.sum(F.size("positions")).alias("copies"),
-            F.max(F.array_max("positions")).alias("top"),
-        )
+        .agg(F.sum(F.size("positions")).alias("copies"))
         .groupBy("chromosome")
-        .agg(
-            F.sum(F.col("copies").cast("double") * F.col("copies")).alias("weight"),
-            F.max("copies").alias("copies"),
-            F.max("top").alias("top"),
-        )
+        .agg(F.sum(F.col("copies").cast("double") * F.col("copies")).alias("weight"))
     )
     squares = materialise(squares, "squares")
-    copies, top = squares.agg(F.max("copies"), F.max("top")).first()
     largest = _two_largest(on_query(squares, query))
     others = _two_largest(squares if query is None else squares.filter(F.col("chromosome") != query))
     if query is None:
         others = others[1:]
     if not largest or not others or largest[0] * others[0] <= float(limit) ** 2:
-        return Layout(lists, limit, copies or 1, top or 0)
+        return Layout(lists, limit)
     bar = max(largest[0], others[0])
     heavy = squares.filter(F.col("weight") * bar > float(limit) ** 2).select("chromosome", "weight")
     weighed = lists.join(heavy, "chromosome", "left").withColumn(
         "weight", F.coalesce("weight", F.lit(0.0))
     )
-    return Layout(weighed, limit, copies, top)
+    return Layout(weighed, limit)
 
 
 def _two_largest(squares: DataFrame) -> list[float]:

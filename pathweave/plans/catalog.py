@@ -12,9 +12,11 @@ from pathweave.operators.anchors import (
     PAIR,
     anchors,
     family_positions,
+    pair_lists,
     path_positions,
     query_families,
     relatives,
+    written_lists,
 )
 from pathweave.operators.chains import chain_scores, chains
 from pathweave.operators.genes import interval_genes, region_genes, track_organisms
@@ -26,7 +28,14 @@ from pathweave.operators.paths import (
     gene_paths,
     undirected_edges,
 )
-from pathweave.operators.runs import exact_runs, merged_runs
+from pathweave.operators.runs import exact_runs, islands, merged_runs, relative_pieces
+from pathweave.operators.segments import (
+    SEGMENT,
+    anchor_segments as cut_segments,
+    linked_anchors,
+    near_positions,
+    segment_sizes,
+)
 from pathweave.operators.support import support_regions
 from pathweave.operators.tables import (
     NULL_FAMILY,
@@ -378,6 +387,21 @@ def anchor_totals(spark, folder):
     )
 
 
+@query("WITH " + sql.LINE_ANCHORS + sql.segments(SPARSE["intermediate"] + 1))
+def anchor_segments(spark, folder):
+    """Segments of all pairs, with the anchors and the ends of each."""
+    reach = SPARSE["intermediate"] + 1
+    found = cut_segments(anchors(_line_positions(spark, folder)), reach)
+    return segment_sizes(found).drop(*SEGMENT[2:])
+
+
+@query("WITH " + sql.LINE_ANCHORS + sql.linked(SPARSE["intermediate"] + 1))
+def anchors_with_neighbours(spark, folder):
+    """Found from neighbours on each chromosome, so that the other anchors are never made."""
+    near = near_positions(_line_positions(spark, folder), SPARSE["intermediate"] + 1)
+    return linked_anchors(materialise(near, "near"), ("+", "-"))
+
+
 # Chains
 
 _CHAINS = "WITH RECURSIVE " + sql.LINE_ANCHORS
@@ -575,6 +599,15 @@ def all_runs_in_strips(spark, folder):
     return exact_runs(path_positions(line_paths(spark, folder)), block_anchors=SMALL_BLOCK)
 
 
+@query("WITH " + sql.LINE_ANCHORS + sql.ISLANDS)
+def run_islands(spark, folder):
+    """Stretches of consecutive reference ranks with anchors, which no run leaves."""
+    found = islands(pair_lists(written_lists(path_positions(line_paths(spark, folder)))))
+    return found.groupBy(*PAIR, "island").agg(
+        F.count(F.lit(1)).alias("ranks"), F.sum("n").alias("anchors")
+    )
+
+
 def _diagonals(spark: SparkSession, folder: str) -> DataFrame:
     """Stretches of one diagonal, as given runs for the merge."""
     pairs = anchors(_line_positions(spark, folder))
@@ -598,6 +631,25 @@ def run_merge(spark, folder):
     return merged_runs(materialise(_diagonals(spark, folder), "runs"), **DIAGONAL)
 
 
+@query(sql.merge_pieces(DIAGONAL["intermediate"]))
+def merge_pieces(spark, folder):
+    """Pieces of the runs of each pair between which nothing merges."""
+    pieces = relative_pieces(_diagonals(spark, folder), DIAGONAL["intermediate"])
+    return pieces.groupBy(*PAIR, "piece").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.min("low").alias("rel_start"),
+        F.max(F.greatest("rel_start", "rel_end")).alias("rel_end"),
+        F.sum(F.col("ref_end") - F.col("ref_start") + 1).alias("positions"),
+    ).drop("piece")
+
+
+@query(sql.merged_diagonals(**DIAGONAL))
+def run_merge_in_strips(spark, folder):
+    """The merge with so few runs to a task that pairs are cut, and long pieces once more."""
+    runs = materialise(_diagonals(spark, folder), "runs")
+    return merged_runs(runs, **DIAGONAL, runs_per_task=100)
+
+
 _HULLS = _BOTH + """, hulls AS (
 SELECT ref_chr AS c, rel_chr AS l, ref_start AS s, ref_end AS t FROM chains)
 """

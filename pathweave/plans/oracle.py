@@ -296,3 +296,56 @@ hulls AS (
     SELECT rc, lc, unnest(CASE WHEN f.n >= {matched} THEN f.done || [{{'s': f.r0, 't': f.r1}}] ELSE f.done END) AS h
     FROM folded))
 """
+
+
+def segments(reach: int) -> str:
+    """The segments of ``anchors``: gaps of the relative axis, then of the reference axis, cut."""
+
+    def cut(source: str, axis: str, keys: str, name: str) -> str:
+        return f"""
+{name}_cut AS (
+  SELECT *, CASE WHEN {axis} - lag({axis}) OVER (PARTITION BY {keys} ORDER BY {axis}) <= {reach} THEN 0 ELSE 1 END
+    AS {name}_opens FROM {source}),
+{name} AS (
+  SELECT *, sum({name}_opens) OVER (PARTITION BY {keys} ORDER BY {axis}) AS {name}_no FROM {name}_cut)"""
+
+    return f""",{cut("anchors", "lp", "rc, lc", "rel")},{cut("rel", "rp", "rc, lc, rel_no", "seg")}
+SELECT rc AS ref_chr, lc AS rel_chr, count(*) AS anchors, min(rp) AS ref_start, max(rp) AS ref_end,
+  min(lp) AS rel_start, max(lp) AS rel_end
+FROM seg GROUP BY rc, lc, rel_no, seg_no
+"""
+
+
+def linked(reach: int) -> str:
+    """Anchors with a neighbour in one of the orientations."""
+    return f"""
+SELECT DISTINCT p.rc AS ref_chr, p.lc AS rel_chr, p.rp AS ref_pos, p.lp AS rel_pos
+FROM anchors p JOIN anchors q ON p.rc = q.rc AND p.lc = q.lc
+WHERE p.rp <> q.rp AND p.lp <> q.lp AND abs(p.rp - q.rp) <= {reach} AND abs(p.lp - q.lp) <= {reach}
+"""
+
+
+ISLANDS = """,
+ranked AS (SELECT rc, lc, rp, count(*) AS n FROM anchors GROUP BY rc, lc, rp),
+placed AS (SELECT *, rp - row_number() OVER (PARTITION BY rc, lc ORDER BY rp) AS island FROM ranked)
+SELECT rc AS ref_chr, lc AS rel_chr, min(rp) AS island, count(*) AS ranks, CAST(sum(n) AS BIGINT) AS anchors
+FROM placed GROUP BY rc, lc, placed.island
+"""
+
+
+def merge_pieces(intermediate: int) -> str:
+    """Pieces of each pair's diagonals that the merge can treat apart."""
+    return (
+        "WITH RECURSIVE "
+        + DIAGONALS
+        + f""",
+far AS (
+  SELECT *, CASE WHEN ls - lag(le) OVER w - 1 > {intermediate} THEN 1 ELSE 0 END AS opens,
+    row_number() OVER w AS k
+  FROM diagonals WINDOW w AS (PARTITION BY rc, lc ORDER BY ls, re, rs)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY rc, lc ORDER BY k) AS piece FROM far)
+SELECT rc AS ref_chr, lc AS rel_chr, count(*) AS runs, min(ls) AS rel_start, max(le) AS rel_end,
+  CAST(sum(re - rs + 1) AS BIGINT) AS positions
+FROM numbered GROUP BY rc, lc, piece
+"""
+    )
