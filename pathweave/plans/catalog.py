@@ -432,10 +432,8 @@ def chains_reverse(spark, folder):
     + sql.chain_rows("fwd", "+")
 )
 def chains_in_blocks(spark, folder):
-    """Forward chains with pairs so small to a task that the largest are cut into blocks."""
-    return chains(
-        _line_positions(spark, folder), **SPARSE, orientations=("+",), block_anchors=SMALL_BLOCK
-    )
+    """Forward chains with so few anchors to a task that the largest pairs are cut into segments."""
+    return chains(_line_positions(spark, folder), **SPARSE, orientations=("+",), block_anchors=40)
 
 
 def _score_rows(name: str) -> str:
