@@ -13,7 +13,7 @@ from pathweave.session import materialise
 
 SEGMENT = [*PAIR, "rel_piece", "ref_piece"]
 # A join of neighbours is tried where pairs of lists outnumber its own rows by this factor.
-WORTH_TRYING = 4
+WORTH_TRYING = 1
 
 
 def anchor_segments(anchors: DataFrame, reach: int, keys: list[str] = PAIR) -> DataFrame:
@@ -126,9 +126,13 @@ def sparse_anchors(
     if rows is None or rows <= WORTH_TRYING * positions * reach:
         return None
     flat = lists.select("chromosome", F.explode("positions").alias("pos"), "family")
-    near = materialise(near_positions(flat, reach), "near")
-    counts = near.groupBy("family", "next_family").agg(F.count(F.lit(1)).alias("n"))
-    meet = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+    # either order, as a reversed neighbour counts too; a clash of hashes keeps a few rows more
+    both = F.xxhash64(F.least("family", "next_family"), F.greatest("family", "next_family"))
+    near = materialise(near_positions(flat, reach).withColumn("both", both), "near")
+    shared = near.groupBy("both").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialise(shared, "shared-neighbours")
+    meet = shared.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
     if meet * len(orientations) * 2 > rows:
         return None
-    return linked_anchors(near, orientations, query)
+    kept = near.join(shared.select("both"), "both", "left_semi").drop("both")
+    return linked_anchors(materialise(kept, "kept-neighbours"), orientations, query)

@@ -111,5 +111,5 @@ def test_sparse_chains_equal_those_of_all_anchors(spark, monkeypatch):
     monkeypatch.setattr(segments, "WORTH_TRYING", 0)
     lists = segments.sparse_anchors  # the plan is taken where it moves fewer rows
     monkeypatch.setattr("pathweave.operators.chains.sparse_anchors", lambda *a: lists(*a) or segments.linked_anchors(near_positions(positions, 3), ("+", "-")))
-    for limit in (1 << 20, 6):
+    for limit in (1 << 20, 60):
         assert sorted(tuple(r) for r in chains(positions, 2, 2, block_anchors=limit).collect()) == plain
