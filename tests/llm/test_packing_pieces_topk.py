@@ -119,12 +119,49 @@ def test_top_k_is_exact(spark):
     assert exact_topk.top_k(df.limit(0)).count() == 0
 
 
+def read_of(rows, queries, barred, bar=-np.inf):
+    """Shares of entries read and rows resolved, with results held against scoring all rows."""
+    lists = exact_topk.SortedLists(rows)
+    shares, resolved = [], []
+    for q in queries:
+        out = np.arange(len(rows)) == (q if barred else -1)
+        found, scores, read = exact_topk.best_rows(lists, rows[q], out, 10, bar)
+        whole = np.where(out, -np.inf, rows @ rows[q])
+        want = np.lexsort((np.arange(len(rows)), -whole))[:10]
+        want = want[whole[want] >= bar]
+        mine = np.lexsort((found, -scores))[: len(want)]
+        assert (found[mine] == want).all() and (scores[mine] == whole[want]).all()
+        shares.append(read)
+        resolved.append(len(found))
+    return np.array(shares), np.array(resolved)
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_bounds_decide_on_the_given_vectors(scale):
+    import pyarrow.parquet as pq
+
+    vectors = pq.read_table(f"/root/testdata/{scale}/embeddings.parquet").column("embedding").to_pylist()
+    rows = np.floor(1024 * np.array(vectors, float))
+    shares, resolved = read_of(rows, range(0, len(rows), 100), True)
+    # the lists are never read to their ends, and few rows are left to resolve
+    assert shares.max() < 0.9 and resolved.max() <= exact_topk.RESOLVED * 10
+    # a score carried over from earlier blocks stops the reading sooner
+    whole = rows @ rows[0]
+    bar = np.sort(whole)[-11]
+    with_bar, _ = read_of(rows, [0], True, bar)
+    without, _ = read_of(rows, [0], True)
+    assert with_bar[0] <= without[0]
+
+
 def test_reading_stops_early_where_scores_are_spread():
-    rng = np.random.default_rng(3)
-    rows = np.floor(1024 * rng.normal(0, 1, (2000, 3)) ** 3)
-    queries = np.abs(rows[:5])
-    place, ids, scores = exact_topk.block_topk(queries, np.full(5, -1), rows, np.arange(2000), 10)
-    for q in range(5):
-        whole = rows @ queries[q]
-        want = np.lexsort((np.arange(2000), -whole))[:10]
-        assert (ids[place == q] == want).all() and (scores[place == q] == whole[want]).all()
+    rows = np.floor(1024 * np.random.default_rng(3).normal(0, 1, (2000, 3)) ** 3)
+    shares, resolved = read_of(rows, range(5), False)
+    assert shares.max() < 0.7 and resolved.max() <= exact_topk.RESOLVED * 10
+
+
+def test_lists_without_impact_are_read_whole():
+    rows = np.zeros((50, 4))
+    shares, resolved = read_of(rows, [0, 7], True)
+    assert (resolved == 49).all()
+    rows[:, 2] = np.arange(50) % 3
+    read_of(rows, range(0, 50, 7), True)
