@@ -2,8 +2,12 @@
 
 Tokens are runs of secret characters. The field tags each as outside, begin or inside from its
 shape, its neighbours and the characters between, and features of the whole text. It is trained
-here: windows of tokens around the spans of the base rules, and windows away from them, taken
-from a bounded sample of documents, are the labelled rows. Decoding is Viterbi's. A token whose
+here on windows of tokens from a bounded sample of documents: around the spans of the base rules;
+around copies of them in which the value is replaced by a secret of another shape and the word
+that announces it by another word or nothing; and away from them, where a token is replaced by
+something that looks alike but is no secret (dates, paths, numbers, names). Tokens of a secret's
+shape that no rule explains are not labelled: windows with them are left out, so the field is
+free to add them. Decoding is Viterbi's. A token whose
 outside score leads by more than all transitions can weigh is outside on the best path whatever
 its neighbours are, so only the stretches between such tokens are decoded, which is exact.
 
@@ -17,8 +21,10 @@ of the spans, and kept by ``redact``.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +46,12 @@ KINDS = ("assign", "access", "hex", "crf")
 SAMPLE_DOCUMENTS = 8192
 WINDOWS = 4
 WINDOW = 12
-STEPS = 250
+STEPS = 160
+#: Copies with other values of each base span that is taken, and text kept around them.
+COPIES = 4
+AROUND = 2000
+#: Windows without a secret are thinned to so many times those with one.
+PLAIN_WINDOWS = 3
 #: An added span is dropped when it is shorter.
 SHORTEST = 8
 
@@ -48,7 +59,8 @@ FEATURES = (
     "bias", "len6", "len10", "len16", "len24", "len36", "digit", "digits", "capital", "mixed",
     "hex", "numeric", "turns2", "turns4", "turns8", "wide", "joined", "dotted", "after_equals",
     "quoted", "after_keyword", "near_keyword", "before_keyword", "after_long", "before_long",
-    "text_keyword", "text_equals", "plain", "long_plain", "long_numeric",
+    "text_keyword", "text_equals", "plain", "long_plain", "long_numeric", "turns12", "capital_hex",
+    "assigned_mix",
 )
 
 
@@ -62,6 +74,7 @@ _DIGIT = _table(b"0123456789")
 _UPPER = _table(bytes(range(65, 91)))
 _LOWER = _table(bytes(range(97, 123)))
 _HEX = _table(b"0123456789abcdef")
+_CAPITAL_HEX = _table(b"0123456789ABCDEF")
 _WIDE = _table(bytes(range(128, 256)))
 _JOIN = _table(b"+/_-")
 _DOT = _table(b".")
@@ -118,6 +131,7 @@ def token_features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
     digits, uppers = count(_DIGIT[data]), count(_UPPER[data])
     lowers, hexes = count(_LOWER[data]), count(_HEX[data])
+    capital_hexes = count(_CAPITAL_HEX[data])
     kind = _CLASS[data]
     turn = np.zeros(len(data), bool)
     turn[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
@@ -159,7 +173,8 @@ def token_features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         inner_dot, equal[starts] > equal[previous_end], quote[starts] > quote[previous_end],
         before(keyword), before(keyword, 2) if len(of) > 2 else before(keyword),
         after(keyword), before(long), after(long), text_keyword, text_equals,
-        plain, plain & (size >= 12), (digits == size) & (size >= 10),
+        plain, plain & (size >= 12), (digits == size) & (size >= 10), turns >= 12,
+        (capital_hexes == size) & (turns > 1), (equal[starts] > equal[previous_end]) & (turns >= 2),
     ]
     return starts, ends, of, np.stack(rows, 1) if len(of) else np.zeros((0, len(FEATURES)), bool)
 
@@ -259,31 +274,166 @@ def fitted_field(features: np.ndarray, labels: np.ndarray) -> Field:
     return Field(emit, move)
 
 
+_ALNUM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _drawn(random: np.random.Generator, characters: bytes, size: int) -> bytes:
+    return bytes(random.choice(np.frombuffer(characters, np.uint8), size))
+
+
+def secret_value(random: np.random.Generator, assigned: bool) -> bytes:
+    """A value of some shape that secrets have; short ones only behind an assignment."""
+    shape = int(random.integers(0, 7 if assigned else 6))
+    if shape == 0:
+        return _drawn(random, b"0123456789ABCDEF", int(random.integers(32, 65)))
+    if shape == 1:  # letters, an underscore, letters and digits
+        prefix = _drawn(random, b"abcdefghijklmnopqrstuvwxyz", int(random.integers(2, 4)))
+        middle = (b"_live_", b"_test_", b"_")[int(random.integers(0, 3))]
+        return prefix + middle + _drawn(random, _ALNUM, int(random.integers(24, 41)))
+    if shape == 2:  # three parts of a signed message
+        parts = [_drawn(random, _ALNUM + b"-_", int(random.integers(12, 60))) for _ in range(2)]
+        return b".".join([b"eyJ" + parts[0], b"eyJ" + parts[1], _drawn(random, _ALNUM + b"-_", 43)])
+    if shape == 3:
+        return _drawn(random, _ALNUM + b"/+", 40)
+    if shape == 4:
+        return base64.b64encode(random.bytes(int(random.integers(18, 48)))).rstrip(b"=")
+    if shape == 5:
+        return _drawn(random, _ALNUM, int(random.integers(24, 41)))
+    word = _drawn(random, b"abcdefghijklmnopqrstuvwxyz", int(random.integers(4, 8))).capitalize()
+    return word + _drawn(random, b"0123456789", 2) + _drawn(random, _ALNUM, int(random.integers(3, 8)))
+
+
+def harmless_value(random: np.random.Generator) -> bytes:
+    """Something with digits, capitals or joints that is no secret."""
+    def word() -> bytes:
+        return _drawn(random, b"abcdefghijklmnopqrstuvwxyz", int(random.integers(3, 10)))
+
+    def number(size: int) -> bytes:
+        return _drawn(random, b"0123456789", size)
+
+    shape = int(random.integers(0, 9))
+    date = b"-".join([b"20" + number(2), b"0" + number(1), b"1" + number(1)])
+    if shape == 0:
+        return date + (b"T1" + number(1) if random.integers(0, 2) else b"")
+    if shape == 1:
+        return b"/" + b"/".join([word() for _ in range(4)]) + b".txt"
+    if shape == 2:
+        return number(int(random.integers(5, 20)))
+    if shape == 3:
+        return b"_".join([word(), word(), b"20" + number(2), b"final.pdf"])
+    if shape == 4:
+        return b"".join([word().capitalize() for _ in range(3)])
+    if shape == 5:
+        return b"www." + word() + b".org/" + word() + b"/" + word() + b"-" + number(3)
+    if shape == 6:
+        return word().upper()[:4] + b"-" + number(6)
+    if shape == 7:
+        return b"-".join([word(), word(), word(), word()])
+    return number(1) + b"." + number(2) + b"." + number(1) + b"-beta"
+
+
+#: What may stand before a value besides the words of the base rules.
+_LEADS = (b"", b" ", b"pwd = ", b"pwd: ", b"auth: ", b"credential = \"", b"passphrase: ", b"key='", b"use ", b"with ")
+_PLAIN_LEADS = (b" ", b" ", b"name = ", b"date: ", b"path=", b"size = ", b"see ", b"version: ", b"id=\"")
+
+
+def changed_copies(texts: Texts, number: int, spans: np.ndarray, tokens: np.ndarray):
+    """Copies of the text around some places as (bytes, start, end, secret): the new value's place."""
+    begin, end = int(texts.offsets[number]), int(texts.offsets[number + 1])
+    whole = texts.data[begin:end].tobytes()
+    random = np.random.default_rng(zlib.crc32(whole))
+
+    def copy(first: int, last: int, lead: bytes, value: bytes, secret: bool):
+        left, right = max(0, first - AROUND), min(len(whole), last + AROUND)
+        while left and whole[left] & 0xC0 == 0x80:
+            left -= 1
+        while right < len(whole) and whole[right] & 0xC0 == 0x80:
+            right += 1
+        head = whole[left:first] + lead
+        return head + value + whole[last:right], len(head), len(head) + len(value), secret
+
+    for start, stop, _ in spans.tolist():
+        for _ in range(COPIES):
+            lead = _LEADS[int(random.integers(0, len(_LEADS)))]
+            yield copy(start - begin, stop - begin, lead, secret_value(random, b"=" in lead or b":" in lead), True)
+    for at in tokens.tolist():
+        lead = _PLAIN_LEADS[int(random.integers(0, len(_PLAIN_LEADS)))]
+        yield copy(at - begin, at - begin, b" " + lead, harmless_value(random) + b" ", False)
+
+
+def _window(first: int, last: int, token: int) -> np.ndarray:
+    """Numbers of the tokens of a window around ``token`` of a text with tokens ``first`` to ``last``."""
+    return min(max(first, token - WINDOW // 2), last - WINDOW) + np.arange(WINDOW)
+
+
+def training_windows(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of labelled windows: windows x tokens x features, windows x tokens."""
+    base = base_spans(texts)
+    spans = np.concatenate(base)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    owner = texts.text_of(spans[:, 0])
+    starts, ends, of, features = token_features(texts)
+    labels = weak_labels(starts, ends, base)
+    shaped = unexplained(features, labels)
+    bounds = np.searchsorted(of, np.arange(texts.count + 1))
+    windows, tags, copies = [], [], []
+    for number in np.flatnonzero(np.diff(bounds) >= WINDOW).tolist():
+        low, high = int(bounds[number]), int(bounds[number + 1])
+        begins = np.flatnonzero(labels[low:high] == 1)[: WINDOWS - 1] + low
+        # away from the spans: around the longest other token, and at one more place
+        size = np.where(labels[low:high] > 0, 0, (ends - starts)[low:high])
+        away = np.array([low + int(size.argmax()), low + (high - low) * (number % 7) // 7])
+        for token in [*begins.tolist(), *away.tolist()]:
+            window = _window(low, high, token)
+            if not shaped[window].any():
+                windows.append(features[window])
+                tags.append(labels[window])
+        mine = spans[owner == number][: WINDOWS - 1]
+        copies += changed_copies(texts, number, mine, starts[away[~(labels[away] > 0)]])
+    if copies:
+        changed = Texts(pa.array([c[0].decode("utf-8", "replace") for c in copies]))
+        base = base_spans(changed)
+        starts, ends, of, features = token_features(changed)
+        labels = weak_labels(starts, ends, base)
+        bounds = np.searchsorted(of, np.arange(changed.count + 1))
+        for number, (_, begin, end, secret) in enumerate(copies):
+            low, high = int(bounds[number]), int(bounds[number + 1])
+            offset = int(changed.offsets[number])
+            first = low + int(np.searchsorted(ends[low:high], offset + begin, side="right"))
+            last = low + int(np.searchsorted(starts[low:high], offset + end))
+            if high - low < WINDOW or first >= last:
+                continue
+            labels[first:last] = 0
+            if secret:
+                labels[first], labels[first + 1 : last] = 1, 2
+            window = _window(low, high, first)
+            other = unexplained(features[window], labels[window])
+            other[(window >= first) & (window < last)] = False
+            if not other.any():
+                windows.append(features[window])
+                tags.append(labels[window])
+    if not windows:
+        return np.zeros((0, WINDOW, len(FEATURES)), bool), np.zeros((0, WINDOW), np.int8)
+    return np.stack(windows), np.stack(tags)
+
+
+_SIXTEEN, _DIGITS, _FOUR = (FEATURES.index(f) for f in ("len16", "digit", "turns4"))
+
+
+def unexplained(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Tokens of a secret's shape that no base rule has found: neither label would be sure."""
+    return (labels == 0) & features[:, _SIXTEEN] & features[:, _DIGITS] & features[:, _FOUR]
+
+
 def fit(documents: DataFrame) -> Field | None:
     """A field learned from a bounded sample; None when the base rules find nothing in it."""
 
     def run(batches):
         for piece in slices(batches):
-            texts = Texts(piece.column(1))
-            starts, ends, of, features = token_features(texts)
-            labels = weak_labels(starts, ends, base_spans(texts))
-            first = np.searchsorted(of, np.arange(texts.count))
-            last = np.searchsorted(of, np.arange(texts.count), side="right")
-            taken = []
-            for number in np.flatnonzero(last - first >= WINDOW).tolist():
-                low, high = int(first[number]), int(last[number]) - WINDOW
-                begins = np.flatnonzero(labels[low : high + WINDOW] == 1)[: WINDOWS - 1] + low
-                # away from the spans: around the longest other token, and at one more place
-                size = np.where(labels[low : high + WINDOW] > 0, 0, (ends - starts)[low : high + WINDOW])
-                begins = np.append(begins, [low + int(size.argmax()), low + (high - low) * (number % 7) // 7])
-                taken += [min(max(low, int(b) - WINDOW // 2), high) for b in begins]
-            if taken:
-                index = np.array(taken)[:, None] + np.arange(WINDOW)
+            features, labels = training_windows(Texts(piece.column(1)))
+            if len(labels):
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([features[index].tobytes()]),
-                        pa.array([labels[index].tobytes()]),
-                    ],
+                    [pa.array([features.tobytes()]), pa.array([labels.tobytes()])],
                     names=["features", "labels"],
                 )
 
@@ -301,12 +451,11 @@ def fit(documents: DataFrame) -> Field | None:
         return None
     features = features.reshape(len(labels), WINDOW, len(FEATURES))
     alike, times = np.unique(labels.any(1), return_counts=True)
-    # windows without a secret are thinned to at most ten times those with one
     keep = np.ones(len(labels), bool)
-    if len(times) == 2 and times[0] > 10 * times[1]:
+    if len(times) == 2 and times[0] > PLAIN_WINDOWS * times[1]:
         plain = np.flatnonzero(~labels.any(1))
         keep[plain] = False
-        keep[plain[np.linspace(0, len(plain) - 1, 10 * times[1]).astype(int)]] = True
+        keep[plain[np.linspace(0, len(plain) - 1, PLAIN_WINDOWS * times[1]).astype(int)]] = True
     return fitted_field(features[keep], labels[keep])
 
 
