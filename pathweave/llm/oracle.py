@@ -219,39 +219,30 @@ placed AS (
   SELECT k, kind, f, CAST(sum(length(g) + length(f)) OVER (PARTITION BY k, kind ORDER BY i) AS BIGINT) AS stop,
     regexp_replace(f, '[^0-9]', '', 'g') AS d FROM one),
 base AS (SELECT k, kind, f, stop - length(f) AS start, stop FROM placed WHERE {_VALID}),
-windows AS (
-  SELECT b.*, greatest(0, start - 192) AS low, text, kind || ':' || lower(f) AS entity,
-    string_split_regex(substr(text, greatest(0, start - 192) + 1, start - greatest(0, start - 192)), '{_WS}') AS a,
-    string_split_regex(substr(text, stop + 1, 192), '{_WS}') AS z
-  FROM base b JOIN told USING (k)),
-pieces AS (
-  SELECT k, entity, 0 AS side, low AS shift, start AS own, unnest(a) AS w, unnest(range(1, len(a) + 1)) AS i, len(a) AS n FROM windows
-  UNION ALL
-  SELECT k, entity, 1, stop, start, unnest(z), unnest(range(1, len(z) + 1)), len(z) FROM windows),
-laid AS (
-  SELECT *, CAST(shift + i - 1 + sum(length(w)) OVER (PARTITION BY k, entity, own, side ORDER BY i) AS BIGINT) AS stop
-  FROM pieces),
-close AS (
-  SELECT *, row_number() OVER (PARTITION BY k, entity, own, side ORDER BY CASE WHEN side = 0 THEN -i ELSE i END) AS r
-  FROM laid WHERE i > 1 AND i < n AND w <> ''),
-near AS (
-  SELECT DISTINCT k, entity, lower(w) AS term, stop - length(w) AS start, stop FROM close
-  WHERE r <= 3 AND regexp_matches(w, '^\\pL')),
 total AS (SELECT count(*) AS n FROM told),
+entity AS (
+  SELECT DISTINCT k, unnest(['own ' || kind || ' ' || lower(f), 'kind ' || kind, 'group ' || kind || ' ' || CASE kind
+    WHEN 0 THEN string_split(lower(f), '@')[-1]
+    WHEN 1 THEN array_to_string(string_split(f, '.')[1:3], '.')
+    WHEN 2 THEN substr(d, 1, 6) ELSE substr(d, 1, 5) END]) AS e
+  FROM (SELECT *, regexp_replace(f, '[^0-9]', '', 'g') AS d FROM base)),
+held AS (
+  SELECT e, count(*) AS n_e FROM entity JOIN told USING (k), total GROUP BY e, n
+  HAVING count(DISTINCT text) >= 3 AND count(*) < n),
+piece AS (SELECT k, unnest(string_split_regex(text, '{_WS}')) AS w, unnest(range(1, len(string_split_regex(text, '{_WS}')) + 1)) AS i FROM told),
+word AS (SELECT DISTINCT k, lower(w) AS t FROM piece WHERE regexp_matches(lower(w), '^\\pL')),
+times AS (SELECT t, count(*) AS n_t FROM word GROUP BY t),
 pair AS (
-  SELECT entity, term, count(*) AS n_te FROM (SELECT DISTINCT k, entity, term FROM near) JOIN told USING (k)
-  GROUP BY entity, term HAVING count(DISTINCT text) >= 3),
-times AS (
-  SELECT term, count(*) AS n_t FROM (SELECT DISTINCT k, unnest(string_split_regex(lower(text), '{_WS}+')) AS term FROM told)
-  WHERE term IN (SELECT term FROM pair) GROUP BY term),
-entities AS (
-  SELECT entity, count(*) AS n_e FROM (SELECT DISTINCT k, kind || ':' || lower(f) AS entity FROM base) GROUP BY entity),
+  SELECT e, t, count(*) AS n_te FROM entity SEMI JOIN held USING (e) JOIN word USING (k) JOIN told USING (k)
+  GROUP BY e, t HAVING count(DISTINCT text) >= 3),
 flagged AS (
-  SELECT entity, term FROM pair JOIN times USING (term) JOIN entities USING (entity), total
-  WHERE n > n_e AND floor(log2(n_te * n / (n_e * n_t)) / log2(n / n_e) * 1e6 + 0.5) / 1e6 >= 0.85),
+  SELECT DISTINCT t FROM pair JOIN times USING (t) JOIN held USING (e), total
+  WHERE floor((1 + log2((n_te + 2 * n_e / n) / (n_t + 2)) / log2(n / n_e)) * 1e6 + 0.5) / 1e6 >= 0.85),
+laid AS (
+  SELECT k, w, CAST(i - 1 + sum(length(w)) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS stop FROM piece),
 added AS (
-  SELECT DISTINCT k, start, stop FROM near SEMI JOIN flagged USING (entity, term) WHERE NOT EXISTS (
-    SELECT 1 FROM base b WHERE b.k = near.k AND b.start < near.stop AND near.start < b.stop)),
+  SELECT k, stop - length(w) AS start, stop FROM laid WHERE lower(w) IN (SELECT t FROM flagged) AND NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.k = laid.k AND b.start < laid.stop AND laid.stop - length(w) < b.stop)),
 every AS (
   SELECT k, kind, ['email', 'ip', 'card', 'phone'][kind + 1] AS name, start, stop FROM base
   UNION ALL SELECT k, 4, 'term', start, stop FROM added),

@@ -1,19 +1,17 @@
 """Personal data: exact base rules and information-theoretic sanitisation, in DataFrame functions.
 
-The protected entities are the matches of the base rules and their groups: the domain of an email,
-the network of an ip, the issuer of a card, the leading digits of a phone, so that entities written
-once have support. A term is any word of their documents that begins with a letter. Over all
-documents, with ``n`` of them, ``n_e`` holding the entity, ``n_t`` the term and ``n_te`` both, the
-term discloses
+The protected entities are the matches of the base rules, their owners' groups (the domain of an
+email, the network of an ip, the issuer of a card, the leading digits of a phone) and their kinds,
+so that entities written once have support. A term is any word of their documents that begins with
+a letter. Over all ``n`` documents, with ``n_e`` holding the entity, ``n_t`` the term and ``n_te``
+both, the chance of the entity where the term is written is taken as
 
-    log2(n_te * n / (n_e * n_t)) / log2(n / n_e)
+    p = (n_te + PRIOR * n_e / n) / (n_t + PRIOR)
 
-of the entity's information. A term that does so in at least ``SUPPORT`` different texts and
-discloses at least ``GENERALISE`` is generalised wherever it is written, and removed from
-``REMOVE`` on.
-
-With ``reach`` only words within so many words of a mention are terms of an exact entity, with
-white space on both sides; ``n_te`` counts those, and only those are marked.
+so that few occurrences prove little, and the term discloses ``1 - log2(p) / log2(n_e / n)`` of the
+entity's information: nothing if it says nothing, all if it is never written without the entity. A
+term that stands with an entity in at least ``SUPPORT`` different texts and discloses at least
+``GENERALISE`` is generalised wherever it is written, and removed from ``REMOVE`` on.
 
 Base kinds, leftmost and not overlapping within a kind: ``email``, ``ip``, ``card``, ``phone``.
 Added spans have kind ``term``. The patterns are written with possessive repeats and look-behind,
@@ -52,8 +50,11 @@ HINTS = {
     "phone": lambda text: text.rlike(r"\+[0-9]"),
 }
 
-REACH = 3
 SUPPORT = 3
+#: Documents with the term that are taken to hold the entity as often as all do.
+PRIOR = 2
+#: Matches or words of a text that are walked through in one go.
+STRETCH = 256
 #: Flagged terms are first looked for in a table of so many bits, at three places of their hashes.
 PLACES = 1 << 18
 GENERALISE = 0.85
@@ -62,6 +63,53 @@ REMOVE = 0.95
 _SPAN = "array<struct<kind:int,start:int,stop:int,found:string>>"
 
 
+def walked(pieces: Column, kind: str, lengths, spans) -> Column:
+    """Spans of pieces one behind the other, as ``kind``; time grows with the pieces.
+
+    ``lengths`` is the length of a piece, ``spans`` the array of its spans if it begins at a place.
+    Stretches of pieces are walked through from 0 and then moved, so that no list is copied often.
+    """
+    none = F.array().cast(kind)
+    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("firsts"))
+
+    def step(done: Column, x: Column) -> Column:
+        return F.struct(
+            (done["at"] + lengths(x)).alias("at"), spans(done["spans"], done["at"], x).alias("spans")
+        )
+
+    def cut(all_: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STRETCH).cast("int"))
+        local = F.transform(
+            numbers, lambda k: F.aggregate(F.slice(all_, k * STRETCH + 1, STRETCH), begin, step)
+        )
+        return F.when(F.size(all_) > 0, _once(local, joined)).otherwise(none)
+
+    def joined(local: Column) -> Column:
+        firsts = F.aggregate(
+            local,
+            empty,
+            lambda done, x: F.struct(
+                (done["at"] + x["at"]).alias("at"), F.concat(done["firsts"], F.array(done["at"])).alias("firsts")
+            ),
+            lambda done: done["firsts"],
+        )
+        return F.flatten(F.zip_with(local, firsts, moved))
+
+    def moved(x: Column, first: Column) -> Column:
+        return F.transform(
+            x["spans"],
+            lambda s: s.withField("start", s["start"] + first).withField("stop", s["stop"] + first),
+        )
+
+    return _once(pieces, cut)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def located(text: Column, pattern: str, kind: int) -> Column:
     """Spans of all matches, in code points: between two matches lies one piece of the split."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -69,17 +117,16 @@ def located(text: Column, pattern: str, kind: int) -> Column:
     both = F.arrays_zip(found.alias("found"), gaps.alias("gap"))
     # the last gap has no match behind it
     steps = F.filter(both, lambda x: x["found"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    def step(done: Column, x: Column) -> Column:
-        begin = done["at"] + x["gap"]
-        stop = begin + F.length(x["found"])
+    def spans(done: Column, at: Column, x: Column) -> Column:
+        begin = at + x["gap"]
         span = F.struct(
-            F.lit(kind).alias("kind"), begin.alias("start"), stop.alias("stop"), x["found"].alias("found")
-        )
-        return F.struct(stop.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+            F.lit(kind).alias("kind"), begin.alias("start"), (begin + F.length(x["found"])).alias("stop"),
+            x["found"].alias("found"),
+        )
+        return F.concat(done, F.array(span))
 
-    return F.aggregate(steps, start, step, lambda done: done["spans"])
+    return walked(steps, _SPAN, lambda x: x["gap"] + F.length(x["found"]), spans)
 
 
 def _digits(found: Column) -> Column:
@@ -132,104 +179,11 @@ def written(spans: Column) -> Column:
     )
 
 
-def found_base(documents: DataFrame, reach: int | None = REACH) -> DataFrame:
-    """``doc_id, text_id, spans, near``: texts' ids, base spans, and the words close to them.
-
-    Without ``reach`` the whole ``text`` instead of ``near``.
-    """
+def found_base(documents: DataFrame) -> DataFrame:
+    """``doc_id, text_id, spans, text``: texts' ids and base spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = documents.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn(
-        "spans", base_spans(F.col("text"))
-    )
-    if reach is None:
-        return base.select("doc_id", F.xxhash64("text").alias("text_id"), "spans", "text")
-    near = F.when(
-        F.size("spans") > 0, F.flatten(F.transform("spans", lambda s: _beside(F.col("text"), s, reach)))
-    )
-    return base.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_id"),
-        F.col("spans"),
-        F.coalesce(near, F.array().cast("array<struct<entity:long,term:string,start:int,stop:int>>")).alias(
-            "near"
-        ),
-    )
-
-
-def _beside(text: Column, span: Column, reach: int) -> Column:
-    """The words within ``reach`` words of a span: entity, term in lower case, start and stop."""
-    entity = F.xxhash64(span["kind"], F.lower(span["found"]))
-    # words longer than the window are cut off at its border and left out
-    window = 64 * reach
-    low = F.greatest(F.lit(0), span["start"] - window)
-    ahead = F.substr(text, low + 1, span["start"] - low)
-    behind = F.substr(text, span["stop"] + 1, F.lit(window))
-    # what touches the span or the window's border is no word of its own
-    before = F.slice(F.reverse(_whole(ahead, low)), 1, reach)
-    after = F.slice(_whole(behind, span["stop"]), 1, reach)
-    return F.transform(
-        F.filter(F.concat(before, after), lambda w: w["found"].rlike(r"^\p{L}")),
-        lambda w: F.struct(
-            entity.alias("entity"),
-            F.lower(w["found"]).alias("term"),
-            w["start"].alias("start"),
-            w["stop"].alias("stop"),
-        ),
-    )
-
-
-def _whole(part: Column, shift: Column) -> Column:
-    words = located(part, r"(?<=[\x20\x09-\x0D])" + WORD + r"(?=[\x20\x09-\x0D])", 4)
-    return F.transform(
-        words,
-        lambda w: F.struct(
-            w["kind"].alias("kind"), (w["start"] + shift).alias("start"),
-            (w["stop"] + shift).alias("stop"), w["found"].alias("found"),
-        ),
-    )
-
-
-def disclosing_terms(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """``entity, term, disclosure`` of the terms to generalise or remove."""
-    total = found.count()
-    beside = (
-        found.filter(F.size("near") > 0)
-        .select("text_id", F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))).alias("pair"))
-        .select("text_id", "pair.entity", "pair.term")
-    )
-    # copies of one text are one row here, so a hot text is combined before the shuffle
-    pairs = (
-        beside.groupBy("entity", "term", "text_id").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts"))
-        .filter(F.col("texts") >= SUPPORT)
-    )
-    pairs = materialise(pairs, "pairs", files_for(total))
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    # every word of the corpus is counted, combined before the shuffle, and only then looked up
-    words = documents.select(
-        F.explode(
-            F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"))
-        ).alias("term")
-    )
-    times = words.groupBy(F.xxhash64("term").alias("word")).agg(F.count(F.lit(1)).alias("n_t"))
-    entities = (
-        found.filter(F.size("spans") > 0)
-        .select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["found"]))))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("n_e"))
-    )
-    told = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_e") * F.col("n_t")))
-    whole = F.log2(F.lit(total) / F.col("n_e"))
-    # a millionth of tolerance, so that equal counts decide alike everywhere
-    share = F.floor(F.when(whole > 0, told / whole).otherwise(0.0) * 1e6 + 0.5) / 1e6
-    return (
-        pairs.join(entities, "entity")
-        .withColumn("word", F.xxhash64("term"))
-        .join(times, "word")
-        .select("entity", "term", share.alias("disclosure"))
-        .filter(F.col("disclosure") >= GENERALISE)
-    )
+    base = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
+    return base.select("doc_id", F.xxhash64("text").alias("text_id"), base_spans(F.col("text")).alias("spans"), "text")
 
 
 def _is(kind: int):
@@ -256,8 +210,9 @@ def _group(span: Column) -> Column:
 
 def _share(n_te: Column, n_e: Column, n_t: Column, total: int) -> Column:
     """The part of the entity's information that a term discloses; the entity is not everywhere."""
-    told = F.log2(n_te * F.lit(total) / (n_e * n_t)) / F.log2(F.lit(total) / n_e)
-    return F.floor(told * 1e6 + 0.5) / 1e6
+    chance = (n_te + PRIOR * n_e / F.lit(total)) / (n_t + PRIOR)
+    # a millionth of tolerance, so that equal counts decide alike everywhere
+    return F.floor((1 + F.log2(chance) / F.log2(F.lit(total) / n_e)) * 1e6 + 0.5) / 1e6
 
 
 def document_terms(found: DataFrame) -> DataFrame:
@@ -267,6 +222,7 @@ def document_terms(found: DataFrame) -> DataFrame:
         F.concat(
             F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["found"]))),
             F.transform("spans", lambda s: F.xxhash64(F.lit("group"), s["kind"], _group(s))),
+            F.transform("spans", lambda s: F.xxhash64(F.lit("kind"), s["kind"])),
         )
     )
     # copies of one text are one row from here on, with their number
@@ -322,23 +278,18 @@ def _everywhere(found: DataFrame) -> DataFrame:
     table = F.split(F.lit(signed), ",").cast("array<bigint>")
     kind = "array<struct<word:bigint,start:int,stop:int>>"
 
-    def step(done: Column, piece: Column) -> Column:
-        stop = done["at"] + F.length(piece)
+    def spans(done: Column, at: Column, piece: Column) -> Column:
         word = F.xxhash64(F.lower(piece))
         one, two, three = (
             F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1
             for p in _places(word)
         )
-        span = F.struct(word.alias("word"), done["at"].alias("start"), stop.alias("stop"))
-        return F.struct(
-            (stop + 1).alias("at"),
-            F.when((piece != "") & one & two & three, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"),
-        )
+        span = F.struct(word.alias("word"), at.alias("start"), (at + F.length(piece)).alias("stop"))
+        return F.when((piece != "") & one & two & three, F.concat(done, F.array(span))).otherwise(done)
 
     # one separator between two pieces, so ends of the text are borders too
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
     pieces = F.split("text", r"[\x20\x09-\x0D]", -1)
-    seen = F.aggregate(pieces, start, step, lambda done: done["spans"])
+    seen = walked(pieces, kind, lambda piece: F.length(piece) + 1, spans)
     return (
         found.select("row", F.explode(seen).alias("w"))
         .select("row", "w.*")
@@ -347,30 +298,16 @@ def _everywhere(found: DataFrame) -> DataFrame:
     )
 
 
-def _near_mentions(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """``row, start, stop, disclosure`` of the flagged terms beside mentions."""
-    flagged = disclosing_terms(documents, found)
-    return (
-        found.filter(F.size("near") > 0)
-        .select("row", F.explode("near").alias("w"))
-        .select("row", "w.*")
-        .join(flagged, ["entity", "term"])
-        .groupBy("row", "start", "stop")
-        .agg(F.max("disclosure").alias("disclosure"))
-    )
-
-
-def find(documents: DataFrame, reach: int | None = REACH) -> DataFrame:
+def find(documents: DataFrame) -> DataFrame:
     """``doc_id``, counts of the base kinds, ``base_sha256``, ``spans``, ``n_terms``, ``all_spans``.
 
-    ``all_spans`` has the terms' disclosure: a row's spans by kind and start. Without ``reach``
-    terms are taken from whole documents and marked everywhere.
+    ``all_spans`` has the terms' disclosure: a row's spans by kind and start.
     """
-    base = found_base(documents, reach).withColumn("row", F.monotonically_increasing_id())
+    base = found_base(documents).withColumn("row", F.monotonically_increasing_id())
     found = materialise(base, "found")
-    terms = _everywhere(found) if reach is None else _near_mentions(documents, found)
     added = (
-        terms.groupBy("row")
+        _everywhere(found)
+        .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
     )
     few = files_for(found.count())
