@@ -237,7 +237,7 @@ pair AS (
   GROUP BY e, t HAVING count(DISTINCT text) >= 3),
 flagged AS (
   SELECT DISTINCT t FROM pair JOIN times USING (t) JOIN held USING (e), total
-  WHERE floor((1 + log2((n_te + 2 * n_e / n) / (n_t + 2)) / log2(n / n_e)) * 1e6 + 0.5) / 1e6 >= 0.85),
+  WHERE floor((1 + log2((n_te + 2 * n_e / n) / (n_t + 2)) / log2(n / n_e)) * 1e6 + 0.5) / 1e6 >= 0.8),
 laid AS (
   SELECT k, w, CAST(i - 1 + sum(length(w)) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS stop FROM piece),
 added AS (

@@ -57,7 +57,7 @@ PRIOR = 2
 STRETCH = 256
 #: Flagged terms are first looked for in a table of so many bits, at three places of their hashes.
 PLACES = 1 << 18
-GENERALISE = 0.85
+GENERALISE = 0.8
 REMOVE = 0.95
 
 _SPAN = "array<struct<kind:int,start:int,stop:int,found:string>>"

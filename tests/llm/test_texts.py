@@ -154,7 +154,7 @@ def plain_terms(rows):
         if len(texts[e]) >= 3 and held[e] < n and len(both[e, w]) >= 3:
             chance = (count + 2 * held[e] / n) / (n_t[w] + 2)
             share = math.floor((1 + math.log2(chance) / math.log2(n / held[e])) * 1e6 + 0.5) / 1e6
-            if share >= 0.85:
+            if share >= personal_data.GENERALISE:
                 out[w] = max(share, out.get(w, 0))
     return out
 
