@@ -106,7 +106,8 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
 
 
 def op5_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
-    schemas = spark.createDataFrame(TOOLS, "tool string, parameter string, type string, required boolean")
+    rows = ", ".join(f"('{tool}', '{name}', '{kind}', {needed})" for tool, name, kind, needed in TOOLS)
+    schemas = spark.sql(f"SELECT * FROM VALUES {rows} AS schemas(tool, parameter, type, required)")
     return tool_calls.format_chats(tool_messages(_table(spark, folder, "conversations")), schemas)
 
 

@@ -178,12 +178,30 @@ def test_run_against_brute_force(spark, documents, tmp_path):
     assert secret_tags.KINDS[3] == "crf"
 
 
-def test_native_operators_run_no_python(spark):
-    """Their plans, of every job that a query starts, hold no Python node."""
+def test_native_operators_run_no_python(spark, monkeypatch):
+    """No plan that a query writes on its way or returns holds a Python node or an RDD."""
+    from pathweave.llm import components, personal_data, tool_calls
+
+    seen = []
+
+    def watched(module):
+        write = module.materialise
+
+        def materialise(df, *args):
+            seen.append(df._jdf.queryExecution().toString())
+            return write(df, *args)
+
+        monkeypatch.setattr(module, "materialise", materialise)
+
+    for module in (components, personal_data, tool_calls):
+        watched(module)
     for name in ("op1_personal_data", "op5_tool_calls"):
+        begin = len(seen)
         df = QUERIES[name](spark, "/root/testdata/sf0.001")
-        plan = df._jdf.queryExecution().toString()
-        assert not any(word in plan for word in ("Python", "Pandas", "MapInArrow"))
+        seen.append(df._jdf.queryExecution().toString())
+        assert len(seen) > begin + 3
+    for plan in seen:
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "ExistingRDD", "PythonRDD"))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
