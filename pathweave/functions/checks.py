@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -62,6 +63,15 @@ def repeated_keys(df: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
+def require_unique_ids(kinds: dict[str, DataFrame]) -> None:
+    """Fails when an id repeats within a kind; one job looks at all kinds."""
+    ids = [df.select(F.lit(kind).alias("kind"), "id") for kind, df in kinds.items()]
+    counts = reduce(DataFrame.unionAll, ids).groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n"))
+    worst = counts.filter("n > 1").limit(1).collect()
+    if worst:
+        raise ValueError(f"{worst[0].kind} id {worst[0].id!r} occurs {worst[0].n} times")
+
+
 def require_unique(df: DataFrame, key: str = "id") -> DataFrame:
     """``df`` itself, after a job that fails when ``key`` repeats."""
     worst = repeated_keys(df, key).limit(1).collect()

@@ -4,33 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pathweave.functions.prefix import BUCKET, bucket_of
+from pathweave.functions.prefix import bucket_of
 from pathweave.operators.tables import latest
 
 
-def _region_positions(regions: DataFrame, width: int) -> DataFrame:
-    """One row per region and position; long regions unfold bucket by bucket."""
-    first = F.greatest(F.col("start"), F.col("bucket") * width)
-    last = F.least(F.col("end"), F.col("bucket") * width + width - 1)
-    return regions.select(
-        "*",
-        F.explode(
-            F.sequence(bucket_of(F.col("start"), width), bucket_of(F.col("end"), width))
-        ).alias("bucket"),
-    ).select("ref_chr", "region_id", F.explode(F.sequence(first, last)).alias("pos"))
+# A region meets its chromosome in cells of so many positions.
+REGION_CELL = 1 << 8
+
+
+def region_places(regions: DataFrame, paths: DataFrame, width: int = REGION_CELL) -> DataFrame:
+    """``(ref_chr, region_id, pos, gene_id)``: a range join of regions and path positions.
+
+    A region has a row for each cell that it touches, a gene one row. Regions of a chromosome do
+    not overlap, so few meet in a cell; a hot chromosome spreads over its cells.
+    """
+    cells = F.sequence(bucket_of(F.col("start"), width), bucket_of(F.col("end"), width))
+    touched = regions.filter(F.col("start") <= F.col("end")).select(
+        "ref_chr", "region_id", "start", "end", F.explode(cells).alias("_cell")
+    )
+    placed = paths.select(
+        F.col("chromosome").alias("ref_chr"),
+        "pos",
+        "gene_id",
+        bucket_of(F.col("pos"), width).alias("_cell"),
+    )
+    return (
+        touched.join(placed, ["ref_chr", "_cell"])
+        .filter(F.col("pos").between(F.col("start"), F.col("end")))
+        .select("ref_chr", "region_id", "pos", "gene_id")
+    )
 
 
 def region_genes(
-    regions: DataFrame, paths: DataFrame, features: DataFrame, width: int = BUCKET
+    regions: DataFrame, paths: DataFrame, features: DataFrame, width: int = REGION_CELL
 ) -> DataFrame:
     """``(ref_chr, region_id, pos, gene)``: the named genes of each region.
 
     A gene without a feature fails the job.
     """
-    placed = _region_positions(regions, width).join(
-        paths.select(F.col("chromosome").alias("ref_chr"), "pos", "gene_id"),
-        ["ref_chr", "pos"],
-    )
+    placed = region_places(regions, paths, width)
     names = features.select(
         F.col("feature_id").alias("gene_id"),
         F.col("name").alias("gene"),
@@ -57,13 +69,7 @@ def region_gene_lists(named: DataFrame) -> DataFrame:
 
 def genes_by_number(genes: DataFrame) -> DataFrame:
     """One gene per chromosome and number; of several the largest id."""
-    keys = ["chromosome", "number"]
-    columns = ["id", "strand", "name", "fmin", "fmax"]
-    return (
-        genes.groupBy(*keys)
-        .agg(F.max_by(F.struct(*columns), "id").alias("_gene"))
-        .select(*keys, *[F.col(f"_gene.{c}").alias(c) for c in columns])
-    )
+    return latest(genes, ["chromosome", "number"], "id", ["id", "strand", "name", "fmin", "fmax"])
 
 
 def interval_genes(chains: DataFrame, genes: DataFrame) -> DataFrame:

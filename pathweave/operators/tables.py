@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType, BinaryType, StringType
 
 from pathweave.sources.annotation import Annotation
 
@@ -10,16 +11,23 @@ from pathweave.sources.annotation import Annotation
 NULL_FAMILY = "-1"
 
 
-def latest(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
-    """The row with the largest ``order`` for each ``key``.
+def latest(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """The row with the largest ``order`` for each of ``keys``; of equal ones any whole row.
 
-    An aggregate, so repeated keys shrink before the shuffle.
+    Repeated keys shrink before the shuffle either way. Numbers are kept in a hash aggregate, one
+    ``max_by`` a column, which all pick the same row as they see the same order. Texts do not fit
+    into its buffers: their rows are ranked, with the sort that a join on the keys needs as well.
     """
-    return (
-        df.groupBy(key)
-        .agg(F.max_by(F.struct(*columns), order).alias("_row"))
-        .select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
-    )
+    if all(_fixed_width(df, c) for c in columns):
+        return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in columns])
+    newest = Window.partitionBy(*keys).orderBy(F.desc(order))
+    ranked = df.select(*dict.fromkeys([*keys, order, *columns]), F.row_number().over(newest).alias("_rank"))
+    return ranked.filter("_rank = 1").select(*keys, *columns)
+
+
+def _fixed_width(df: DataFrame, column: str) -> bool:
+    kind = df.schema[column].dataType
+    return isinstance(kind, AtomicType) and not isinstance(kind, (StringType, BinaryType))
 
 
 def _required(found: Column, value: Column, message: Column, strict: bool) -> Column:
@@ -31,7 +39,7 @@ def _required(found: Column, value: Column, message: Column, strict: bool) -> Co
 def gene_families(assignments: DataFrame) -> DataFrame:
     """``(gene_id, family)``; of several assignments the latest counts."""
     return latest(
-        assignments, "gene_id", "gene_family_assignment_id", ["family_label"]
+        assignments, ["gene_id"], "gene_family_assignment_id", ["family_label"]
     ).withColumnRenamed("family_label", "family")
 
 
@@ -42,13 +50,13 @@ def gene_table(annotation: Annotation, strict: bool = True) -> DataFrame:
     the missing columns are null.
     """
     orders = latest(
-        annotation.gene_order, "gene_id", "gene_order_id", ["chromosome_id", "number"]
+        annotation.gene_order, ["gene_id"], "gene_order_id", ["chromosome_id", "number"]
     )
     names = annotation.feature.select(
         F.col("feature_id").alias("gene_id"), "name", F.lit(True).alias("has_feature")
     )
     places = latest(
-        annotation.featureloc, "feature_id", "featureloc_id", ["fmin", "fmax", "strand"]
+        annotation.featureloc, ["feature_id"], "featureloc_id", ["fmin", "fmax", "strand"]
     ).select(
         F.col("feature_id").alias("gene_id"),
         "fmin",

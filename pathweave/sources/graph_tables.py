@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pathweave.functions.checks import require_unique
+from pathweave.functions.checks import require_unique_ids
 from pathweave.operators.tables import (
     chromosome_table,
     family_table,
     gene_table,
     organism_table,
 )
+from pathweave.session import materialise
 from pathweave.sources.annotation import Annotation
 
 # The tables, their columns in file order, and the integer columns.
@@ -81,33 +83,46 @@ def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: read(name) for name in TABLES}
 
 
-def link_tables(tables: dict[str, DataFrame]) -> GeneGraph:
+def link_tables(
+    tables: dict[str, DataFrame],
+    keep: Callable[[DataFrame, str], DataFrame] = lambda vertices, name: vertices,
+) -> GeneGraph:
     """Keeps the chromosomes with an organism and the genes with both their ends.
 
-    Chromosomes are linked first, as a gene needs one that was kept.
+    Chromosomes are linked first, as a gene needs one that was kept. ``keep`` takes each kind of
+    vertices on its way, once.
     """
-    organisms, families = tables["organisms"], tables["families"]
+    organisms = keep(tables["organisms"], "organisms")
+    families = keep(tables["families"], "families")
 
     def ids(df: DataFrame, column: str) -> DataFrame:
         return df.select(F.col("id").alias(column))
 
-    chromosomes = tables["chromosomes"].join(ids(organisms, "organism"), "organism")
+    linked = tables["chromosomes"].join(ids(organisms, "organism"), "organism")
+    chromosomes = keep(linked.select(*TABLES["chromosomes"]), "chromosomes")
     genes = (
         tables["genes"]
         .join(ids(families, "family"), "family")
         .join(ids(chromosomes, "chromosome"), "chromosome")
     )
     return GeneGraph(
-        organisms,
-        chromosomes.select(*TABLES["chromosomes"]),
-        families,
-        genes.select(*TABLES["genes"]),
+        organisms, chromosomes, families, keep(genes.select(*TABLES["genes"]), "genes")
     )
 
 
 def load_graph(spark: SparkSession, folder: str) -> GeneGraph:
-    """Reads and links exported tables; an id that repeats within a kind is an error."""
-    graph = link_tables(read_tables(spark, folder))
-    for vertices in (graph.organisms, graph.families, graph.chromosomes, graph.genes):
-        require_unique(vertices)
+    """Reads and links exported tables; an id that repeats within a kind is an error.
+
+    Each file is parsed once: linked vertices are written as they are found, and one job over the
+    written ids of all kinds looks for repeats.
+    """
+    graph = link_tables(read_tables(spark, folder), materialise)
+    require_unique_ids(
+        {
+            "organism": graph.organisms,
+            "family": graph.families,
+            "chromosome": graph.chromosomes,
+            "gene": graph.genes,
+        }
+    )
     return graph

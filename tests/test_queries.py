@@ -4,7 +4,7 @@ import random
 import pytest
 from models import chain_model, coverage_model, merge_model, run_model, sweep_model
 
-from pathweave.operators.genes import region_genes
+from pathweave.operators.genes import region_genes, region_places
 from pathweave.plans import queries as q
 from pathweave.sources.annotation import SCHEMAS, Annotation
 from pathweave.sources.documents import (
@@ -103,6 +103,25 @@ def test_long_regions_unfold_in_parts(spark, annotation):
     assert [r.gene for r in named.orderBy("pos").collect()] == [f"g1.{i}" for i in range(1, 10)]
 
 
+@pytest.mark.parametrize("width", [1, 3, 256])
+def test_regions_meet_their_genes_only(spark, annotation, width):
+    paths = q.written_paths(annotation)
+    rng = random.Random(3)
+    regions = [
+        (c, i, *sorted((rng.randint(0, 40), rng.randint(0, 40)))) for c in [*PATHS, 99] for i in range(6)
+    ] + [(1, 6, 5, 4), (2, 6, 1000, 10**9)]
+    given = spark.createDataFrame(regions, "ref_chr long, region_id long, start long, end long")
+    if width == 1:
+        given = given.filter("end < 1000")
+    got = sorted(tuple(r) for r in region_places(given, paths, width).collect())
+    assert got == sorted(
+        (c, i, p, gene_id(c, p))
+        for c, i, start, end in regions
+        for p in range(len(PATHS.get(c, "")))
+        if start <= p <= end
+    )
+
+
 def test_bad_arguments(annotation):
     for matched, intermediate, support in ((0, 1, 1), (1, -1, 1), (1, 1, 0), ("x", 1, 1)):
         with pytest.raises(ValueError):

@@ -138,6 +138,31 @@ def test_export_and_load(spark, annotation, tmp_path):
     assert len(rows(graph.gene_to_family)) == 5
 
 
+def test_latest_row(spark):
+    given = [(1, 5, "a", 10), (1, 7, None, None), (1, 6, "c", 12), (2, 1, "d", 13), (None, 3, "e", 14)]
+    df = spark.createDataFrame(given, "k long, o long, t string, n int")
+    want = [(1, None), (2, 13), (None, 14)]
+    assert sorted(map(tuple, latest(df, ["k"], "o", ["n"]).collect()), key=str) == want
+    texts = [(1, None, 7), (2, "d", 1), (None, "e", 3)]
+    assert sorted(map(tuple, latest(df, ["k"], "o", ["t", "o"]).collect()), key=str) == texts
+    twice = df.unionAll(df.filter("k = 2"))
+    assert latest(twice, ["k"], "o", ["t"]).count() == latest(twice, ["k"], "o", ["n"]).count() == 3
+    assert latest(df.limit(0), ["k"], "o", ["n"]).collect() == []
+
+
+def test_gene_table_sorts_for_joins_only(annotation):
+    plan = gene_table(annotation)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_loaded_ids_are_unique_within_a_kind(spark, annotation, tmp_path):
+    export_tables(annotation, str(tmp_path / "out"))
+    load_graph(spark, str(tmp_path / "out"))  # organism, chromosome and gene ids may be equal
+    (tmp_path / "out" / "organisms" / "more.csv").write_text("id,genus,species\n100,Genus,again\n")
+    with pytest.raises(ValueError, match="organism id '100' occurs 2 times"):
+        load_graph(spark, str(tmp_path / "out"))
+
+
 def test_load_of_odd_rows(spark, tmp_path):
     files = {
         "organisms": "id,genus,species\no1,G,s\n",
