@@ -15,11 +15,14 @@ REGION_CELL = 1 << 8
 def region_places(regions: DataFrame, paths: DataFrame, width: int = REGION_CELL) -> DataFrame:
     """``(ref_chr, region_id, pos, gene_id)``: a range join of regions and path positions.
 
-    A region has a row for each cell that it touches, a gene one row. Regions of a chromosome do
-    not overlap, so few meet in a cell; a hot chromosome spreads over its cells.
+    A region has a row for each cell that it touches up to the end of its path, a gene one row.
+    Regions of a chromosome do not overlap, so few meet in a cell; a hot chromosome spreads over its
+    cells.
     """
-    cells = F.sequence(bucket_of(F.col("start"), width), bucket_of(F.col("end"), width))
-    touched = regions.filter(F.col("start") <= F.col("end")).select(
+    tops = paths.groupBy(F.col("chromosome").alias("ref_chr")).agg(F.max("pos").alias("_top"))
+    last = F.least("end", "_top")
+    cells = F.sequence(bucket_of(F.col("start"), width), bucket_of(last, width))
+    touched = regions.join(tops, "ref_chr").filter(F.col("start") <= last).select(
         "ref_chr", "region_id", "start", "end", F.explode(cells).alias("_cell")
     )
     placed = paths.select(
