@@ -7,6 +7,7 @@ from pathweave.operators.tables import (
     chromosome_table,
     family_table,
     gene_table,
+    latest,
     organism_table,
 )
 from pathweave.sources.annotation import (
