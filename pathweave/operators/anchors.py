@@ -198,7 +198,9 @@ def relatives(positions: DataFrame, query=None) -> DataFrame:
     carriers = positions.groupBy("family", "chromosome").agg(
         F.lit(0).alias("chunk"), F.array(F.lit(0)).alias("positions")
     )
-    return pair_lists(carriers).select(*PAIR).distinct()
+    carriers = materialise(carriers, "carriers")
+    # every pair is whole within one call, so nothing is left to make distinct
+    return map_bundles(bundles(carriers, ANCHORS_PER_BLOCK), _size_step(0), {})
 
 
 def _size_step(limit: int):

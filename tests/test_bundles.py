@@ -5,8 +5,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pathweave.operators import bundles as bundle_module
-from pathweave.operators.anchors import anchors, distinct_step, lay_out, pair_lists, unfold, written_lists
+from pathweave.operators import anchors as anchor_module, bundles as bundle_module
+from pathweave.operators.anchors import (
+    anchors,
+    distinct_step,
+    lay_out,
+    pair_lists,
+    relatives,
+    unfold,
+    written_lists,
+)
 from pathweave.operators.bundles import bundles, map_bundles
 from pathweave.operators.runs import diagonal_runs, exact_runs, island_sizes, islands
 from pathweave.operators.segments import anchor_segments, segment_sizes, sizes_of_segments
@@ -75,3 +83,18 @@ def test_sizes_from_calls_are_those_of_plain_joins(spark, limit):
 def test_runs_do_not_change_with_the_limit(spark):
     positions = given(spark).groupBy("chromosome", "pos").agg(F.min("family").alias("family"))
     assert rows(exact_runs(positions, block_anchors=30)) == rows(exact_runs(positions))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_relatives_make_no_row_for_each_pair_of_carriers(spark, monkeypatch, kind):
+    monkeypatch.setattr(anchor_module, "pair_lists", None)
+    monkeypatch.setattr(anchor_module, "ANCHORS_PER_BLOCK", 3)
+    monkeypatch.setattr(bundle_module, "LISTS_PER_CELL", 2)
+    one = "c9" if kind == "string" else 9
+    odd = [(one, 0, None), (None, 0, "A"), (one, 1, "Z")]
+    rows = [tuple(r) for r in given(spark, kind).collect()]
+    positions = spark.createDataFrame(rows + odd, f"chromosome {kind}, pos int, family string")
+    carried = {(c, f) for c, _, f in rows}
+    want = {(c, d) for c, f in carried for d, g in carried if f == g and c != d}
+    got = [tuple(r) for r in relatives(positions).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
