@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pathweave.functions.prefix import bucket_of
 from pathweave.operators.tables import latest
+from pathweave.session import materialise
 
 
 # A region meets its chromosome in cells of so many positions.
@@ -19,6 +20,10 @@ def region_places(regions: DataFrame, paths: DataFrame, width: int = REGION_CELL
     Regions of a chromosome do not overlap, so few meet in a cell; a hot chromosome spreads over its
     cells.
     """
+    regions = materialise(regions, "regions")
+    paths = paths.join(
+        regions.select(F.col("ref_chr").alias("chromosome")).distinct(), "chromosome", "left_semi"
+    )
     tops = paths.groupBy(F.col("chromosome").alias("ref_chr")).agg(F.max("pos").alias("_top"))
     last = F.least("end", "_top")
     cells = F.sequence(bucket_of(F.col("start"), width), bucket_of(last, width))
@@ -45,12 +50,14 @@ def region_genes(
 
     A gene without a feature fails the job.
     """
-    placed = region_places(regions, paths, width)
+    # few genes lie in regions; once written their number is known, and only their names travel
+    placed = materialise(region_places(regions, paths, width), "region-places")
+    wanted = placed.select("gene_id").distinct()
     names = features.select(
         F.col("feature_id").alias("gene_id"),
         F.col("name").alias("gene"),
         F.lit(True).alias("has_feature"),
-    )
+    ).join(wanted, "gene_id", "left_semi")
     missing = F.concat(F.lit("no feature for gene "), F.col("gene_id").cast("string"))
     return placed.join(names, "gene_id", "left").select(
         "ref_chr",

@@ -122,6 +122,17 @@ def test_regions_meet_their_genes_only(spark, annotation, width):
     )
 
 
+def test_names_travel_for_genes_in_regions_only(spark, annotation):
+    paths = q.written_paths(annotation)
+    regions = spark.createDataFrame(
+        [(1, 0, 2, 3), (2, 0, 0, 0)], "ref_chr long, region_id long, start long, end long"
+    )
+    named = region_genes(regions, paths, annotation.feature)
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    assert sorted(r.gene for r in named.collect()) == ["g1.2", "g1.3", "g2.0"]
+
+
 def test_bad_arguments(annotation):
     for matched, intermediate, support in ((0, 1, 1), (1, -1, 1), (1, 1, 0), ("x", 1, 1)):
         with pytest.raises(ValueError):
