@@ -6,6 +6,7 @@ from pathweave.operators.genes import chain_blocks, interval_genes
 from pathweave.operators.tables import (
     chromosome_table,
     family_table,
+    gene_order_table,
     gene_table,
     latest,
     organism_table,
@@ -84,6 +85,14 @@ def test_tables(annotation):
     ]
 
 
+def test_gene_order_table_needs_no_names(annotation):
+    columns = ["id", "number", "family", "chromosome"]
+    found = gene_order_table(annotation)
+    assert rows(found) == rows(gene_table(annotation).select(columns))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_strict_gene_table(spark, annotation):
     lost = Annotation(
         **{**annotation.tables(), "feature": annotation.feature.filter("feature_id <> 12")}
