@@ -15,7 +15,7 @@ from pathweave.operators.anchors import (
     unfold,
     written_lists,
 )
-from pathweave.operators.bundles import bundles, map_bundles
+from pathweave.operators.bundles import bundles, map_bundles, map_pairs
 from pathweave.operators.runs import diagonal_runs, exact_runs, island_sizes, islands
 from pathweave.operators.segments import anchor_segments, segment_sizes, sizes_of_segments
 
@@ -98,3 +98,17 @@ def test_relatives_make_no_row_for_each_pair_of_carriers(spark, monkeypatch, kin
     want = {(c, d) for c, f in carried for d, g in carried if f == g and c != d}
     got = [tuple(r) for r in relatives(positions).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("at_most", [None, 85])
+def test_dense_pairs_meet_in_blocks(spark, monkeypatch, kind, at_most):
+    lists = written_lists(given(spark, kind))
+    want = map_bundles(bundles(lists, 40), distinct_step, PLACES, at_most)
+    want = sorted(tuple(r) for r in want.collect())
+    monkeypatch.setattr(bundle_module, "PARTNERS_PER_MEETING", 500)
+    monkeypatch.setattr(bundle_module, "WORTH_BLOCKS", 0)
+    monkeypatch.setattr(bundle_module, "LEAST_BLOCKS", 3)
+    monkeypatch.setattr(bundle_module, "bundles", None)
+    got = map_pairs(lists, 40, distinct_step, PLACES, at_most)
+    assert want and sorted(tuple(r) for r in got.collect()) == want
