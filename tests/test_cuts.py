@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from pathweave.functions.prefix import stretches
 from pathweave.operators import runs as run_module
 from pathweave.operators.anchors import anchors
+from pathweave.operators.run_steps import diagonal_step, merge_runs, mergeable_diagonal_step
 from pathweave.operators.segments import anchor_segments, linked_anchors, near_positions
 
 
@@ -113,3 +115,37 @@ def test_sparse_chains_equal_those_of_all_anchors(spark, monkeypatch):
     monkeypatch.setattr("pathweave.operators.chains.sparse_anchors", lambda *a: lists(*a) or segments.linked_anchors(near_positions(positions, 3), ("+", "-")))
     for limit in (1 << 20, 60):
         assert sorted(tuple(r) for r in chains(positions, 2, 2, block_anchors=limit).collect()) == plain
+
+
+def hulls_of(runs, intermediate, matched):
+    if not len(runs["group"]):
+        return []
+    hulls = merge_runs(runs, intermediate, matched)[0]
+    return sorted(zip(*(hulls[c].tolist() for c in ("group", "ref_start", "ref_end"))))
+
+
+def test_diagonals_that_no_hull_keeps_are_left_out():
+    rng = np.random.default_rng(8)
+    fewer = 0
+    for turn in range(60):
+        group = np.sort(rng.integers(0, 4, 40))
+        places = {c: rng.integers(0, 20 + 5 * turn, 40) for c in ("ref_pos", "rel_pos")}
+        every = diagonal_step(group, places)
+        for intermediate, matched in ((0, 2), (2, 2), (2, 3), (1, 1), (4, 5)):
+            some = mergeable_diagonal_step(intermediate, matched)(group, places)
+            want, got = (hulls_of(runs, intermediate, matched) for runs in (every, some))
+            assert got == want
+            fewer += len(some["group"]) < len(every["group"])
+            assert matched > 1 or len(some["group"]) == len(every["group"])
+    assert fewer > 100
+
+
+def test_runs_of_a_merge_are_few(spark):
+    rng = random.Random(8)
+    data = [(c, p, f"f{rng.randint(0, 40)}") for c in range(3) for p in range(40, 900, 20)]
+    data += [(0, 1, "x"), (1, 1, "x"), (0, 3, "y"), (1, 4, "y")]
+    positions = spark.createDataFrame(data, "chromosome long, pos int, family string")
+    found = run_module.diagonal_runs(positions, merge=(2, 2))
+    assert sorted(map(tuple, found.collect())) == [
+        (0, 1, 1, 1, 1, 1), (0, 1, 3, 4, 3, 4), (1, 0, 1, 1, 1, 1), (1, 0, 4, 3, 4, 3),
+    ]
