@@ -13,6 +13,7 @@ from pathweave.operators.anchors import (
     anchors,
     distinct_step,
     family_positions,
+    pair_totals,
     position_lists,
     written_lists,
 )
@@ -70,6 +71,23 @@ def test_pieces_are_cut_where_runs_are_made(spark, monkeypatch, limit):
     assert rows(piece_totals(pieces)) == want
 
 
+@pytest.mark.parametrize("limit", [1 << 21, 30])
+def test_totals_of_pairs_are_those_of_their_anchors(spark, limit):
+    positions = given(spark)
+    want = anchors(positions).groupBy(*PAIR).agg(
+        F.count("*"), F.sum("ref_pos"), F.sum("rel_pos"), F.sum(F.col("ref_pos") * F.col("rel_pos"))
+    )
+    found = pair_totals(anchors(positions, block_anchors=limit, together=True))
+    assert rows(found) == rows(want)
+
+
+def test_totals_that_do_not_fit_fail(spark):
+    data = [(c, 1 << 31, "A") for c in range(2)] + [(c, (1 << 31) + 1, "B") for c in range(2)]
+    positions = spark.createDataFrame(data, "chromosome long, pos long, family string")
+    with pytest.raises(Exception, match="64 bits"):
+        pair_totals(anchors(positions, together=True)).collect()
+
+
 def test_lists_hold_repeated_positions_once(spark, monkeypatch):
     data = [(c, c % 3, "AB"[c % 2]) for c in range(6)]
     genes = spark.createDataFrame(data * 2, "chromosome long, number long, family string")
