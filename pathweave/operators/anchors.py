@@ -299,7 +299,10 @@ class Layout:
     @cached_property
     def giants(self) -> DataFrame:
         """``(ref_chr, rel_chr)`` of all pairs with more anchors than the limit, counted."""
-        bundled = bundles(self._heavy, self.limit, packed=True)
+        # only how many positions there are is asked for
+        none = F.array_repeat(F.lit(0), F.size("positions"))
+        per_home = max(self.limit, ANCHORS_PER_BLOCK)
+        bundled = bundles(self._heavy.withColumn("positions", none), per_home, packed=True)
         return materialise(map_bundles(bundled, _size_step(self.limit), {}), "giants")
 
     @property
@@ -398,7 +401,7 @@ def map_anchors(layout: Layout, query, step: Step, columns: dict[str, str]) -> D
     if query is None:
         lists = layout.lists.drop("weight")
         at_most = layout.limit if layout.has_giants else None
-        return map_pairs(lists, layout.limit, step, columns, at_most)
+        return map_pairs(lists, max(layout.limit, ANCHORS_PER_BLOCK), step, columns, at_most)
     return map_groups(
         layout.ordinary_pairs(query),
         PAIR,

@@ -18,7 +18,7 @@ from pathweave.operators.anchors import (
     written_lists,
 )
 from pathweave.operators.bundles import bundles, map_bundles
-from pathweave.operators.runs import diagonal_runs, piece_totals, relative_pieces
+from pathweave.operators.runs import diagonal_runs, exact_runs, piece_totals, relative_pieces
 
 PLACES = {"ref_pos": "long", "rel_pos": "long"}
 
@@ -88,6 +88,21 @@ def test_totals_that_do_not_fit_fail(spark):
         pair_totals(anchors(positions, together=True)).collect()
 
 
+def test_small_pairs_do_not_cut_homes_into_many_rows(spark, monkeypatch):
+    asked = []
+
+    def noted(lists, per_home, *more, **options):
+        asked.append(per_home)
+        return bundles(lists, per_home, *more, **options)
+
+    monkeypatch.setattr(anchor_module, "bundles", noted)
+    monkeypatch.setattr(bundle_module, "bundles", noted)
+    positions = given(spark).groupBy("chromosome", "pos").agg(F.min("family").alias("family"))
+    found = rows(exact_runs(positions, block_anchors=20))
+    assert asked and min(asked) >= anchor_module.ANCHORS_PER_BLOCK
+    assert found == rows(exact_runs(positions))
+
+
 def test_lists_hold_repeated_positions_once(spark, monkeypatch):
     data = [(c, c % 3, "AB"[c % 2]) for c in range(6)]
     genes = spark.createDataFrame(data * 2, "chromosome long, number long, family string")
