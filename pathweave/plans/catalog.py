@@ -84,6 +84,8 @@ SUPPORT = 8
 INTERVALS = {"matched": 2, "intermediate": 10, "support": 8}
 # So few anchors to a task that pairs of chromosomes are cut into blocks and strips.
 SMALL_BLOCK = 500
+# Rows of a packed CSV file.
+CSV_ROWS = 2_000_000
 LINE_QUERY = "Supplier.000000001"
 
 QUERIES: dict[str, Query] = {}
@@ -212,7 +214,12 @@ def _through_files(spark: SparkSession, folder: str, kind: str) -> Annotation:
     for name in SCHEMAS:
         writer = getattr(annotation, name).write
         path = f"{target}/{name}"
-        writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
+        if kind == "csv":
+            # packed files are read whole, so none may be large
+            writer = writer.option("compression", "gzip").option("maxRecordsPerFile", CSV_ROWS)
+            writer.option("header", True).csv(path)
+        else:
+            writer.parquet(path)
     return read_annotation(spark, target, kind)
 
 
